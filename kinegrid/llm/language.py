@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import U64, mix, slices
 
@@ -118,8 +119,12 @@ def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> Langua
     return build_filter([(r["lang"], r["gram"]) for r in kept.select("lang", "gram").collect()], totals)
 
 
-def predict(documents: DataFrame, model: LanguageFilter) -> DataFrame:
-    """doc_id, lang_pred, score: the share of the best language in the corrected counts of all."""
+def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score: the share of the best language in the corrected counts of all. With `keep` all columns of
+    `documents` stay (but for its own of these names), and the texts need no join with the predictions."""
+    names_out = [c for c in documents.columns if c not in ("lang_pred", "score")] if keep else ["doc_id", "text"]
+    documents = documents.select([F.col(c).cast("string").alias(c) if c == "text" else F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names_out])
+    at = names_out.index("text")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +132,11 @@ def predict(documents: DataFrame, model: LanguageFilter) -> DataFrame:
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             best, score = [], []
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(at)):
                 counts, _ = model.counts(data, offsets)
                 letters = np.add.reduceat(np.append((_KEEP[data] != _SPACE) & (data < 128), False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
                 for i in np.flatnonzero(~letters):
-                    letters[i] = any(x.isalpha() for x in batch.column(1)[a + int(i)].as_py() or "")
+                    letters[i] = any(x.isalpha() for x in batch.column(at)[a + int(i)].as_py() or "")
                 if model.languages:
                     total, top = counts.sum(axis=1), counts.argmax(axis=1)
                     top[total == 0] = model.languages.index(model.prior)
@@ -141,6 +146,8 @@ def predict(documents: DataFrame, model: LanguageFilter) -> DataFrame:
                     top, share = np.zeros(b - a, int), np.zeros(b - a)
                 best.append(names[np.where(letters, top, len(model.languages))])
                 score.append(np.where(letters, share, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            passed = [batch.column(i) for i in range(batch.num_columns)] if keep else [batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*(names_out if keep else names_out[:1]), "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = StructType([*(documents.schema if keep else documents.schema[:1]), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return documents.mapInArrow(run, schema)

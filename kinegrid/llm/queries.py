@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing
+from . import ann, bpe, jaccard, language, licences, lines, packing, pii, simhash, superkmers
 from .common import load
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(load(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -19,17 +27,45 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.remove_repeats(load(spark, sf_dir, "documents"), size=20)
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(load(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_personal_data": op2_personal_data,
     "op3_language_id": op3_language_id,
+    "op4_line_chunks": op4_line_chunks,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_multi_index_hashing": op6_multi_index_hashing,
+    "op7_super_kmers": op7_super_kmers,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_simhash": op9_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
