@@ -1,10 +1,442 @@
-"""Registered queries over the derived views and their SQL."""
+"""Registered queries over the derived views, each beside the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .config import GAP_DIVISORS, GAPS, Params
+from .functions.scalars import heat_level, suppressed
+from .functions.storage import materialise
+from .operators import events, frames, fusion, overlay, pixels, spatial, stats, temporal, tubes
+from .plans import views
+from .sources import sinks, videos
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+PARAMS = Params()
+
+
+def query(sql: str | None = None, **ctes: str) -> Callable[[Query], Query]:
+    """Registers a query by its function's name. The SQL may use the views and the given common table expressions."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            used = {k: v for k, v in views.SQL.items() if k in sql + "".join(ctes.values())} | ctes
+            ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(f'{k} AS ({v})' for k, v in used.items())} " if used else "") + sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Sums may differ in their last digits with their order; a little more than half rounds up in both engines."""
+    more = 1e-9 if digits == 6 else 0.0
+    return df.select(*((F.round(F.col(c).cast("double") + more, digits) + 0.0).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes))
+
+
+def r(value: str, name: str | None = None) -> str:
+    return f"round(CAST({value} AS DOUBLE) + CAST(1e-9 AS DOUBLE), 6) + 0.0 AS {name or value}"
+
+
+# --- events ---------------------------------------------------------------------------------------------------------
+
+
+def _events_sql(gap: int, least: int) -> str:
+    return f"""SELECT video_id, event_id, y, x, t0, t1, t1 - t0 + 1 AS duration FROM (
+      SELECT video_id, y, x, t0, t1, CAST(row_number() OVER (PARTITION BY video_id ORDER BY y, x, t0) AS INTEGER) AS event_id FROM (
+        SELECT video_id, y, x, island, min(t) FILTER (v >= CAST(0.7 AS DOUBLE)) AS t0, max(t) AS t1 FROM (
+          SELECT *, sum(fresh) OVER (PARTITION BY video_id, y, x ORDER BY t) AS island FROM (
+            SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id, y, x ORDER BY t) <= {gap + 1} THEN 0 ELSE 1 END AS fresh
+            FROM v_grid WHERE isfinite(v) AND v >= CAST(0.4 AS DOUBLE)))
+        GROUP BY ALL) WHERE t0 IS NOT NULL) WHERE t1 - t0 + 1 >= {least}"""
+
+
+@query("SELECT * FROM ev", ev=_events_sql(0, 3))
+def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.block_events(views.v_grid(spark, sf_dir))
+
+
+@query("SELECT * FROM ev", ev=_events_sql(2, 1))
+def bridged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.block_events(views.v_grid(spark, sf_dir), max_gap=2, least=1)
+
+
+# --- windows --------------------------------------------------------------------------------------------------------
+
+_CELL = "PARTITION BY video_id, y, x ORDER BY t"
+_P15 = f"""SELECT *, CAST(CASE WHEN s > CAST(1e-12 AS DOUBLE) THEN greatest(0.0, least(1.0, CAST(CAST(sqrt(su * su + sv * sv) AS FLOAT) AS DOUBLE) / s)) ELSE 0.0 END AS FLOAT) AS p15 FROM (
+  SELECT *, sum(CAST(CAST(sqrt(u * u + v * v) AS FLOAT) AS DOUBLE)) OVER w AS s, sum(u) OVER w AS su, sum(v) OVER w AS sv FROM v_field WINDOW w AS ({_CELL} ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))"""
+_GATE = "SELECT video_id, t, y, x, p15, CAST(p15 AS DOUBLE) >= CAST(0.85 AS DOUBLE) AS keep, CASE WHEN CAST(p15 AS DOUBLE) >= CAST(0.85 AS DOUBLE) THEN u ELSE 0.0 END AS u, CASE WHEN CAST(p15 AS DOUBLE) >= CAST(0.85 AS DOUBLE) THEN v ELSE 0.0 END AS v FROM p"
+_MEAN = f"SELECT video_id, t, y, x, p15, keep, CAST(avg(u) OVER w AS FLOAT) AS u, CAST(avg(v) OVER w AS FLOAT) AS v FROM g WINDOW w AS ({_CELL} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+
+
+@query(f"SELECT video_id, t, y, x, {r('p15')}, keep, {r('u')}, {r('v')} FROM g", p=_P15, g=_GATE)
+def persistence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temporal.gate(views.v_field(spark, sf_dir))
+    return rounded(out.select("video_id", "t", "y", "x", "p15", "keep", "u", "v"))
+
+
+@query(f"SELECT video_id, t, y, x, round(CAST(CAST(avg(u) OVER w AS FLOAT) AS DOUBLE), 3) + 0.0 AS u, round(CAST(CAST(avg(v) OVER w AS FLOAT) AS DOUBLE), 3) + 0.0 AS v FROM v_field WINDOW w AS ({_CELL} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def moving_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.moving_mean(views.v_field(spark, sf_dir)), 3)
+
+
+@query("SELECT video_id, t, y, x, keep, round(CAST(u AS DOUBLE), 3) + 0.0 AS u, round(CAST(v AS DOUBLE), 3) + 0.0 AS v, round(CAST(CAST(sqrt(CAST(u AS DOUBLE) * u + CAST(v AS DOUBLE) * v) AS FLOAT) AS DOUBLE), 3) + 0.0 AS m FROM q", p=_P15, g=_GATE, q=_MEAN)
+def gated_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.gated_mean(views.v_field(spark, sf_dir)).select("video_id", "t", "y", "x", "keep", "u", "v", "m"), 3)
+
+
+@query("SELECT video_id, count(*) FILTER (keep) AS n_keep, count(*) FILTER (NOT keep) AS n_reject FROM g GROUP BY video_id", p=_P15, g=_GATE)
+def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.gate_counts(temporal.gate(views.v_field(spark, sf_dir)))
+
+
+@query(f"SELECT video_id, t - 50 AS t, y, x, {r('p15')} FROM g WHERE t >= 50", p=_P15, g=_GATE)
+def aligned_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.align(temporal.gate(views.v_field(spark, sf_dir)), 50).select("video_id", "t", "y", "x", "p15"))
+
+
+@query(f"SELECT video_id, t, y, x, {r('sum(u) OVER (' + _CELL + ' ROWS UNBOUNDED PRECEDING)', 'sum_u')} FROM v_field")
+def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.running_sum(views.v_field(spark, sf_dir), "u").select("video_id", "t", "y", "x", "sum_u"))
+
+
+@query(f"""SELECT video_id, t, y, x, {r('CASE WHEN sum(w) OVER q > 0 THEN sum(u * w) OVER q / sum(w) OVER q ELSE 0 END', 'u')}, {r('CASE WHEN sum(w) OVER q > 0 THEN sum(v * w) OVER q / sum(w) OVER q ELSE 0 END', 'v')}
+  FROM (SELECT *, CAST((t + x) % 3 AS DOUBLE) AS w FROM v_field) WINDOW q AS ({_CELL} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def weighted_moving_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.v_field(spark, sf_dir).withColumn("w", ((F.col("t") + F.col("x")) % 3).cast("double"))
+    df = temporal.weighted_moving_mean(df.withColumns({"wu": F.col("u") * F.col("w"), "wv": F.col("v") * F.col("w")}), 2)
+    return rounded(df.select("video_id", "t", "y", "x", "u", "v"))
+
+
+@query(f"""SELECT a.video_id, a.y, a.x, b.t, {r('coalesce(g.v, 0)', 'v')} FROM (SELECT DISTINCT video_id, y, x FROM v_grid) a JOIN (SELECT DISTINCT video_id, t FROM v_grid) b ON a.video_id = b.video_id
+  LEFT JOIN v_grid g ON g.video_id = a.video_id AND g.y = a.y AND g.x = a.x AND g.t = b.t""")
+def densified_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = views.v_grid(spark, sf_dir)
+    return rounded(temporal.densify(grid, grid, ["v"]))
+
+
+@query(f"SELECT video_id, t, y, x, {r('CASE WHEN sqrt(u * u + v * v) < 40 THEN 0.0 ELSE u END', 'u')}, {r('CASE WHEN sqrt(u * u + v * v) < 40 THEN 0.0 ELSE v END', 'v')} FROM v_field")
+def suppressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v = suppressed(F.col("u"), F.col("v"), 40.0)
+    return rounded(views.v_field(spark, sf_dir).withColumns({"u": u, "v": v}))
+
+
+# --- blocks and fusion ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT video_id, gap, t, y // 2 AS y, x // 2 AS x, {r('avg(u)', 'u')}, {r('avg(v)', 'v')} FROM v_gap GROUP BY ALL")
+def block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.block_mean(views.v_gap(spark, sf_dir), 2))
+
+
+@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('max(v)', 'v')} FROM v_grid GROUP BY ALL")
+def block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.block_max(views.v_grid(spark, sf_dir), 4, "v"))
+
+
+_DIV = "CASE gap " + " ".join(f"WHEN {g} THEN CAST({d} AS DOUBLE)" for g, d in GAP_DIVISORS.items()) + " ELSE CAST(1 AS DOUBLE) END"
+_NORM = f"SELECT video_id, gap, t, y, x, u / {_DIV} AS u, v / {_DIV} AS v, m / {_DIV} AS m FROM v_gap"
+
+
+@query(f"SELECT video_id, gap, t, y, x, {r('u')}, {r('v')}, {r('m')} FROM n", n=_NORM)
+def normalised_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fusion.normalise(views.v_gap(spark, sf_dir), GAP_DIVISORS)
+    return rounded(out.select("video_id", "gap", "t", "y", "x", "u", "v", "m"))
+
+
+@query(f"SELECT video_id, t, y, x, count(*) AS n_gaps FROM v_gap GROUP BY ALL HAVING count(*) = {len(GAPS)}")
+def complete_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.complete(views.v_gap(spark, sf_dir), len(GAPS))
+
+
+_HOW = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "rms": "sqrt(avg({0} * {0}))", "max": "max({0})"}
+
+
+def _fusions() -> None:
+    """A query for each way to fuse magnitudes and vectors."""
+    for way, how in _HOW.items():
+
+        def magnitudes(spark: SparkSession, sf_dir: str, way: str = way) -> DataFrame:
+            return rounded(fusion.fuse_magnitudes(fusion.normalise(views.v_gap(spark, sf_dir), GAP_DIVISORS), way))
+
+        def vectors(spark: SparkSession, sf_dir: str, way: str = way) -> DataFrame:
+            return rounded(fusion.fuse_vectors(fusion.normalise(views.v_gap(spark, sf_dir), GAP_DIVISORS), way))
+
+        magnitudes.__name__, vectors.__name__ = f"fused_magnitudes_{way}", f"fused_vectors_{way}"
+        query(f"SELECT video_id, t, y, x, {r(how.format('m'), 'm')} FROM n GROUP BY ALL", n=_NORM)(magnitudes)
+        if way == "max":
+            sql = f"SELECT video_id, t, y, x, {r('u')}, {r('v')} FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY sqrt(u * u + v * v) DESC, gap) AS k FROM n) WHERE k = 1"
+        else:
+            sign = {"rms": " * CASE WHEN avg({0}) < 0 THEN -1.0 ELSE 1.0 END"}.get(way, "")
+            sql = f"SELECT video_id, t, y, x, {r((how + sign).format('u'), 'u')}, {r((how + sign).format('v'), 'v')} FROM n GROUP BY ALL"
+        query(sql, n=_NORM)(vectors)
+
+
+_fusions()
+
+
+# --- frames and files -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT video_id, frame_idx, CAST(frame_idx // 6 AS INTEGER) AS sampled_index, {r('frame_idx / CAST(30 AS DOUBLE)', 'timestamp_sec')} FROM v_frames WHERE frame_idx % 6 = 0 AND frame_idx / CAST(30 AS DOUBLE) <= 200")
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.sampled(views.v_frames(spark, sf_dir), 5.0, 200.0)
+    return rounded(out.select("video_id", "frame_idx", "sampled_index", "timestamp_sec"))
+
+
+@query("SELECT video_id, frame_idx, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS INTEGER) AS sampled_index FROM v_frames WHERE frame_idx % 7 = 3")
+def renumbered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.renumbered(views.v_frames(spark, sf_dir).where("frame_idx % 7 = 3").select("video_id", "frame_idx"))
+
+
+@query("SELECT a.video_id, g.gap, a.i AS sampled_index_curr, a.frame_idx AS frame_idx_curr, b.i AS sampled_index_prev, b.frame_idx AS frame_idx_prev FROM f a CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50]) AS gap) g JOIN f b ON b.video_id = a.video_id AND b.i = a.i - g.gap", f="SELECT video_id, frame_idx, CAST(frame_idx // 6 AS INTEGER) AS i FROM v_frames WHERE frame_idx % 6 = 0")
+def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.gap_pairs(frames.sampled(views.v_frames(spark, sf_dir), 5.0), GAPS, ("frame_idx",))
+
+
+@query("SELECT id, root_rank, is_direct, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY root_rank, is_direct DESC, path) AS k FROM v_candidates) WHERE k = 1")
+def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return videos.best_files(views.v_candidates(spark, sf_dir))
+
+
+@query("SELECT trim(value, ' ') AS video_id FROM v_lines WHERE trim(value, ' ') <> '' AND NOT starts_with(trim(value, ' '), '#')")
+def listed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return videos.listed(views.v_lines(spark, sf_dir))
+
+
+@query("SELECT video_id, count(*) AS n_frames FROM (SELECT CAST(user_id AS VARCHAR) AS video_id FROM events) GROUP BY 1 HAVING count(*) < 8")
+def short_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.short_videos(views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id")))
+
+
+# --- tubes ----------------------------------------------------------------------------------------------------------
+
+_EV = {"ev": _events_sql(0, 3)}
+_EDGES = "SELECT a.video_id, a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.video_id = b.video_id AND a.event_id < b.event_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) BETWEEN 1 AND 2 AND a.t0 <= b.t1 AND b.t0 <= a.t1"
+_REACH = "SELECT event_id AS n, event_id AS m FROM ev UNION SELECT reach.n, CASE WHEN e.a = reach.m THEN e.b ELSE e.a END FROM reach JOIN edges e ON reach.m IN (e.a, e.b)"
+_LABEL = "SELECT n AS event_id, min(m) AS component FROM reach GROUP BY n"
+_STATS = "SELECT video_id, tube_id, min(t0) AS t0, max(t1) AS t1, CAST(count(DISTINCT y * 1000 + x) AS INTEGER) AS num_cells, CAST(count(*) AS INTEGER) AS num_block_events, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, max(t1) - min(t0) + 1 AS duration FROM mem GROUP BY video_id, tube_id"
+#: Groups of events, to have many tubes whatever the grid.
+_MEM = {"mem": "SELECT video_id, CAST(event_id % 40 AS INTEGER) AS tube_id, event_id, y, x, t0, t1 FROM ev"}
+
+
+def _block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(events.block_events(views.v_grid(spark, sf_dir)), "events")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _block_events(spark, sf_dir).withColumn("tube_id", (F.col("event_id") % 40).cast("int")).select("video_id", "tube_id", "event_id", "y", "x", "t0", "t1")
+
+
+@query("SELECT * FROM edges", **_EV, edges=_EDGES)
+def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.neighbour_edges(_block_events(spark, sf_dir))
+
+
+@query("SELECT l.event_id AS node, l.component FROM lab l WHERE l.event_id IN (SELECT a FROM edges UNION SELECT b FROM edges)", **_EV, edges=_EDGES, reach=_REACH, lab=_LABEL)
+def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.components(tubes.neighbour_edges(_block_events(spark, sf_dir))).select("node", "component")
+
+
+@query(
+    """SELECT m.video_id, CAST(k.new AS INTEGER) AS tube_id, m.event_id, m.y, m.x, m.t0, m.t1 FROM mem m JOIN (
+    SELECT video_id, tube_id, row_number() OVER (PARTITION BY video_id ORDER BY t0, num_cells DESC, tube_id) AS new FROM st WHERE num_cells >= 2 AND duration >= 3) k ON k.video_id = m.video_id AND k.tube_id = m.tube_id""",
+    **_EV, edges=_EDGES, reach=_REACH, lab=_LABEL, mem="SELECT ev.video_id, lab.component AS tube_id, ev.event_id, ev.y, ev.x, ev.t0, ev.t1 FROM ev JOIN lab ON lab.event_id = ev.event_id", st=_STATS,
+)
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.merge_events(_block_events(spark, sf_dir)).select("video_id", "tube_id", "event_id", "y", "x", "t0", "t1")
+
+
+@query("SELECT video_id, tube_id, t0, t1, duration, num_cells, num_block_events, x1, y1, x2, y2 FROM st", **_EV, **_MEM, st=_STATS)
+def tube_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.tube_stats(_members(spark, sf_dir))
+
+
+@query(
+    """SELECT DISTINCT p.video_id, p.a, p.b FROM (SELECT DISTINCT a.video_id, a.tube_id AS a, b.tube_id AS b FROM mem a JOIN mem b ON a.video_id = b.video_id AND a.tube_id < b.tube_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) <= 2) p
+    JOIN st s ON s.video_id = p.video_id AND s.tube_id = p.a JOIN st u ON u.video_id = p.video_id AND u.tube_id = p.b WHERE greatest(0, u.t0 - s.t1 - 1, s.t0 - u.t1 - 1) <= 2""",
+    **_EV, mem="SELECT video_id, event_id AS tube_id, event_id, y, x, t0, t1 FROM ev", st=_STATS,
+)
+def proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _block_events(spark, sf_dir).withColumn("tube_id", F.col("event_id"))
+    return tubes.proximity_edges(members, 2, 2)
+
+
+@query("SELECT DISTINCT i.video_id, i.tube_id FROM st i JOIN st o ON o.video_id = i.video_id AND o.tube_id <> i.tube_id AND o.t0 <= i.t0 AND o.t1 >= i.t1 AND o.x1 <= i.x1 AND o.y1 <= i.y1 AND o.x2 >= i.x2 AND o.y2 >= i.y2 AND NOT (o.t0 = i.t0 AND o.t1 = i.t1 AND o.x1 = i.x1 AND o.y1 = i.y1 AND o.x2 = i.x2 AND o.y2 = i.y2)", **_EV, **_MEM, st=_STATS)
+def contained_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.contained(tubes.tube_stats(_members(spark, sf_dir)))
+
+
+@query("SELECT video_id, tube_id, t, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM (SELECT video_id, tube_id, y, x, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM mem) GROUP BY ALL", **_EV, **_MEM)
+def active_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.active_boxes(_members(spark, sf_dir))
+
+
+@query(
+    """SELECT f.video_id, f.t, f.tube_id, f.x1, f.y1, f.x2, f.y2, CAST(count(DISTINCT a.y * 1000 + a.x) AS INTEGER) AS n_cells FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) f
+    LEFT JOIN mem a ON a.video_id = f.video_id AND a.tube_id = f.tube_id AND f.t BETWEEN a.t0 AND a.t1 GROUP BY ALL""",
+    **_EV, **_MEM, st=_STATS,
+)
+def tube_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tubes.overlays(_members(spark, sf_dir))
+    return out.select("video_id", "t", "tube_id", *(F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))), F.size("cells").alias("n_cells"))
+
+
+@query("SELECT video_id, tube_id, event_id, CAST((x + i) * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST((y + k) * 64 AS INTEGER) AS py FROM mem CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_EV, **_MEM)
+def event_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.prisms(_members(spark, sf_dir), 64)
+
+
+@query("SELECT video_id, tube_id, least(x1 * 64, 1920) AS px1, least(y1 * 64, 1080) AS py1, least(x2 * 64, 1920) AS px2, least(y2 * 64, 1080) AS py2, (tube_id + 9) % 10 AS colour FROM st", **_EV, **_MEM, st=_STATS)
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.pixel_boxes(tubes.tube_stats(_members(spark, sf_dir)), 64, 1920, 1080).select("video_id", "tube_id", "px1", "py1", "px2", "py2", "colour")
+
+
+@query()
+def roi_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of events, merging, proximity and containment, to the nested table: a fixpoint, which SQL does not express."""
+    cells = views.v_grid(spark, sf_dir).withColumnRenamed("v", "mu")
+    return tubes.tracks(tubes.build_tubes(cells, PARAMS))
+
+
+@query()
+def proximity_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.tube_stats(tubes.proximity_merge(tubes.merge_events(_block_events(spark, sf_dir))))
+
+
+@query()
+def track_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.track_json(tubes.tracks(_members(spark, sf_dir)))
+
+
+@query("SELECT count(*) FILTER (n >= 8) AS num_ok, count(*) FILTER (n < 8) AS num_failed, CAST(sum(n % 3) AS BIGINT) AS num_suppressed FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return sinks.run_summary(counts.select(F.when(F.col("n") < 8, "too few frames").alias("error"), (F.col("n") % 3).alias("num_suppressed")))
+
+
+# --- pixels ---------------------------------------------------------------------------------------------------------
+
+_REFLECT = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('avg(g)', 'g')} FROM v_pixels GROUP BY ALL")
+def downscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.downscale(views.v_pixels(spark, sf_dir), 4))
+
+
+_AT = {axis: _REFLECT.format(f"least({c} * 4 + 2, 7) + {d}") for axis, c, d in (("y", "cy", "dy"), ("x", "cx", "dx"))}
+
+
+@query(
+    f"""SELECT p.video_id, p.t, CAST(c.cy AS INTEGER) AS y, CAST(c.cx AS INTEGER) AS x, {r('sum(w * u) / sum(w)', 'u')}, {r('sum(w * v) / sum(w)', 'v')} FROM (
+    SELECT cy, cx, {_AT['y']} AS py, {_AT['x']} AS px FROM range(2) a(cy) CROSS JOIN range(2) b(cx) CROSS JOIN range(-4, 4) d(dy) CROSS JOIN range(-4, 4) e(dx)) c
+    JOIN v_pixels p ON p.y = c.py AND p.x = c.px WHERE p.u IS NOT NULL GROUP BY ALL"""
+)
+def window_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = views.v_pixels(spark, sf_dir).where("u is not null")
+    return rounded(spatial.window_weighted_mean(px, 8, 8).select("video_id", "t", "y", "x", "u", "v"))
+
+
+_SOBEL = ", ".join(f"({dy}, {dx}, {kx}, {ky})" for (dy, dx), (kx, ky) in pixels.SOBEL.items())
+_GRAD = f"""SELECT c.video_id, c.t, c.y, c.x, CAST(sum(k.kx * n.g) AS DOUBLE) AS ix, CAST(sum(k.ky * n.g) AS DOUBLE) AS iy FROM v_pixels c CROSS JOIN (VALUES {_SOBEL}) k(dy, dx, kx, ky)
+  JOIN v_pixels n ON n.video_id = c.video_id AND n.t = c.t AND n.y = {_REFLECT.format('c.y + k.dy')} AND n.x = {_REFLECT.format('c.x + k.dx')} GROUP BY ALL"""
+#: The tensor of a pixel from the products of its 2 x 2 block, which stands for the smoothing here.
+_TENSOR = "SELECT video_id, t, y // 2 AS y, x // 2 AS x, avg(ix * ix) AS jxx, avg(iy * iy) AS jyy, avg(ix * iy) AS jxy FROM gr GROUP BY ALL"
+_EIGEN = "SELECT *, greatest(0.0, (jxx + jyy + q) / 2) AS lambda1, greatest(0.0, (jxx + jyy - q) / 2) AS lambda2 FROM (SELECT *, sqrt(greatest((jxx - jyy) * (jxx - jyy) + 4 * jxy * jxy, 0.0)) AS q FROM te)"
+_GT = {"gr": _GRAD, "te": _TENSOR, "ei": _EIGEN}
+
+
+def _tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = views.v_pixels(spark, sf_dir)
+    products = pixels.tensor(pixels.gradients(px.select("video_id", "t", "y", "x", "g"), 8, 8))
+    return pixels.eigenvalues(spatial.block_mean(products, 2, values=("jxx", "jyy", "jxy")))
+
+
+@query(f"SELECT video_id, t, y, x, {r('ix')}, {r('iy')} FROM gr", gr=_GRAD)
+def sobel_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pixels.gradients(views.v_pixels(spark, sf_dir).select("video_id", "t", "y", "x", "g"), 8, 8))
+
+
+@query("SELECT video_id, t, y, x, round(lambda1, 2) + 0.0 AS lambda1, round(lambda2, 2) + 0.0 AS lambda2 FROM ei", **_GT)
+def tensor_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_tensor(spark, sf_dir).select("video_id", "t", "y", "x", "lambda1", "lambda2"), 2)
+
+
+_TANGENT = """SELECT *, CASE WHEN h1 >= 1e-6 THEN -(lambda1 - jxx) / h1 WHEN h2 >= 1e-6 THEN -jxy / h2 ELSE 1.0 END AS tx, CASE WHEN h1 >= 1e-6 THEN jxy / h1 WHEN h2 >= 1e-6 THEN (lambda1 - jyy) / h2 ELSE 0.0 END AS ty
+  FROM (SELECT *, sqrt(jxy * jxy + (lambda1 - jxx) * (lambda1 - jxx)) AS h1, sqrt((lambda1 - jyy) * (lambda1 - jyy) + jxy * jxy) AS h2 FROM ei)"""
+_MOTION = "SELECT video_id, t, y // 2 AS y, x // 2 AS x, avg(u) AS u, avg(v) AS v FROM v_pixels WHERE u IS NOT NULL GROUP BY ALL"
+_APERTURE = """SELECT a.video_id, a.t, a.y, a.x, lambda1, lambda2, m.u, m.v, greatest(0.0, least(1.0, 1 - CASE WHEN lambda1 > 950 THEN (1 - lambda2 / (lambda1 + CAST(1e-6 AS DOUBLE))) *
+    pow(CASE WHEN sqrt(m.u * m.u + m.v * m.v) < 1e-6 THEN 0 ELSE greatest(0.0, least(1.0, abs(m.u * tx + m.v * ty) / greatest(sqrt(m.u * m.u + m.v * m.v), 1e-6))) END, 2) ELSE 0.0 END)) AS r
+  FROM ta a JOIN mo m ON m.video_id = a.video_id AND m.t = a.t AND m.y = a.y AND m.x = a.x"""
+
+
+@query("SELECT video_id, t, y, x, round(tx * tx, 4) + 0.0 AS txx, round(tx * ty, 4) + 0.0 AS txy FROM ta WHERE lambda1 - lambda2 > 1", **_GT, ta=_TANGENT)
+def edge_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pixels.tangent(_tensor(spark, sf_dir)).where("lambda1 - lambda2 > 1")
+    return rounded(out.select("video_id", "t", "y", "x", (F.col("tx") * F.col("tx")).alias("txx"), (F.col("tx") * F.col("ty")).alias("txy")), 4)
+
+
+@query("SELECT video_id, t, y, x, round(r, 4) + 0.0 AS r FROM ap", **_GT, ta=_TANGENT, mo=_MOTION, ap=_APERTURE)
+def aperture_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    motion = spatial.block_mean(views.v_pixels(spark, sf_dir).where("u is not null"), 2)
+    out = pixels.aperture_reliability(pixels.tangent(_tensor(spark, sf_dir)).join(motion, ["video_id", "t", "y", "x"]))
+    return rounded(out.select("video_id", "t", "y", "x", "r"), 4)
+
+
+_REL = "SELECT *, greatest(0.0, least(1.0, shape * strength)) AS r_st FROM (SELECT *, lambda2 / (lambda1 + CAST(1e-6 AS DOUBLE)) AS shape, 1 - exp(-lambda2 / 400) AS strength FROM ei)"
+
+
+@query(f"SELECT video_id, t, y, x, {r('shape')}, {r('strength')}, {r('r_st')} FROM re", **_GT, re=_REL)
+def tensor_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pixels.tensor_reliability(_tensor(spark, sf_dir)).select("video_id", "t", "y", "x", "shape", "strength", "r_st"))
+
+
+@query("SELECT " + ", ".join(f"round(quantile_cont(lambda2, {p / 100}), 2) + 0.0 AS P{p:g}".replace("P99.9", "P99_9") for p in stats.PERCENTILES) + " FROM ei WHERE isfinite(lambda2)", **_GT)
+def eigenvalue_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.percentiles(_tensor(spark, sf_dir), "lambda2"), 2)
+
+
+@query(
+    f"""SELECT b.name, b.x1, b.y1, b.x2, b.y2, count(p.y) AS n_pixels, {r('avg(p.lambda1)', 'mean_lambda1')}, {r('avg(p.r_st)', 'mean_r_st')}, {r('avg(sqrt(p.u * p.u + p.v * p.v))', 'mean_speed')},
+    {r('avg(sqrt(p.u * p.u + p.v * p.v) * p.r_st) / (avg(sqrt(p.u * p.u + p.v * p.v)) + CAST(1e-6 AS DOUBLE))', 'retention')} FROM (SELECT name, least(greatest(x1, 0), 4) AS x1, least(greatest(y1, 0), 4) AS y1, least(greatest(x2, 0), 4) AS x2, least(greatest(y2, 0), 4) AS y2 FROM v_rois) b
+    LEFT JOIN (SELECT re.*, m.u, m.v FROM re JOIN mo m ON m.video_id = re.video_id AND m.t = re.t AND m.y = re.y AND m.x = re.x WHERE re.t < 20) p ON p.x >= b.x1 AND p.x < b.x2 AND p.y >= b.y1 AND p.y < b.y2 GROUP BY ALL""",
+    **_GT, re=_REL, mo=_MOTION,
+)
+def box_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the first 20 frames in each box (the feature is a report on a stretch of a clip)."""
+    motion = spatial.block_mean(views.v_pixels(spark, sf_dir).where("u is not null"), 2)
+    px = pixels.tensor_reliability(_tensor(spark, sf_dir)).where("t < 20").join(motion, ["video_id", "t", "y", "x"])
+    return rounded(stats.box_stats(px, views.v_rois(spark, sf_dir), 4, 4).select("name", "x1", "y1", "x2", "y2", "n_pixels", "mean_lambda1", "mean_r_st", "mean_speed", "retention"))
+
+
+@query("SELECT video_id, t, y, x, CAST(round_even(greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 255, 0) AS INTEGER) AS shade FROM v_grid CROSS JOIN (SELECT min(v) AS lo, quantile_cont(v, 0.99) AS hi FROM v_grid WHERE isfinite(v))")
+def display_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.for_display(views.v_grid(spark, sf_dir), "v").select("video_id", "t", "y", "x", "shade")
+
+
+@query(f"SELECT video_id, t, y, x, {r('CASE WHEN v >= CAST(0.2 AS DOUBLE) THEN least(1.0, v / CAST(0.9 AS DOUBLE)) ELSE 0 END', 'level')} FROM v_grid")
+def heat_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.v_grid(spark, sf_dir).select("video_id", "t", "y", "x", heat_level(F.col("v"), 0.2, 0.9).alias("level")))
+
+
+@query(f"SELECT video_id, t, y * 4 + dy AS py, x * 4 + dx AS px, {r('v')} FROM v_grid CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dy) CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dx) WHERE t < 3 AND y * 4 + dy < 66 AND x * 4 + dx < 118")
+def expanded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(overlay.expanded(views.v_grid(spark, sf_dir).where("t < 3"), 4, 66, 118).select("video_id", "t", "py", "px", "v"))
+
+
+@query("SELECT video_id, t, y, x, CAST(floor(g * (1 - a) + 255 * a) AS INTEGER) AS shade FROM (SELECT *, CASE WHEN w >= CAST(0.05 AS DOUBLE) THEN least(1.0, w / CAST(0.3 AS DOUBLE)) ELSE 0.0 END * CAST(0.75 AS DOUBLE) AS a FROM v_pixels)")
+def blended_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.blended(views.v_pixels(spark, sf_dir).withColumn("heat", F.lit(255)), "w", 0.05, 0.3).select("video_id", "t", "y", "x", "shade")
+
+
+@query("SELECT name, fit_w, fit_h, (640 - fit_w) // 2 AS \"left\", (360 - fit_h) // 2 AS top FROM (SELECT name, CAST(greatest(1, round_even(w * s, 0)) AS INTEGER) AS fit_w, CAST(greatest(1, round_even(h * s, 0)) AS INTEGER) AS fit_h FROM (SELECT *, least(CAST(640 AS DOUBLE) / w, CAST(360 AS DOUBLE) / h) AS s FROM (SELECT name, 100 + 37 * x2 AS w, 80 + 53 * y2 AS h FROM v_rois)))")
+def letterboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = views.v_rois(spark, sf_dir).select("name", (100 + 37 * F.col("x2")).alias("w"), (80 + 53 * F.col("y2")).alias("h"))
+    return overlay.letterboxed(sizes, 640, 360).select("name", "fit_w", "fit_h", "left", "top")
