@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise, shared_dir
+
+__all__ = ["SLICE_BYTES", "U64", "Words", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices"]
+
 U64 = np.uint64
 #: Bytes of text that one pass of the array code handles; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -21,23 +23,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="kinegrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: its lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used, lambdas included."""
     return F.element_at(F.transform(F.array(value), use), 1)

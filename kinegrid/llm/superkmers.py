@@ -5,12 +5,12 @@ windows with one minimiser make a super-k-mer, which travels as one packed strin
 windows that start earlier elsewhere:
 
 1. Minimisers are counted; only those that occur again can be in a repeated window.
-2. Super-k-mers of such minimisers are packed. Equal packed strings are one entry with its first place: in all other
-   places each of its windows starts earlier. Copies, however many, collapse here before anything is sorted.
+2. Super-k-mers of such minimisers are packed. Equal packed strings (by a 128-bit digest of their bytes) are one entry with
+   its first place: in all other places each of its windows starts earlier. Copies, however many, collapse here.
 3. The distinct packed strings of a minimiser's bucket are cut into windows, and sorting these counts them exactly. Buckets
-   with one packed string that holds its minimiser once have no repeated window and are left out.
+   with one packed string that holds its minimiser once have no further repeated window, and their strings stay behind.
 
-Windows are told apart by two independent 64-bit hashes of their words in step 3, by their bytes in step 2.
+Windows are told apart by two independent 64-bit hashes of their words.
 
 Rows: a null text has no words; texts are read whole; a text with fewer words than a window keeps all of them; of rows
 that repeat an id, equal ones have one result, which each gets, and others are places of one document; an empty table
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, gram, long, materialise, slices
 
 #: Words of a minimiser.
-MINIMISER = 5
+MINIMISER = 10
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def _minimisers(documents: DataFrame, size: int) -> DataFrame:
 
 
 def _packed(texts: DataFrame, size: int) -> DataFrame:
-    """minimiser, packed, alone (it holds its minimiser once), doc_id, start, n: super-k-mers of the minimisers in `repeated`."""
+    """minimiser, digest, packed, alone (it holds its minimiser once), doc_id, start, n: the super-k-mers of the row's `minimisers`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +106,10 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
                 text = data.tobytes()
                 starts, stops = found.start[first], found.end[first + n + size - 2]
                 packed = [b" ".join(text[x:y].split()) for x, y in zip(starts.tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([long(least), pa.array(packed, pa.binary()), pa.array(alone, pa.bool_()), pa.array(ids[a + row]), pa.array((first - found.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["minimiser", "packed", "alone", "doc_id", "start", "n"])
+                digests = [xxhash.xxh3_128_digest(x) for x in packed]
+                yield pa.RecordBatch.from_arrays([long(least), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(alone, pa.bool_()), pa.array(ids[a + row]), pa.array((first - found.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["minimiser", "digest", "packed", "alone", "doc_id", "start", "n"])
 
-    return texts.mapInArrow(run, "minimiser long, packed binary, alone boolean, doc_id long, start int, n int")
+    return texts.mapInArrow(run, "minimiser long, digest binary, packed binary, alone boolean, doc_id long, start int, n int")
 
 
 def _windows(entries: DataFrame, size: int) -> DataFrame:
@@ -127,26 +129,27 @@ def _windows(entries: DataFrame, size: int) -> DataFrame:
     return entries.select("packed", "doc_id", "start").mapInArrow(run, "key1 long, key2 long, doc_id long, start int")
 
 
-def repeated_windows(documents: DataFrame, size: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, n: runs of windows whose words start earlier elsewhere; the texts of all documents that may have one)."""
+def repeated_windows(documents: DataFrame, size: int = 20) -> DataFrame:
+    """doc_id, start, n: runs of windows whose words start earlier elsewhere."""
     found = _minimisers(documents, size)
     again = found.groupBy("minimiser").agg(F.count("*").alias("times")).where("times > 1").select("minimiser")
     flagged = found.join(again, "minimiser").groupBy("doc_id").agg(F.collect_set("minimiser").alias("minimisers"))
-    texts = materialise(_texts(documents).join(flagged, "doc_id"), "flagged")
-    packed = materialise(_packed(texts, size).withColumn("digest", F.xxhash64("packed")), "packed")
-    entries = packed.groupBy("minimiser", "digest", "packed").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.first("alone").alias("alone"))
-    entries = materialise(entries.select("minimiser", "digest", "packed", "first", "n", "alone"), "entries")
-    copies = packed.join(entries.select("minimiser", "digest", "packed", "first"), ["minimiser", "digest", "packed"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n")
+    packed = materialise(_packed(_texts(documents).join(flagged, "doc_id"), size), "packed")
+    places = packed.drop("packed")
+    entries = materialise(places.groupBy("minimiser", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("alone").alias("alone")), "entries")
+    copies = places.join(entries.drop("alone"), ["minimiser", "digest"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n")
     buckets = entries.groupBy("minimiser").agg(F.count("*").alias("strings"), F.min("alone").alias("alone")).where("strings > 1 or not alone").select("minimiser")
-    windows = materialise(_windows(entries.join(buckets, "minimiser").select("packed", "first.doc_id", "first.start"), size), "windows")
+    sorted_ones = entries.join(buckets, "minimiser").select("minimiser", "digest", "first.doc_id", "first.start")
+    strings = packed.select("minimiser", "digest", "doc_id", "start", "packed").join(sorted_ones, ["minimiser", "digest", "doc_id", "start"])
+    windows = materialise(_windows(strings, size), "windows")
     first = windows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = windows.join(first, ["key1", "key2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
-    return copies.union(later), texts.select("doc_id", "text")
+    return copies.union(later)
 
 
 def remove_repeats(documents: DataFrame, size: int = 20, digest: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 of the kept words joined by spaces, or with digest=False these as `kept`."""
-    spans, _ = repeated_windows(documents, size)
+    spans = repeated_windows(documents, size)
     gone = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
     kind = pa.string() if digest else pa.binary()
 
