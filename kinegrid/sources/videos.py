@@ -99,3 +99,10 @@ def frame_source(videos: list[tuple[str, str]], decoder: Decoder, fps: float = 5
             return _FrameReader(videos, decoder, fps)
 
     return FrameSource
+
+
+def read_frames(spark: SparkSession, listed: list[tuple[str, str]], decoder: Decoder, fps: float = 5.0) -> DataFrame:
+    """Sampled frames of (video_id, path) pairs; filters on video_id reach the source."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(frame_source(listed, decoder, fps))
+    return spark.read.format("video_frames").load()
