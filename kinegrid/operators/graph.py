@@ -13,20 +13,20 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame, str], Dat
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each node's neighbours are linked to the least of
     them, so that the edges become stars in a logarithmic number of rounds. A hub's edges are never gathered: the least
-    neighbour is a partial aggregate and goes back by a join, whose skew Spark can split. `store` cuts the lineage.
+    neighbour is a partial aggregate and goes back by a join, whose skew Spark can split. `store` cuts the lineage once a
+    round; `edges` should be stored.
     """
-    links = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     sums = None
     while True:
         # large star: every greater neighbour of u is linked to the least of u and its neighbours
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = store(large, "large-star")
         # small star: u and its lesser neighbours are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        links = store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sums:
             break

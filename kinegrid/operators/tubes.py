@@ -58,7 +58,7 @@ def _large(stats: DataFrame, cells: int, duration: int) -> DataFrame:
 
 def merge_events(events: DataFrame, radius: int = 2, min_cells: int = 2, min_duration: int = 3) -> DataFrame:
     """Members of the components of neighbouring events that are large and long enough."""
-    labels = components(neighbour_edges(events, radius)).withColumnRenamed("node", "event_id")
+    labels = components(materialise(neighbour_edges(events, radius), "edges")).withColumnRenamed("node", "event_id")
     members = events.select("video_id", "event_id", "y", "x", "t0", "t1").join(labels, ["video_id", "event_id"], "left").withColumn("tube_id", F.coalesce("component", "event_id")).drop("component")
     members = materialise(members, "members")
     kept = _large(tube_stats(members), min_cells, min_duration)
