@@ -7,7 +7,7 @@ by the data) estimates each labeler's reliability and each pattern's probability
 Bayes classifier is trained on features of the span and its surroundings, and the candidates that it accepts are added.
 
 Rows: a null text is an empty one; texts are searched whole; rows that repeat an id and a text have one result, which
-each of them gets; an empty table gives an empty result; other columns are ignored by `spans` and stay in `masked`.
+each of them gets, rows without an id alike; an empty table gives an empty result; other columns are ignored by `spans` and stay in `masked`.
 """
 
 from __future__ import annotations
@@ -219,7 +219,8 @@ def digest(documents: DataFrame, accept: float = 0.5) -> DataFrame:
     joined = lambda entries: F.array_join(F.transform(F.array_sort(entries), lambda e: e["s"]), ",")
     by_doc = found.groupBy("doc_id", "source").agg(*(F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in BASE), joined(F.collect_list(F.when(F.col("base"), entry))).alias("base_spans"), joined(F.collect_list(entry)).alias("spans"))
     ids = documents.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("source"))
-    return ids.join(by_doc, ["doc_id", "source"], "left").select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
+    return ids.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("source") == F.col("_source")), "left").select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def masked(documents: DataFrame, accept: float = 0.5) -> DataFrame:
@@ -233,5 +234,5 @@ def masked(documents: DataFrame, accept: float = 0.5) -> DataFrame:
     piece = lambda s, i: F.concat(F.substring("text", F.when(i == 0, F.lit(1)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"])).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
     rest = F.substring("text", (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.char_length("text"))
     clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_spans", piece), ""), rest))
-    joined = documents.join(marks, (F.col("doc_id") == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_source")), "left")
+    joined = documents.join(marks, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_source")), "left")
     return joined.select(*(clean.alias("text") if c == "text" else F.col(c) for c in documents.columns))

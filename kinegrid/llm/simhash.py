@@ -5,7 +5,7 @@ term's hash votes on every bit; a bit is set if more than half of the weight vot
 
 Rows: a null text is an empty one, whose fingerprint is all zeros; texts of any length are read whole; rows that repeat an
 id and a text give one result, rows that repeat an id with other texts one each (the least text stands for the id as
-another's next document); an empty table gives an empty result; other columns are ignored.
+another's next document); rows without an id give none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ windows that start earlier elsewhere:
 Windows are told apart by two independent 64-bit hashes of their words.
 
 Rows: a null text has no words; texts are read whole; a text with fewer words than a window keeps all of them; of rows
-that repeat an id, equal ones have one result, which each gets, and others are places of one document; an empty table
-gives an empty result; other columns are ignored.
+that repeat an id, equal ones have one result, which each gets, and others are places of one document; rows without an id
+keep all their words; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

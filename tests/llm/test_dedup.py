@@ -176,3 +176,11 @@ def test_ids_far_apart_and_alone(spark):
     df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
     assert {r.doc_id: r.next_id for r in simhash.following(df).collect()} == dict(zip(ids, ids[1:] + ids[:1]))
     assert {r.doc_id: r.next_id for r in simhash.following(df.limit(0).union(df.where("doc_id = 0"))).collect()} == {0: 0}
+
+
+def test_rows_without_an_id(spark):
+    passage = "a passage " * 30
+    df = spark.createDataFrame([(None, passage), (None, None), (4, passage), (8, passage)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.classes(df, 4, 85).collect()} == {4: 4, 8: 4}
+    assert sorted((r.doc_id or 0, r.n_removed) for r in superkmers.remove_repeats(df).collect()) == [(0, 0), (0, 0), (4, 58), (8, 60)]
+    assert lines.dedup(df).count() == 4 and simhash.edited_fingerprints(df).count() == 2

@@ -66,6 +66,12 @@ def test_method_adds_and_masks(spark):
     assert pii.masked(df).columns == df.columns
 
 
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "write to a@b.de", 1), (None, None, 2), (3, "write to a@b.de", 3), (3, "write to a@b.de", 4)], "doc_id long, text string, source long")
+    assert sorted((r.doc_id or 0, r.n_email) for r in pii.digest(df).collect()) == [(0, 0), (0, 1), (3, 1), (3, 1)]
+    assert sorted((r.source, r.text) for r in pii.masked(df).collect()) == [(1, "write to <EMAIL>"), (2, None), (3, "write to <EMAIL>"), (4, "write to <EMAIL>")]
+
+
 def test_reliability_of_labelers():
     """EM tells a good labeler from a random one without labels."""
     rng = random.Random(5)
