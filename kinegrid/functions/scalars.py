@@ -61,3 +61,8 @@ def time_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def colour(tube_id: Column, colours: int = 10) -> Column:
     return F.pmod(tube_id - 1, F.lit(colours))
+
+
+def gray(red: Column, green: Column, blue: Column) -> Column:
+    """Luma as whole shades."""
+    return F.rint(0.299 * red + 0.587 * green + 0.114 * blue)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import GAP_DIVISORS, GAPS, Params
-from .functions.scalars import heat_level, suppressed
+from .functions.scalars import cells_along, gray, heat_level, sampling_step, scaled_size, suppressed, time_gap
 from .functions.storage import materialise
 from .operators import events, frames, fusion, overlay, pixels, spatial, stats, temporal, tubes
-from .plans import views
+from .plans import stages, views
 from .sources import sinks, videos
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,3 +440,46 @@ def blended_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letterboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = views.v_rois(spark, sf_dir).select("name", (100 + 37 * F.col("x2")).alias("w"), (80 + 53 * F.col("y2")).alias("h"))
     return overlay.letterboxed(sizes, 640, 360).select("name", "fit_w", "fit_h", "left", "top")
+
+
+@query("SELECT video_id, t, y, x, round_even(CAST(0.299 AS DOUBLE) * g + CAST(0.587 AS DOUBLE) * (255 - g) + CAST(0.114 AS DOUBLE) * (g / 2), 0) AS shade FROM v_pixels")
+def gray_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.v_pixels(spark, sf_dir).select("video_id", "t", "y", "x", gray(F.col("g"), 255 - F.col("g"), F.col("g") / 2).alias("shade"))
+
+
+@query(f"SELECT video_id, t, y, x, {r('u * (1920 / CAST(480 AS DOUBLE))', 'u')}, {r('v * (1080 / CAST(270 AS DOUBLE))', 'v')} FROM v_field")
+def rescaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v = pixels.rescaled(F.col("u"), F.col("v"), 480, 270, 1920, 1080)
+    return rounded(views.v_field(spark, sf_dir).withColumns({"u": u, "v": v}))
+
+
+@query("""SELECT name, CAST(greatest(1, round_even((10 + x2 * 2.5) / 5, 0)) AS INTEGER) AS step, CAST(greatest(1, floor((100 + x2 * 37) * 0.25)) AS INTEGER) AS w, CAST(ceil(greatest(1, floor((100 + x2 * 37) * 0.25)) / 4.0) AS INTEGER) AS cells FROM v_rois""")
+def sampling_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = scaled_size(100 + F.col("x2") * 37, 0.25)
+    return views.v_rois(spark, sf_dir).select("name", sampling_step(10 + F.col("x2") * 2.5, F.lit(5.0)).alias("step"), width.alias("w"), cells_along(width, 4).alias("cells"))
+
+
+@query(f"SELECT video_id, event_id, greatest(0, n0 - t1 - 1, t0 - n1 - 1) AS gap FROM (SELECT *, lead(t0) OVER w AS n0, lead(t1) OVER w AS n1 FROM ev WINDOW w AS (PARTITION BY video_id, y, x ORDER BY t0)) WHERE n0 IS NOT NULL", ev=_events_sql(2, 1))
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames between each event and the next one of its cell."""
+    ev = events.block_events(views.v_grid(spark, sf_dir), max_gap=2, least=1)
+    order = Window.partitionBy("video_id", "y", "x").orderBy("t0")
+    ev = ev.withColumns({"n0": F.lead("t0").over(order), "n1": F.lead("t1").over(order)}).where("n0 is not null")
+    return ev.select("video_id", "event_id", time_gap(F.col("t0"), F.col("t1"), F.col("n0"), F.col("n1")).alias("gap"))
+
+
+@query("SELECT video_id FROM (SELECT CAST(user_id % 50 AS VARCHAR) AS video_id FROM events) GROUP BY 1")
+def stored_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return videos.stored_videos(views.table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("video_id")))
+
+
+@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('max(v)', 'mu')} FROM v_grid GROUP BY ALL")
+def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units made of a stored map that holds only cells."""
+    return rounded(stages.unit_map(views.v_grid(spark, sf_dir).withColumnRenamed("v", "m"), PARAMS))
+
+
+@query("SELECT o.video_id, o.t, o.tube_id, o.t + 50 AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o WHERE o.t < 60", **_EV, **_MEM, st=_STATS)
+def overlay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = spark.range(60).select(F.lit("clip").alias("video_id"), F.col("id").cast("int").alias("t"), (F.col("id") + 50).cast("int").alias("sampled_index_curr"))
+    return frames.overlay_frames(tubes.overlays(_members(spark, sf_dir)), meta).select("video_id", "t", "tube_id", "sampled_index_curr")
