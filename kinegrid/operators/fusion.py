@@ -33,7 +33,8 @@ def fuse_magnitudes(cells: DataFrame, fusion: str) -> DataFrame:
 
 
 def fuse_vectors(cells: DataFrame, fusion: str) -> DataFrame:
-    """max takes the whole vector of the longest, the smallest gap among equals; the others go by component."""
+    """max takes the whole vector of the longest, the smallest gap among equals; the others go by component.
+    A mean that differs from 0 by rounding alone has sign +1."""
     if fusion == "max":
         length = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
         best = F.max_by(F.struct("u", "v"), F.when(~F.isnan(length), F.struct(length.alias("l"), (-F.col("gap")).alias("g"))))
@@ -41,7 +42,7 @@ def fuse_vectors(cells: DataFrame, fusion: str) -> DataFrame:
 
     def one(c: str):
         value = nan_to_null(F.col(c))
-        rms = F.sqrt(F.avg(value * value)) * F.when(F.avg(value) < 0, -1.0).otherwise(1.0)
+        rms = F.sqrt(F.avg(value * value)) * F.when(F.avg(value) < -1e-12, -1.0).otherwise(1.0)
         return {"mean": F.avg(value), "median": F.percentile(value, 0.5), "rms": rms}[fusion]
 
     return cells.groupBy(*KEYS).agg(one("u").alias("u"), one("v").alias("v"))

@@ -173,7 +173,7 @@ def _fusions() -> None:
         if way == "max":
             sql = f"SELECT video_id, t, y, x, {r('u')}, {r('v')} FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY sqrt(u * u + v * v) DESC, gap) AS k FROM n) WHERE k = 1"
         else:
-            sign = {"rms": " * CASE WHEN avg({0}) < 0 THEN -1.0 ELSE 1.0 END"}.get(way, "")
+            sign = {"rms": " * CASE WHEN avg({0}) < CAST(-1e-12 AS DOUBLE) THEN -1.0 ELSE 1.0 END"}.get(way, "")
             sql = f"SELECT video_id, t, y, x, {r((how + sign).format('u'), 'u')}, {r((how + sign).format('v'), 'v')} FROM n GROUP BY ALL"
         query(sql, n=_NORM)(vectors)
 
