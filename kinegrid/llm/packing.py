@@ -45,16 +45,17 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         start, end = end, end + capacity
 
 
-_encoders: dict[int, TextEncoder] = {}
+#: By vocabulary and pattern; kept between the tasks of a worker process.
+_encoders: dict[tuple, TextEncoder] = {}
 
 
 def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
     spark = documents.sparkSession
-    ranks = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    vocabulary = read_vocabulary(vocabulary_path)
+    ranks, key = spark.sparkContext.broadcast(vocabulary), (zlib.crc32(repr(sorted(vocabulary.items())).encode()), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = len(ranks.value)
         if key not in _encoders:
             import tiktoken
 
