@@ -30,8 +30,10 @@ SUBSTRING = 8
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 SAMPLE = 4096
 #: Standard deviations above its expected distance at which a vector as near as the k-th best is still found.
-MARGIN = 1.0
+MARGIN = 0.75
 _BITS = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
+#: The distance of each pair of substrings.
+_APART = _BITS[np.arange(1 << SUBSTRING)[:, None] ^ np.arange(1 << SUBSTRING)]
 
 
 @dataclass
@@ -75,32 +77,37 @@ def learn(sample: np.ndarray, longest: float, rounds: int = 30) -> Codes:
     return Codes(mean, projection @ rotation, longest)
 
 
+def whole_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words, padded by zeros."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
 class Block:
     """The substring indexes of a block of rows."""
 
     def __init__(self, vectors: np.ndarray, codes: np.ndarray):
-        self.vectors, self.codes = vectors, codes
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.first = [np.searchsorted(codes[o, j], np.arange((1 << SUBSTRING) + 1)) for j, o in enumerate(self.order)]
+        self.vectors, self.columns, self.words = vectors, np.ascontiguousarray(codes.T), whole_words(codes)
+        self.order = [np.argsort(c, kind="stable") for c in self.columns]
+        self.first = [np.searchsorted(c[o], np.arange((1 << SUBSTRING) + 1)) for c, o in zip(self.columns, self.order, strict=True)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius, by probing each substring within its share of it."""
         substrings = code.size
         share = radius // substrings
-        hit = np.zeros(self.codes.shape[0], bool)
+        hit = np.zeros(self.columns.shape[1], bool)
         for j in range(substrings):
             # only radius - share * substrings + 1 of the indexes need the full share
             reach = share if j <= radius - share * substrings else share - 1
             if reach < 0:
                 continue
-            ball = _BITS[np.arange(1 << SUBSTRING) ^ int(code[j])] <= reach
+            ball = _APART[code[j]] <= reach
             if reach > 1:  # so many values that all buckets are looked up at once
-                hit |= ball[self.codes[:, j]]
+                hit |= ball[self.columns[j]]
                 continue
             for value in np.flatnonzero(ball):
                 hit[self.order[j][self.first[j][value] : self.first[j][value + 1]]] = True
         rows = np.flatnonzero(hit)
-        return rows[_BITS[self.codes[rows] ^ code].sum(axis=1) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ whole_words(code[None])).sum(axis=1) <= radius]
 
 
 def radius_for(score: float, norm: float, longest: float, bits: int, margin: float = MARGIN) -> int:
@@ -119,6 +126,9 @@ def best_of_block(block: Block, ids: np.ndarray, query: np.ndarray, query_id: in
         if rows.size < min(k, others) and radius < bits:
             radius = min(bits, radius + max(1, bits // 16))
             continue
+        rough = block.vectors[rows] @ query
+        if rows.size > k:
+            rows = rows[rough >= np.partition(rough, rows.size - k)[rows.size - k] - 1e-9 * norm * longest]
         scores = (block.vectors[rows] * query).sum(axis=1)  # row by row, so that equal vectors have equal scores
         order = np.lexsort((ids[rows], -scores))[:k]
         wanted = bits if order.size < k else min(bits, radius_for(float(scores[order[-1]]), norm, longest, bits))
