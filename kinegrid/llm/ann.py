@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SUBSTRING = 8
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 SAMPLE = 4096
 #: Standard deviations above its expected distance at which a vector as near as the k-th best is still found.
 MARGIN = 0.75
