@@ -12,6 +12,7 @@ paragraph in windows that overlap by half; repeated rows give repeated results;
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -173,22 +174,22 @@ def scan(documents: DataFrame, threshold: float = 0.5, agreement: float = 0.75)
         own = [t for j, distinct, t in templates if j == k and len(distinct.intersection(tokens)) >= agreement * len(distinct)]
         return (k, float(p[k])) if any(shared_order(t, tokens) >= agreement for t in own) else None
 
-    # a paragraph that shares no pair of words with any template can have no confirmed licence
-    pairs = {(a, b) for _, _, t in templates for a, b in zip(t, t[1:], strict=False)}
-    rare = re.compile("|".join(sorted({re.escape(w) for _, _, t in templates for w in t if len(w) > 6}) + ["cc by", "mit", "bsd"]), re.IGNORECASE)
+    # a confirmed paragraph holds so large a share of a template's words that one of its longest must be among them
+    keys: set[str] = set()
+    for _, distinct, _ in templates:
+        keys |= {*sorted(distinct, key=lambda w: (-len(w), w))[: len(distinct) - math.ceil(agreement * len(distinct)) + 1]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                paragraphs = [p for p in (text or "").split("\n") if p.strip()]
+                lowered = (text or "").lower()
+                paragraphs = [p for p in lowered.split("\n") if p.strip()]
+                here = [k for k in keys if k in lowered]
                 found = []
-                for p in paragraphs:
-                    if not rare.search(p):
-                        continue
-                    tokens = words(p)
-                    if any(x in pairs for x in zip(tokens, tokens[1:], strict=False)):
-                        verdicts = [v for w in windows(tokens) if (v := judge(w))]
+                for p in paragraphs if here else ():
+                    if any(k in p for k in here):
+                        verdicts = [v for w in windows(words(p)) if (v := judge(w))]
                         if verdicts:
                             found.append(max(verdicts, key=lambda v: v[1]))
                 rows.append((len(paragraphs), len(found), ",".join(sorted({model.value.families[k] for k, _ in found})), max((c for _, c in found), default=0.0)))
