@@ -6,14 +6,15 @@ of its prefix go to index lists: two sets that link share a shingle of both pref
 a bounded hint that changes the order alone, never the result.
 
 - Index-level skipping: list entries carry size and position; a list is read in blocks of sizes, and an entry is skipped
-  if the positions leave room for too small an overlap.
+  if what follows the positions leaves room for too small an overlap (a pair need only be found by its first common shingle).
 - Answer-level skipping: first every list compares its entries with the list's least class only. A class's answers then
   derive from those: classes that are in one component already need no comparison, and two classes cannot link if their
-  distances to the least class differ by more than the threshold (the Jaccard distance is a metric).
+  distances to the least class, or the bounds known of them, differ by more than the threshold (the Jaccard distance is
+  a metric).
 
 Rows: a null or empty text, or one of white space, has no shingle and is linked with nothing; a text with fewer words
 than a shingle has its whole sequence as one; texts are read whole; rows that repeat an id are rows of one document, each of
-which gets a result; an empty table gives an empty result; other columns are ignored.
+which gets a result; rows without an id take no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def least_overlap(n, percent: int):
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def frequent_shingles(documents: DataFrame, words: int, lower: bool) -> np.ndarray:
@@ -99,9 +100,21 @@ def prefixes(documents: DataFrame, frequent: np.ndarray, words: int, percent: in
     return _texts(documents).mapInArrow(run, "doc_id long, n int, sum1 long, sum2 long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
-    """Adds the distance of each pair (a, b) of ids, and keeps it in a stored table."""
-    pairs = materialise(pairs, "pairs")
+def verified(pairs: DataFrame, docs: DataFrame, documents: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+    """a, b, links, low, high for each pair of ids: whether they link, and bounds of their distance, in a stored table.
+
+    Shingles that both prefixes hold are counted first. All others that a pair can share lie behind one of the prefixes, so
+    that most pairs are decided without their sets; the sets of the rest are compared, and their bounds are equal."""
+    side = lambda n: docs.select(F.col("doc_id").alias(n), F.col("n").alias(f"n_{n}"), F.col("prefix").alias(f"p_{n}"))
+    # the pairs grow with the documents: these joins are merged at every size, not broadcast at small ones
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    common = F.size(F.array_intersect("p_a", "p_b"))
+    behind = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    bound = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.least(common + behind, "n_a", "n_b").alias("most"))
+    bound = materialise(bound, "bounds")
+    fits = F.col("most") * (100 + percent) >= F.col("total") * percent
+    closed = bound.where(~fits).select("a", "b", F.lit(False).alias("links"), (1 - F.col("most") / (F.col("total") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"))
+    pairs = bound.where(fits).select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +122,8 @@ def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, l
             sets = [x.tobytes() for _, x in shingle_sets(batch.column(1), words, lower)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = materialise(_texts(documents).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary"), "sets")
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"set_{name}"))
+    sets = materialise(_texts(documents).join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary"), "sets")
+    whole = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +135,11 @@ def verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int, l
                 union.append(both.size - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    joined = pairs.hint("merge").join(whole("a"), "a").hint("merge").join(whole("b"), "b").select("a", "b", "set_a", "set_b")
     out = joined.mapInArrow(compare, "a long, b long, common long, total long")
-    return materialise(out.select("a", "b", (F.col("common") * 100 >= F.col("total") * percent).alias("links"), (1 - F.col("common") / F.col("total")).alias("distance")), "verified")
+    distance = 1 - F.col("common") / F.col("total")
+    exact = out.select("a", "b", (F.col("common") * 100 >= F.col("total") * percent).alias("links"), distance.alias("low"), distance.alias("high"))
+    return materialise(exact.union(closed), "verified")
 
 
 def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -140,26 +155,28 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool
     shared = materialise(entries.join(lists.select("token", "least"), "token"), "lists")
 
     room = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    # common shingles: those before the positions, this one, those after
-    fits = F.expr(f"{100 + percent} * (least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1)) >= {percent} * (n_a + n_b)")
+    # a pair is found by its first common shingle, before which it shares none: only what is left of both can be common
+    fits = F.expr(f"{100 + percent} * least(n_a - pos_a, n_b - pos_b) >= {percent} * (n_a + n_b)")
     heads_of = shared.where("c = least").select("token", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a")).dropDuplicates(["token"])
     others = shared.where("c <> least").select("token", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    first = verified(others.join(heads_of, "token").where(room & fits).select("a", "b").distinct(), documents, words, percent, lower)
+    first = verified(others.join(heads_of, "token").where(room & fits).select("a", "b").distinct(), docs, documents, words, percent, lower)
     links = first.where("links").select("a", "b")
     labels = connected_components(links, materialise)
 
     # what the first answers leave open: entries of one list in different components
     named = shared.where("c <> least").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c"))
     open_lists = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    distances = first.select(F.col("a").alias("least"), F.col("b").alias("c"), "distance")
-    named = named.join(open_lists, "token").join(distances, ["least", "c"], "left").withColumn("block", F.floor(F.log("n") / np.log(100 / percent)).cast("int"))
-    named = materialise(named.select("token", "c", "n", "pos", "label", "distance", "block"), "open")
-    left = named.select("token", "block", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "label", "distance")))
-    right = named.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("block").alias("own"), *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "label", "distance")))
-    near = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    width = np.log(100 / percent) * 1.001  # a little over the largest ratio of sizes: sets that link are in neighbouring blocks
+    distances = first.select(F.col("a").alias("least"), F.col("b").alias("c"), "low", "high")
+    named = named.join(open_lists, "token").join(distances, ["least", "c"], "left").withColumn("block", F.floor(F.log("n") / width).cast("int"))
+    named = materialise(named.select("token", "c", "n", "pos", "label", "low", "high", "block"), "open")
+    left = named.select("token", "block", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "label", "low", "high")))
+    right = named.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("block").alias("own"), *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "label", "low", "high")))
+    slack = 1 - percent / 100 + 1e-9
+    near = F.coalesce((F.col("low_a") - F.col("high_b") <= slack) & (F.col("low_b") - F.col("high_a") <= slack), F.lit(True))
     apart = (F.col("label_a") != F.col("label_b")) & ((F.col("own") > F.col("block")) | (F.col("c_a") < F.col("c_b")))
     rest = left.join(right, ["token", "block"]).where(apart & room & fits & near)
-    second = verified(rest.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), documents, words, percent, lower)
+    second = verified(rest.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), docs, documents, words, percent, lower)
     links = links.union(second.where("links").select("a", "b"))
     labels = connected_components(links, materialise).withColumnRenamed("node", "class_id")
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
