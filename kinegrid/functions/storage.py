@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _last_release = 0.0
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def release_shuffles(spark: SparkSession, every: float = 5.0) -> None:
+def release_shuffles(spark: SparkSession, every: float = 1.0) -> None:
     """Has the driver collect garbage, once in `every` seconds at most."""
     global _last_release
     if time.monotonic() - _last_release >= every:
@@ -40,4 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialise`; whatever is derived from them must be stored itself by then."""
+    for table in tables:
+        if path := _stored.pop(table, None):
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
