@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialise, shared_dir
+from ..functions.storage import discard, materialise, shared_dir
 
-__all__ = ["SLICE_BYTES", "U64", "Words", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices"]
+__all__ = ["SLICE_BYTES", "U64", "Words", "discard", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices"]
 
 U64 = np.uint64
 #: Bytes of text that one pass of the array code handles; a longer text makes a slice of its own.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import U64, Words, gram, long, materialise, mix, slices
+from .common import U64, Words, discard, gram, long, materialise, mix, slices
 
 #: At most so many frequent shingles (8 bytes each) are broadcast.
 FREQUENT = 100_000
@@ -76,6 +76,7 @@ def frequent_shingles(documents: DataFrame, words: int, lower: bool) -> np.ndarr
             break
         least = level
     top = counts.where(F.col("level") >= least).select("shingle").collect()
+    discard(counts)
     return np.sort(np.array([r[0] for r in top], np.int64).view(U64))
 
 
@@ -139,7 +140,9 @@ def verified(pairs: DataFrame, docs: DataFrame, documents: DataFrame, words: int
     out = joined.mapInArrow(compare, "a long, b long, common long, total long")
     distance = 1 - F.col("common") / F.col("total")
     exact = out.select("a", "b", (F.col("common") * 100 >= F.col("total") * percent).alias("links"), distance.alias("low"), distance.alias("high"))
-    return materialise(exact.union(closed), "verified")
+    out = materialise(exact.union(closed), "verified")
+    discard(bound, sets)
+    return out
 
 
 def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -151,7 +154,8 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool
     members = materialise(members, "classes")
     heads = members.where("doc_id = class_id and n > 0").select("doc_id").distinct()
     entries = docs.join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("c"), "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("entries"), F.min("c").alias("least")).where("entries > 1")
+    # n is counted, not rows, so that both sides of the join below read one shuffle of the prefixes
+    lists = entries.groupBy("token").agg(F.count("n").alias("entries"), F.min("c").alias("least")).where("entries > 1")
     shared = materialise(entries.join(lists.select("token", "least"), "token"), "lists")
 
     room = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -170,6 +174,7 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool
     distances = first.select(F.col("a").alias("least"), F.col("b").alias("c"), "low", "high")
     named = named.join(open_lists, "token").join(distances, ["least", "c"], "left").withColumn("block", F.floor(F.log("n") / width).cast("int"))
     named = materialise(named.select("token", "c", "n", "pos", "label", "low", "high", "block"), "open")
+    discard(shared)
     left = named.select("token", "block", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "label", "low", "high")))
     right = named.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), F.col("block").alias("own"), *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "label", "low", "high")))
     slack = 1 - percent / 100 + 1e-9
@@ -177,6 +182,7 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, lower: bool
     apart = (F.col("label_a") != F.col("label_b")) & ((F.col("own") > F.col("block")) | (F.col("c_a") < F.col("c_b")))
     rest = left.join(right, ["token", "block"]).where(apart & room & fits & near)
     second = verified(rest.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), docs, documents, words, percent, lower)
+    discard(docs, named)
     links = links.union(second.where("links").select("a", "b"))
     labels = connected_components(links, materialise).withColumnRenamed("node", "class_id")
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
