@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import U64, mix, slices
 
 ORDERS = (3, 4)
+#: Bytes of text that are predicted at once: the arrays of n-grams take some hundred times as much.
+SLICE = 1 << 18
 _SPACE = 0x20
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[:128] = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else _SPACE for b in range(128)]
@@ -131,8 +133,8 @@ def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False) ->
         model = shared.value
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            best, score = [], []
-            for a, b, data, offsets in slices(batch.column(at)):
+            # small slices, in and out: neither side ever holds a second whole batch of texts
+            for a, b, data, offsets in slices(batch.column(at), SLICE):
                 counts, _ = model.counts(data, offsets)
                 letters = np.add.reduceat(np.append((_KEEP[data] != _SPACE) & (data < 128), False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
                 for i in np.flatnonzero(~letters):
@@ -144,10 +146,9 @@ def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False) ->
                 else:
                     letters[:] = False
                     top, share = np.zeros(b - a, int), np.zeros(b - a)
-                best.append(names[np.where(letters, top, len(model.languages))])
-                score.append(np.where(letters, share, 0.0))
-            passed = [batch.column(i) for i in range(batch.num_columns)] if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*(names_out if keep else names_out[:1]), "lang_pred", "score"])
+                best = pa.array(names[np.where(letters, top, len(model.languages))], pa.string())
+                passed = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns if keep else 1)]
+                yield pa.RecordBatch.from_arrays([*passed, best, pa.array(np.where(letters, share, 0.0))], names=[*(names_out if keep else names_out[:1]), "lang_pred", "score"])
 
     schema = StructType([*(documents.schema if keep else documents.schema[:1]), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return documents.mapInArrow(run, schema)
