@@ -28,7 +28,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = lines.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), overlapping=True)
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -126,6 +126,41 @@ def test_lines_of_repeated_rows_and_shifted_passages(spark):
     assert next(n for i, n in got if i == 3) > 20  # all but the chunks at the edges
 
 
+def remove_runs(texts, least):
+    """(remaining text, lines removed): each line in `least` consecutive ones that stand earlier goes."""
+    seen, out = set(), []
+    for t in texts:
+        rows, gone = (t or "").split("\n"), set()
+        for i in range(len(rows) - least + 1):
+            key = tuple(rows[i : i + least])
+            gone |= {*range(i, i + least)} if key in seen else set()
+            seen.add(key)
+        out.append((None if t is None else "\n".join(x for k, x in enumerate(rows) if k not in gone), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_runs_of_lines_equal_brute_force(spark, least):
+    texts = corpus(6) + ["x\nx\nx\nx\ny", "é\n\n☃", "z\né\n\n☃"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts).repartition(4), least=least, overlapping=True).collect()}
+    want = {3 * i: x for i, x in enumerate(remove_runs(texts, least))}
+    assert got == want and sum(n for _, n in want.values()) > 10
+
+
+def test_op4_and_pipeline_remove_every_short_passage(spark, tmp_path):
+    import corpus_pipeline
+
+    from kinegrid.llm.queries import QUERIES
+
+    passages = ["\n".join(f"line {k} of short passage {p}" for k in range(2 + p % 3)) for p in range(40)]
+    texts = [f"before {p}\n{x}\nafter {p}" for p, x in enumerate(passages)] + [f"other {p}\nstart\t{p}\n{x}\nand {p}\nmore {p}" for p, x in enumerate(passages)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in QUERIES["op4_line_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {3 * i: 0 if i < 40 else 2 + i % 40 % 3 for i in range(80)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, documents(spark, texts), str(tmp_path)).collect()}
+    assert all(kept[3 * (40 + p)] == f"other {p}\nstart\t{p}\nand {p}\nmore {p}" for p in range(40))
+
+
 def test_simhash_edits_and_votes(spark):
     texts = corpus(7)
     df = documents(spark, texts)
