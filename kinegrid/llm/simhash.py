@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .common import let, materialise
 
 BITS = 128
+#: Bits within which texts count as near. Measured on 1,186 edited texts of sf0.1 whose 5-word Jaccard similarity is 0.80 to
+#: 0.82: 11 bits in the median, 19 in the 99th percentile, 22 at most.
+RADIUS = 23
 #: Words that one counter holds at most: 2^30 votes.
 _LANES = 0x0000000100000001
 _IDS_PER_BUCKET = 4096
@@ -74,35 +77,34 @@ def following(documents: DataFrame) -> DataFrame:
     return inside.join(after, "bucket").select("doc_id", F.coalesce("inside", "after", F.lit(low).cast("long")).alias("next_id"))
 
 
-def near(queries: DataFrame, fingerprints: DataFrame, radius: int = 3) -> DataFrame:
+def near(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """query half0, half1 and n_near: how many rows of `fingerprints` lie within the radius, the query's own included.
 
-    Of radius + 1 blocks at least one is equal within the radius: table t of the permuted block tables is keyed by block
-    t. Equal fingerprints are one row of the tables; a pair counts in the first table that finds it.
+    Of the eight blocks of 16 bits at least one differs by radius // 8 bits or fewer within the radius: a fingerprint is in
+    the tables by each of its blocks, and a query looks up all values so near to each of its own. Equal fingerprints are one
+    row of the tables; a pair counts in the first block that finds it.
     """
-    blocks, width = radius + 1, BITS // (radius + 1)
-    if width * blocks != BITS or 64 % width:
-        raise ValueError("the blocks must divide the fingerprint")
-    halves = ["half0", "half1"]
-
-    def block(names: list[str], t: int) -> Column:
-        return F.shiftright(F.col(names[t * width // 64]), t * width % 64).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-
-    def tables(names: list[str]) -> Column:
-        return F.explode(F.array(*(F.struct(F.lit(t).alias("t"), block(names, t).alias("key")) for t in range(blocks))))
-
-    classes = fingerprints.groupBy(*halves).agg(F.count("*").alias("n")).select(*halves, "n", tables(halves).alias("b")).select(*halves, "n", "b.*")
-    asked = queries.select(*(F.col(x).alias(f"q_{x}") for x in halves)).distinct()
-    asked = asked.withColumn("b", tables([f"q_{x}" for x in halves])).select(*(f"q_{x}" for x in halves), "b.*")
-    within = distance([F.col(x) for x in halves], [F.col(f"q_{x}") for x in halves]) <= radius
+    blocks, width = 8, BITS // 8
+    reach, halves = radius // blocks, ["half0", "half1"]
+    masks = [m for m in range(1 << width) if m.bit_count() <= reach]
+    bits = lambda value, t: F.shiftright(value, t * width % 64).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    # the block's number and value in one
+    tables = lambda names: F.explode(F.array(*(bits(F.col(names[t * width // 64]), t).bitwiseOR(F.lit(t << width)) for t in range(blocks))))
+    classes = fingerprints.groupBy(*halves).agg(F.count("*").alias("n")).select(*halves, "n", tables(halves).alias("key"))
+    q_halves = [f"q_{x}" for x in halves]
+    asked = queries.select(*(F.col(x).alias(f"q_{x}") for x in halves)).distinct().select(*q_halves, tables(q_halves).alias("own"))
+    asked = asked.select(*q_halves, "own", F.explode(F.lit(masks)).alias("mask")).select(*q_halves, F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+    apart = [F.col(x).bitwiseXOR(F.col(q)) for x, q in zip(halves, q_halves, strict=True)]
+    within = distance([F.col(x) for x in halves], [F.col(x) for x in q_halves]) <= radius
     first = F.lit(True)
     for t in range(blocks - 1):
-        first = first & ((F.col("t") <= t) | (block(halves, t) != block([f"q_{x}" for x in halves], t)))
-    found = asked.join(classes, ["t", "key"]).where(within & first)
-    return found.groupBy(*(F.col(f"q_{x}").alias(x) for x in halves)).agg(F.sum("n").alias("n_near"))
+        first = first & ((F.shiftright("key", width) <= t) | (F.bit_count(bits(apart[t * width // 64], t)) > reach))
+    # both grow with the documents: merged at every size, not broadcast
+    found = asked.hint("merge").join(classes.hint("merge"), "key").where(within & first)
+    return found.groupBy(*(F.col(q).alias(x) for x, q in zip(halves, q_halves, strict=True))).agg(F.sum("n").alias("n_near"))
 
 
-def edited_fingerprints(documents: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
+def edited_fingerprints(documents: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFrame:
     """For each document its fingerprint, that of its edited text (the last quarter replaced by the start of the next
     document), their likenesses, and for ids divisible by `every` the number of other documents within `radius` bits."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -206,6 +206,37 @@ def test_near_fingerprints_equal_brute_force(spark):
     assert got == {(signed(v >> 64), signed(v & (1 << 64) - 1)): sum((v ^ w).bit_count() <= 3 for w in values) for v in values}
 
 
+def test_edited_texts_are_near(spark):
+    """Copies with a word in a few dozen replaced, at a 5-word similarity of 0.8 and more."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        edited = [*words]
+        while len(a := shingles(" ".join(words), 5)) and 100 * len(a & (b := shingles(" ".join(edited), 5))) >= 80 * len(a | b):
+            rows[2 * i :] = [(100 * i, " ".join(words)), (100 * i + 1, " ".join(edited))]
+            edited[rng.randrange(len(edited))] = f"e{rng.randrange(3000)}"
+    got = {r.doc_id: r for r in simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart = lambda a, b: (int(got[a].fingerprint, 16) ^ int(got[b].fingerprint, 16)).bit_count()
+    assert {i: got[i].n_near for i in range(0, 6000, 100)} == {i: sum(apart(i, j) <= simhash.RADIUS for j in got) - 1 for i in range(0, 6000, 100)}
+    assert sum(apart(i, i + 1) > 3 for i in range(0, 6000, 100)) > 40 and all(got[i].n_near >= 1 for i in range(0, 6000, 100))
+
+
+@pytest.mark.parametrize("radius", [0, 7, 8, 23, 26])
+def test_near_of_other_radii_equals_brute_force(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(5)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 30))) for b in base for _ in range(20)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(v >> 64), signed(v & (1 << 64) - 1)) for v in values], "half0 long, half1 long")
+    got = {(r.half0, r.half1): r.n_near for r in simhash.near(df, df, radius).collect()}
+    assert got == {(signed(v >> 64), signed(v & (1 << 64) - 1)): sum((v ^ w).bit_count() <= radius for w in values) for v in values}
+
+
 def test_ids_far_apart_and_alone(spark):
     ids = [-(2**62), -5, 0, 1, 2**40, 2**62]
     df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
