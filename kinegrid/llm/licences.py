@@ -5,8 +5,11 @@ the templates, with words left out and surroundings added, and on paragraphs of
 Its confidence is calibrated on held-out paragraphs by a temperature, and what stays under the threshold is `unknown`. A prediction
 counts if a template of its family shares enough of its words in the same order with the paragraph.
 
+Licence texts are often wrapped: beside the lines, each block of lines up to a blank one, without their comment marks, is
+read as one text, and adds the families that none of its lines has alone.
+
 Rows: a null or empty text has no paragraph; a paragraph is a line that is not blank; texts are read whole, a long
-paragraph in windows that overlap by half; repeated rows give repeated results; an empty table gives an empty result
+paragraph or block in windows that overlap by half; repeated rows give repeated results; an empty table gives an empty result
 (the classifier is then fitted on the templates alone); other columns are ignored.
 """
 
@@ -56,6 +59,10 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 14
 #: Documents of which a paragraph is an example of `unknown`, at most; words of a window of a long paragraph.
 SAMPLE, WINDOW = 1000, 64
+#: Words of a block's windows -> lengths of the templates that they are compared with: short ones would be lost in long windows.
+BLOCK_WINDOWS = {16: range(1, 10), WINDOW: range(10, 10**6)}
+#: What a line of a comment starts with.
+_COMMENT = re.compile(r"^\s*(?:(?://+|/\*+|\*+/|\*+|#+|;+|--+|%+|<!--|>+|(?:rem|dnl)(?=\s|$))\s*)*")
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -147,13 +154,26 @@ def fit(unknown: list[str], rounds: int = 200, rate: float = 2.0, decay: float =
     return model
 
 
-def windows(tokens: list[str]) -> Iterator[list[str]]:
-    for start in range(0, max(1, len(tokens) - WINDOW // 2), WINDOW // 2):
-        yield tokens[start : start + WINDOW]
+def windows(tokens: list[str], size: int = WINDOW) -> Iterator[list[str]]:
+    for start in range(0, max(1, len(tokens) - size // 2), size // 2):
+        yield tokens[start : start + size]
+
+
+def blocks(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines that are not blank, without comment marks at their starts."""
+    block: list[str] = []
+    for line in lines:
+        if bare := _COMMENT.sub("", line, count=1).strip():
+            block.append(bare)
+        elif block:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def scan(documents: DataFrame, threshold: float = 0.5, agreement: float = 0.75) -> DataFrame:
-    """doc_id, n_paragraphs, n_licence (those with a confirmed licence), licences (families, sorted and joined by commas),
+    """doc_id, n_paragraphs, n_licence (those with a confirmed licence, and for each block its families beyond those), licences (families, sorted and joined by commas),
     confidence (the highest of a confirmed paragraph, else 0)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = "(?i)licen[sc]e|permission|redistribut|warrant|copyright|spdx|apache|creative commons"
@@ -166,12 +186,12 @@ def scan(documents: DataFrame, threshold: float = 0.5, agreement: float = 0.75)
     model = docs.sparkSession.sparkContext.broadcast(fit(unknown))
     templates = [(k, set(words(t)), words(t)) for k, texts in enumerate(TEMPLATES.values()) for t in texts]
 
-    def judge(tokens: list[str]) -> tuple[int, float] | None:
+    def judge(tokens: list[str], lengths: range = range(10**6)) -> tuple[int, float] | None:
         p = model.value.probabilities(buckets(tokens))
         k = int(p.argmax())
         if model.value.families[k] == UNKNOWN or p[k] < threshold:
             return None
-        own = [t for j, distinct, t in templates if j == k and len(distinct.intersection(tokens)) >= agreement * len(distinct)]
+        own = [t for j, distinct, t in templates if j == k and len(t) in lengths and len(distinct.intersection(tokens)) >= agreement * len(distinct)]
         return (k, float(p[k])) if any(shared_order(t, tokens) >= agreement for t in own) else None
 
     # a confirmed paragraph holds so large a share of a template's words that one of its longest must be among them
@@ -186,12 +206,22 @@ def scan(documents: DataFrame, threshold: float = 0.5, agreement: float = 0.75)
                 lowered = (text or "").lower()
                 paragraphs = [p for p in lowered.split("\n") if p.strip()]
                 here = [k for k in keys if k in lowered]
-                found = []
+                found, lines = [], {}
                 for p in paragraphs if here else ():
                     if any(k in p for k in here):
                         verdicts = [v for w in windows(words(p)) if (v := judge(w))]
                         if verdicts:
                             found.append(max(verdicts, key=lambda v: v[1]))
+                            lines.setdefault(_COMMENT.sub("", p, count=1).strip(), set()).update(k for k, _ in verdicts)
+                for block in blocks(lowered.split("\n")) if here else ():
+                    if len(block) > 1:
+                        tokens, best = words("\n".join(block)), {}
+                        for size, lengths in BLOCK_WINDOWS.items():
+                            for w in windows(tokens, size):
+                                if not keys.isdisjoint(w) and (v := judge(w, lengths)):
+                                    best[v[0]] = max(v[1], best.get(v[0], 0.0))
+                        known = {k for p in block for k in lines.get(p, ())}
+                        found += [(k, c) for k, c in best.items() if k not in known]
                 rows.append((len(paragraphs), len(found), ",".join(sorted({model.value.families[k] for k, _ in found})), max((c for _, c in found), default=0.0)))
             columns = [*zip(*rows, strict=True)] or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True))], names=["doc_id", "n_paragraphs", "n_licence", "licences", "confidence"])

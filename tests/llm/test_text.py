@@ -184,3 +184,27 @@ def test_licences(spark):
     names = [k for k in lines for _ in range(3)]
     assert [got[3 * i].licences for i in range(12)] == names
     assert all(r.licences == "" and r.n_licence == 0 for i, r in got.items() if i >= 36)
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nYou should have received a copy of the GNU General Public License along with this program.",
+        "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    }
+    rng = random.Random(9)
+    cases = []
+    for name, text in texts.items():
+        for width in (40, 72, 80):
+            for mark in ("", "# ", "// ", " * "):
+                rows = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n")).split("\n")
+                cases.append((name, prose(rng, 30) + "\n\n" + "\n".join((mark + x).rstrip() for x in rows) + "\n\n" + prose(rng, 30), text.count("\n\n") + 1))
+    cases += [("mit", prose(rng, 9) + " released under\nthe MIT License. " + prose(rng, 9), 1), ("mit", "# Released under the MIT License.\n# " + prose(rng, 9), 1)]
+    clean = [prose(rng, 9) + "\n" + prose(rng, 9), "the license\nof a permission\nis copyright of the software", "a permission is granted\nto the apache tribe\nunder the version", "released\n\nunder the\n\nMIT License"]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, [t for _, t, _ in cases] + clean)).collect()}
+    assert [got[3 * i].licences for i in range(len(cases))] == [name for name, _, _ in cases]
+    assert [got[3 * i].n_licence for i in range(len(cases))] == [n - (name == "bsd" and n == 3) for name, _, n in cases]
+    assert all(got[3 * i].licences == "" and got[3 * i].n_licence == 0 for i in range(len(cases), len(cases) + len(clean)))
