@@ -5,6 +5,9 @@ piece may be shorter). Lengths are at most `capacity`, so their histogram has a
 the driver, and says for each length which of its pieces (by rank) goes to which sequence and place. Ranks within a length
 are dealt over hashed buckets, so that a length that a third of all pieces have is no single group.
 
+With `added` the vocabulary's added tokens are found in texts first and have their ids there, as the `tokenizers` library has it
+by default; without, their strings are ordinary text.
+
 Rows: a null text is an empty one (a piece with id 0 alone); equal rows give equal pieces, each placed once; texts of any
 length are cut whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -12,6 +15,7 @@ length are cut whole; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections import Counter
@@ -37,6 +41,15 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens -> id. Of those that start at one place the longest counts."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens", [])
+    if any(x.get(k) for x in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take white space, whole words or normalised text are not supported")
+    return {x["content"]: x["id"] for x in sorted(tokens, key=lambda x: -len(x["content"]))}
+
+
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of each piece of n tokens."""
     start, end = 0, n - (n - 1) // capacity * capacity
@@ -49,10 +62,12 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
+def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
     spark = documents.sparkSession
     vocabulary = read_vocabulary(vocabulary_path)
+    tokens = {x: struct.pack("<I", i) for x, i in read_added(vocabulary_path).items()} if added else {}
+    parts = re.compile("(" + "|".join(map(re.escape, tokens)) + ")") if tokens else None
     ranks, key = spark.sparkContext.broadcast(vocabulary), (zlib.crc32(repr(sorted(vocabulary.items())).encode()), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +77,11 @@ def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: i
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
             _encoders[key] = TextEncoder(lambda x: struct.pack(f"<{len(i := own.encode_ordinary(x))}I", *i))
         encoder = _encoders[key]
+        whole = lambda text: b"".join(tokens[x] if x in tokens else encoder(x) for x in parts.split(text) if x) if parts and parts.search(text) else encoder(text)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encoder(text or "") + b"\0\0\0\0")
+                ids = memoryview(whole(text or "") + b"\0\0\0\0")
                 rows += [(doc, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = [*zip(*rows, strict=True)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -162,6 +178,6 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048) -> DataFrame:
+def pack(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    return place(materialise(pieces(documents, vocabulary_path, pattern, capacity), "pieces"), capacity)
+    return place(materialise(pieces(documents, vocabulary_path, pattern, capacity, added), "pieces"), capacity)

@@ -208,3 +208,22 @@ def test_wrapped_licences(spark):
     assert [got[3 * i].licences for i in range(len(cases))] == [name for name, _, _ in cases]
     assert [got[3 * i].n_licence for i in range(len(cases))] == [n - (name == "bsd" and n == 3) for name, _, n in cases]
     assert all(got[3 * i].licences == "" and got[3 * i].n_licence == 0 for i in range(len(cases), len(cases) + len(clean)))
+
+
+def test_op10_and_pipeline_have_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    import corpus_pipeline
+
+    from kinegrid.llm.queries import QUERIES
+
+    texts = corpus(10, 12) + ["end<|endoftext|>x", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>  a", "<|endoftext|", "<<|endoftext|>>", "x  <|endoftext|>  y"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {3 * i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert sum(50256 in x for x in want.values()) >= 6
+    df = documents(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for found in (QUERIES["op10_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, df, str(tmp_path))):
+        rows = found.collect()
+        assert {i: sum(r.length for r in rows if r.doc_id == i) for i in want} == {i: len(x) for i, x in want.items()}
+        for r in rows:
+            ids = want[r.doc_id][r.start : r.start + r.length]
+            assert zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) == r.ids_crc32
