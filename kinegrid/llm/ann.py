@@ -30,7 +30,7 @@ SUBSTRING = 8
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 SAMPLE = 4096
 #: Standard deviations above its expected distance at which a vector as near as the k-th best is still found.
-MARGIN = 0.75
+MARGIN = 1.0
 _BITS = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 #: The distance of each pair of substrings.
 _APART = _BITS[np.arange(1 << SUBSTRING)[:, None] ^ np.arange(1 << SUBSTRING)]
