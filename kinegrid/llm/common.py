@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import discard, materialise, shared_dir
 
-__all__ = ["SLICE_BYTES", "U64", "Words", "discard", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices"]
+__all__ = ["SLICE_BYTES", "U64", "Words", "discard", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices", "unused"]
 
 U64 = np.uint64
 #: Bytes of text that one pass of the array code handles; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -28,6 +28,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser (the public SplitMix64 constants)."""
     x = x + U64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

@@ -13,7 +13,7 @@ from .common import load
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(load(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard.classes(load(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = language.train(docs.where(~held_out))
-    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    model = language.train(docs.where(F.coalesce(~held_out, F.lit(True))))
+    return language.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,11 @@ SQL: dict[str, str] = {
       link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
       edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
       reach AS (SELECT a AS i, a AS j FROM edge UNION SELECT r.i, e.b FROM reach r JOIN edge e ON e.a = r.j),
-      root AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
-      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN root ON root.i = d.doc_id""",
+      root AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+      degree AS (SELECT a AS i, count(*) AS n_links FROM edge GROUP BY a),
+      same AS (SELECT b AS i, min(a) AS class_id FROM (SELECT a, b, c FROM p UNION ALL SELECT b, a, c FROM p) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c = x.n AND c = y.n GROUP BY b)
+      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(same.class_id, d.doc_id), d.doc_id) AS class_id, coalesce(root.component_id, d.doc_id) AS component_id, coalesce(degree.n_links, 0) AS n_links
+      FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN root ON root.i = d.doc_id LEFT JOIN degree ON degree.i = d.doc_id LEFT JOIN same ON same.i = d.doc_id""",
     "op7_super_kmers": f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
       win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
       dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),

@@ -35,22 +35,66 @@ def groups(ids, linked):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (1, 60, 3)])
+def jaccard_answers(rows, n, percent):
+    """(doc_id, n_shingles, class_id, component_id, n_links) of each (doc_id, text), by comparing all pairs."""
+    sets = [shingles(t, n) for _, t in rows]
+    linked = [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and 100 * len(x & y) >= percent * len(x | y)]
+    root = groups(range(len(rows)), linked)
+    least, degree = {}, [0] * len(rows)
+    for i, (doc, _) in enumerate(rows):
+        least[root[i]] = min(doc, least.get(root[i], doc))
+    for i, j in linked:
+        degree[i] += 1
+        degree[j] += 1
+    classes = {}
+    for (doc, _), x in zip(rows, sets):
+        classes[frozenset(x)] = min(doc, classes.get(frozenset(x), doc))
+    return sorted((doc, len(x), classes[frozenset(x)] if x else doc, least[root[i]], degree[i]) for i, ((doc, _), x) in enumerate(zip(rows, sets)))
+
+
+def around(seed, copies, words=120, most=30, start=0):
+    """Copies of one text with up to `most` words changed, so that pairs lie on both sides of the threshold; all begin alike."""
+    import random
+
+    rng, out = random.Random(seed), []
+    base = [f"b{i}" for i in range(words)]
+    for _ in range(copies):
+        text = [*base]
+        for _ in range(rng.randint(0, most)):
+            text[rng.randrange(8, words)] = f"e{rng.randrange(40)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (1, 60, 3), (2, 95, 4)])
 def test_jaccard_equals_brute_force(spark, n, percent, seed):
-    texts = corpus(seed)
-    df = documents(spark, texts).repartition(5)
-    sets = {3 * i: shingles(t, n) for i, t in enumerate(texts)}
-    linked = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= percent * len(x | y)]
-    want = groups(sets, linked)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, n, percent).collect()}
-    assert got == {i: (len(s), want[i]) for i, s in sets.items()}
-
-
-def test_jaccard_of_one_large_group_of_near_copies(spark):
-    base = [f"b{i}" for i in range(200)]
-    texts = [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(0, 200, 2)]
-    got = jaccard.classes(documents(spark, texts), 4, 85).collect()
-    assert {r.component_id for r in got} == {0} and {r.class_id for r in got} == {r.doc_id for r in got}
+    texts = corpus(seed) + around(seed, 60, 90, 12) + around(seed + 9, 40, 40, 3)
+    got = sorted(tuple(r) for r in jaccard.classes(documents(spark, texts).repartition(5), n, percent).collect())
+    assert got == jaccard_answers([(3 * i, t) for i, t in enumerate(texts)], n, percent)
+
+
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Stars of many blocks, tables of few rows."""
+    monkeypatch.setattr(jaccard, "BLOCK", 900)
+    monkeypatch.setattr(jaccard, "CELLS", 300)
+    texts = around(5, 150, 80, 8) + around(6, 60, 80, 8)
+    got = sorted(tuple(r) for r in jaccard.classes(documents(spark, texts).repartition(5), 3, 80).collect())
+    want = jaccard_answers([(3 * i, t) for i, t in enumerate(texts)], 3, 80)
+    assert got == want and len({x[3] for x in want}) > 5 and max(x[4] for x in want) > 20
+
+
+def test_jaccard_of_ids_that_repeat(spark):
+    texts = corpus(3, 24)
+    rows = [(i % 20, t) for i, t in enumerate(texts)] + [(2, texts[2]), (5, texts[7]), (None, texts[0])]
+    df = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, first string")
+    got = sorted(tuple(r) for r in jaccard.classes(df).collect())
+    assert got == jaccard_answers(rows[:-1], 5, 80)
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    kept, sets = kept.collect(), [shingles(t, 5) for _, t in rows[:-1]]
+    root = groups(range(len(sets)), [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and 100 * len(x & y) >= 80 * len(x | y)])
+    assert sum(r.doc_id is not None for r in kept) == len({*root.values()}) and sum(r.doc_id is None for r in kept) == 1
+    assert {root[int(r["first"][1:])] for r in kept if r.doc_id is not None} == {*root.values()}
 
 
 def test_empty_tables(spark):
