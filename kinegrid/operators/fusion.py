@@ -11,12 +11,13 @@ KEYS = ("video_id", "t", "y", "x")
 
 
 def normalise(cells: DataFrame, divisors: dict[int, float]) -> DataFrame:
-    """u, v, m over the gap's divisor, 1 for a gap that has none. The divisors are a small broadcast table."""
+    """u, v, m over the gap's divisor, 1 for a gap that has none, rounded to single precision. The divisors are a small
+    broadcast table."""
     if any(d <= 0 for d in divisors.values()):
         raise ValueError("gap divisors must be positive")
     table = cells.sparkSession.createDataFrame([*divisors.items()], "gap int, div double")
     joined = cells.join(F.broadcast(table), "gap", "left").withColumn("div", F.coalesce("div", F.lit(1.0)))
-    return joined.withColumns({c: F.col(c) / F.col("div") for c in ("u", "v", "m") if c in cells.columns}).drop("div")
+    return joined.withColumns({c: (F.col(c) / F.col("div")).cast("float") for c in ("u", "v", "m") if c in cells.columns}).drop("div")
 
 
 def complete(cells: DataFrame, gaps: int) -> DataFrame:
@@ -25,24 +26,26 @@ def complete(cells: DataFrame, gaps: int) -> DataFrame:
 
 
 def fuse_magnitudes(cells: DataFrame, fusion: str) -> DataFrame:
-    m = nan_to_null(F.col("m"))
+    """Over the gaps, in double precision; the result is rounded to single."""
+    m = nan_to_null(F.col("m").cast("double"))
     how = {"mean": F.avg(m), "max": F.max(m), "median": F.percentile(m, 0.5), "rms": F.sqrt(F.avg(m * m))}
     if fusion not in how:
         raise ValueError(f"unknown fusion {fusion}")
-    return cells.groupBy(*KEYS).agg(F.coalesce(how[fusion], F.lit(float("nan"))).alias("m"))
+    return cells.groupBy(*KEYS).agg(F.coalesce(how[fusion], F.lit(float("nan"))).cast("float").alias("m"))
 
 
 def fuse_vectors(cells: DataFrame, fusion: str) -> DataFrame:
-    """max takes the whole vector of the longest, the smallest gap among equals; the others go by component.
-    A mean that differs from 0 by rounding alone has sign +1."""
+    """max takes the whole vector of the longest, the smallest gap among equals; the others go by component, in double
+    precision, and are rounded to single. The sum of a few single-precision values is exact, and so is the sign of their mean; 0 counts as +1."""
     if fusion == "max":
-        length = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+        u, v = F.col("u").cast("double"), F.col("v").cast("double")
+        length = F.sqrt(u * u + v * v)
         best = F.max_by(F.struct("u", "v"), F.when(~F.isnan(length), F.struct(length.alias("l"), (-F.col("gap")).alias("g"))))
-        return cells.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.u", "b.v")
+        return cells.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, F.col("b.u").cast("float").alias("u"), F.col("b.v").cast("float").alias("v"))
 
     def one(c: str):
-        value = nan_to_null(F.col(c))
-        rms = F.sqrt(F.avg(value * value)) * F.when(F.avg(value) < -1e-12, -1.0).otherwise(1.0)
+        value = nan_to_null(F.col(c).cast("double"))
+        rms = F.sqrt(F.avg(value * value)) * F.when(F.avg(value) < 0, -1.0).otherwise(1.0)
         return {"mean": F.avg(value), "median": F.percentile(value, 0.5), "rms": rms}[fusion]
 
-    return cells.groupBy(*KEYS).agg(one("u").alias("u"), one("v").alias("v"))
+    return cells.groupBy(*KEYS).agg(*(one(c).cast("float").alias(c) for c in ("u", "v")))

@@ -30,6 +30,15 @@ def tensor(grads: DataFrame) -> DataFrame:
     return grads.withColumns({"jxx": F.col("ix") * F.col("ix"), "jyy": F.col("iy") * F.col("iy"), "jxy": F.col("ix") * F.col("iy")})
 
 
+def smoothed(products: DataFrame, height: int, width: int, sigma: float = 1.5) -> DataFrame:
+    """The products, averaged by a Gaussian: along the rows, then along the columns."""
+    names = ("jxx", "jyy", "jxy")
+    weights = gaussian_weights(sigma)
+    offsets = [i - len(weights) // 2 for i in range(len(weights))]
+    rows = stencil(products, {(0, d): (w,) * 3 for d, w in zip(offsets, weights, strict=True)}, names, height, width, names)
+    return stencil(rows, {(d, 0): (w,) * 3 for d, w in zip(offsets, weights, strict=True)}, names, height, width, names)
+
+
 def eigenvalues(df: DataFrame) -> DataFrame:
     """lambda1 >= lambda2 >= 0 of jxx, jyy, jxy."""
     trace = F.col("jxx") + F.col("jyy")

@@ -23,8 +23,8 @@ def block_mean(df: DataFrame, block: int, least: float | None = None, values: tu
 
 
 def block_max(df: DataFrame, block: int, value: str = "m") -> DataFrame:
-    """Largest value that is a number in each block; NaN if there is none."""
-    best = F.coalesce(F.max(nan_to_null(F.col(value))), F.lit(float("nan")))
+    """Largest value that is a number in each block, in single precision; NaN if there is none."""
+    best = F.coalesce(F.max(nan_to_null(F.col(value))), F.lit(float("nan"))).cast("float")
     return df.groupBy(*_frame(df), F.floor(F.col("y") / block).cast("int").alias("y"), F.floor(F.col("x") / block).cast("int").alias("x")).agg(best.alias(value))
 
 
@@ -51,9 +51,11 @@ def window_weighted_mean(pixels: DataFrame, height: int, width: int, stride: int
     return found.groupBy(*_frame(pixels), F.col("cy").alias("y"), F.col("cx").alias("x")).agg(*means)
 
 
-def stencil(pixels: DataFrame, kernel: dict[tuple[int, int], tuple[float, ...]], names: tuple[str, ...], height: int, width: int, value: str = "g") -> DataFrame:
-    """Weighted sums over neighbours: kernel maps (dy, dx) to a weight for each name. Every pixel goes to its neighbours."""
+def stencil(pixels: DataFrame, kernel: dict[tuple[int, int], tuple[float, ...]], names: tuple[str, ...], height: int, width: int, value: str | tuple[str, ...] = "g") -> DataFrame:
+    """Weighted sums over neighbours: kernel maps (dy, dx) to a weight for each name, of one value or of one for each name.
+    Every pixel goes to its neighbours."""
+    values = (value,) * len(names) if isinstance(value, str) else value
     weights = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), *(F.lit(float(k)).alias(n) for n, k in zip(names, ks, strict=True))) for (dy, dx), ks in kernel.items()))
     asked = pixels.select(*_frame(pixels), "y", "x", F.explode(weights).alias("k")).select(*_frame(pixels), F.col("y").alias("cy"), F.col("x").alias("cx"), "k", reflected(F.col("y") + F.col("k.dy"), height).alias("y"), reflected(F.col("x") + F.col("k.dx"), width).alias("x"))
-    found = asked.join(pixels.select(*_frame(pixels), "y", "x", value), [*_frame(pixels), "y", "x"])
-    return found.groupBy(*_frame(pixels), F.col("cy").alias("y"), F.col("cx").alias("x")).agg(*(F.sum(F.col(f"k.{n}") * F.col(value)).alias(n) for n in names))
+    found = asked.join(pixels.select(*_frame(pixels), "y", "x", *dict.fromkeys(values)), [*_frame(pixels), "y", "x"])
+    return found.groupBy(*_frame(pixels), F.col("cy").alias("y"), F.col("cx").alias("x")).agg(*(F.sum(F.col(f"k.{n}") * F.col(v)).alias(n) for n, v in zip(names, values, strict=True)))
