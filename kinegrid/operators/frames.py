@@ -18,10 +18,15 @@ def sampled(frames: DataFrame, target_fps: float, max_seconds: float | None = No
     return out if max_seconds is None else out.where(F.col("timestamp_sec") <= max_seconds)
 
 
-def renumbered(frames: DataFrame) -> DataFrame:
-    """sampled_index by position, for frames that were picked otherwise."""
-    order = Window.partitionBy("video_id").orderBy("frame_idx")
-    return frames.withColumn("sampled_index", (F.row_number().over(order) - 1).cast("int"))
+def renumbered(frames: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """sampled_index by position, for frames that were picked otherwise.
+
+    Frames are ranked within stretches of their numbers, on top of a running total of the stretches before: no task sorts a video."""
+    part = F.floor(F.col("frame_idx") / stretch)
+    sizes = frames.groupBy("video_id", part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("video_id", "part", (F.sum("n").over(Window.partitionBy("video_id").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = frames.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("video_id", "part").orderBy("frame_idx")))
+    return ranked.join(before, ["video_id", "part"]).withColumn("sampled_index", (F.col("rank") + F.col("before") - 1).cast("int")).drop("part", "rank", "before")
 
 
 def short_videos(frames: DataFrame, least: int = 8) -> DataFrame:
@@ -29,6 +34,13 @@ def short_videos(frames: DataFrame, least: int = 8) -> DataFrame:
     return frames.groupBy("video_id").agg(F.count("*").alias("n_frames")).where(F.col("n_frames") < least)
 
 
+def long_enough(frames: DataFrame, least: int = 8) -> DataFrame:
+    """The same frames; the job fails with the name of a video that has fewer than `least`. Sizes are partial aggregates that go back by a join."""
+    sizes = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
+    checked = sizes.where(F.when(F.col("n_frames") >= least, True).otherwise(F.raise_error(F.concat(F.lit("too few frames in "), "video_id")).cast("boolean")))
+    return frames.join(checked.select("video_id"), "video_id")
+
+
 def gap_pairs(frames: DataFrame, gaps: tuple[int, ...], carried: tuple[str, ...] = ("frame_idx", "timestamp_sec")) -> DataFrame:
     """Each frame with the one `gap` samples before it: an equi-join on (video_id, index), for all gaps at once."""
     curr = frames.select("video_id", "sampled_index", *carried, F.explode(F.array(*map(F.lit, gaps))).alias("gap")).withColumn("prev_index", F.col("sampled_index") - F.col("gap"))

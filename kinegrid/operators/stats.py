@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -10,11 +10,31 @@ from ..functions.scalars import finite
 PERCENTILES = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
 
-def percentiles(df: DataFrame, value: str, percents: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """One row: the interpolated percentiles of the finite values, as columns P50 and so on; NaN if there is none."""
-    v = F.col(value).cast("double")
-    out = df.where(finite(F.col(value))).agg(F.percentile(v, F.array(*(F.lit(p / 100) for p in percents))).alias("p"))
-    return out.select(*(F.coalesce(F.col("p")[i], F.lit(float("nan"))).alias(f"P{p:g}".replace(".", "_")) for i, p in enumerate(percents)))
+def percentiles(df: DataFrame, value: str, percents: tuple[float, ...] = PERCENTILES, accuracy: int = 10_000) -> DataFrame:
+    """One row: the exact interpolated percentiles of the finite values, as columns P50 and so on; NaN if there is none.
+
+    A mergeable sketch brackets each percentile, and only values within a bracket (some `n / accuracy`, equal ones as one row) are
+    ranked: no task holds all values. `df` is read three times."""
+    values = df.where(finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
+    n = values.count()
+    names = [f"P{p:g}".replace(".", "_") for p in percents]
+    if not n:
+        return df.sparkSession.range(1).select(*(F.lit(float("nan")).alias(x) for x in names))
+    margin = 2 / accuracy + 2 / n
+    at = lambda sign: [min(1.0, max(0.0, p / 100 + sign * margin)) for p in percents]
+    ends = values.agg(F.percentile_approx("v", at(-1), accuracy).alias("low"), F.percentile_approx("v", at(1), accuracy).alias("high")).first()
+    brackets = [(i, p / 100 * (n - 1), float(lo), float(hi)) for i, (p, lo, hi) in enumerate(zip(percents, ends["low"], ends["high"], strict=True))]
+    struct = lambda b: F.struct(F.lit(b[0]).alias("i"), F.lit(b[1]).alias("place"), F.lit(b[2]).alias("low"), F.lit(b[3]).alias("high"))
+    # each value counts below a bracket or lies in it
+    seen = values.select("v", F.explode(F.array(*map(struct, brackets))).alias("b")).where("v <= b.high")
+    counted = seen.groupBy("b.i", "b.place", F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("i").orderBy(F.asc_nulls_first("v"))
+    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("after", F.col("upto") - F.col("n"))
+    holds = lambda place: (F.col("after") <= place) & (place < F.col("upto"))
+    lower, upper = F.floor("place"), F.least(F.floor("place") + 1, F.lit(n - 1))
+    found = ranked.groupBy("i", "place").agg(F.max(F.when(holds(lower), F.col("v"))).alias("x"), F.max(F.when(holds(upper), F.col("v"))).alias("y"))
+    found = found.select("i", (F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - F.floor("place"))).alias("p"))
+    return found.agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(x) for i, x in enumerate(names)))
 
 
 def boxed(pixels: DataFrame, rois: DataFrame, height: int, width: int) -> DataFrame:
@@ -41,7 +61,8 @@ def for_display(df: DataFrame, value: str, percent: float = 99.0, low: float | N
     """Adds `shade`: the value between its least and its percentile (or the given bounds) as 0..255, half to even; values
     that are not finite give 0."""
     v = F.col(value).cast("double")
-    bounds = df.where(finite(v)).agg(F.min(v).alias("lo"), F.percentile(v, percent / 100).alias("hi"))
+    top = percentiles(df, value, (percent,)).toDF("hi") if high is None else df.sparkSession.range(1).select(F.lit(high).alias("hi"))
+    bounds = df.where(finite(v)).agg(F.min(v).alias("lo")).crossJoin(top)  # one row each
     lo = F.lit(low) if low is not None else F.col("lo")
     hi = F.lit(high) if high is not None else F.col("hi")
     bounds = bounds.select(lo.alias("lo"), F.when(hi <= lo, lo + 1e-6).otherwise(hi).alias("hi"))

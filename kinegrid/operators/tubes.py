@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import time_gap
-from ..functions.storage import materialise
+from ..functions.storage import discard, materialise
 from .graph import connected_components
 
 
@@ -22,17 +22,26 @@ def chebyshev_offsets(radius: int, own: bool = False):
     return F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in r for dx in r if own or dy or dx))
 
 
-def neighbour_edges(events: DataFrame, radius: int = 2) -> DataFrame:
-    """video_id, a, b (a < b): events of different cells within the radius that overlap in time."""
-    near = events.select("video_id", F.col("event_id").alias("a"), F.col("t0").alias("a0"), F.col("t1").alias("a1"), "y", "x", F.explode(chebyshev_offsets(radius)).alias("o"))
-    near = near.select("video_id", "a", "a0", "a1", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    other = events.select("video_id", "y", "x", F.col("event_id").alias("b"), F.col("t0").alias("b0"), F.col("t1").alias("b1"))
-    return near.join(other, ["video_id", "y", "x"]).where("a < b and a0 <= b1 and b0 <= a1").select("video_id", "a", "b")
+def _stretches(first: str, last: str, length: int):
+    """The numbers of the stretches of `length` that an inclusive interval reaches."""
+    return F.explode(F.sequence(F.floor(F.col(first) / length), F.floor(F.col(last) / length)))
+
+
+def neighbour_edges(events: DataFrame, radius: int = 2, stretch: int = 64) -> DataFrame:
+    """video_id, a, b (a < b): events of different cells within the radius that overlap in time.
+
+    Events meet by cell and stretch of time; a pair counts in the stretch in which its overlap begins."""
+    timed = events.select("video_id", "event_id", "y", "x", "t0", "t1", _stretches("t0", "t1", stretch).alias("s"))
+    near = timed.select("video_id", F.col("event_id").alias("a"), F.col("t0").alias("a0"), F.col("t1").alias("a1"), "y", "x", "s", F.explode(chebyshev_offsets(radius)).alias("o"))
+    near = near.select("video_id", "s", "a", "a0", "a1", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    other = timed.select("video_id", "s", "y", "x", F.col("event_id").alias("b"), F.col("t0").alias("b0"), F.col("t1").alias("b1"))
+    begins = F.floor(F.greatest("a0", "b0") / stretch) == F.col("s")
+    return near.join(other, ["video_id", "s", "y", "x"]).where(F.expr("a < b and a0 <= b1 and b0 <= a1") & begins).select("video_id", "a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """video_id, node, component over edges (video_id, a, b)."""
-    found = connected_components(edges.select(F.struct("video_id", F.col("a").alias("id")).alias("a"), F.struct("video_id", F.col("b").alias("id")).alias("b")), materialise)
+    found = connected_components(edges.select(F.struct("video_id", F.col("a").alias("id")).alias("a"), F.struct("video_id", F.col("b").alias("id")).alias("b")), materialise, drop=discard)
     return found.select("node.video_id", F.col("node.id").alias("node"), F.col("component.id").alias("component"))
 
 
@@ -88,13 +97,21 @@ def proximity_merge(members: DataFrame, distance: int = 2, gap: int = 20) -> Dat
         members = materialise(members.join(labels, ["video_id", "tube_id"], "left").withColumn("tube_id", F.coalesce("component", "tube_id")).drop("component"), "tubes")
 
 
-def contained(stats: DataFrame) -> DataFrame:
-    """video_id, tube_id of tubes whose box in x, y and t lies in another's that is not the same."""
-    inner = stats.select("video_id", "tube_id", "t0", "t1", "x1", "y1", "x2", "y2")
-    outer = inner.select("video_id", *(F.col(c).alias(f"o_{c}") for c in inner.columns[1:]))
+def contained(stats: DataFrame, stretch: int = 64, block: int = 8) -> DataFrame:
+    """video_id, tube_id of tubes whose box in x, y and t lies in another's that is not the same.
+
+    A box lies only in boxes that hold its least corner: each box meets those that reach the corner's block of space and time."""
+    boxes = stats.select("video_id", "tube_id", "t0", "t1", "x1", "y1", "x2", "y2")
+    keys = {"bt": ("t0", "t1", stretch), "by": ("y1", "y2", block), "bx": ("x1", "x2", block)}
+    inner = boxes.select("*", *(F.floor(F.col(first) / size).alias(k) for k, (first, _, size) in keys.items()))
+    outer = boxes.select("video_id", *(F.col(c).alias(f"o_{c}") for c in boxes.columns[1:]))
+    for k, (first, last, size) in keys.items():
+        outer = outer.select("*", _stretches(f"o_{first}", f"o_{last}", size).alias(f"o_{k}"))
+    outer = outer.withColumnRenamed("video_id", "o_video_id")
     inside = "o_t0 <= t0 and o_t1 >= t1 and o_x1 <= x1 and o_y1 <= y1 and o_x2 >= x2 and o_y2 >= y2"
     same = "o_t0 = t0 and o_t1 = t1 and o_x1 = x1 and o_y1 = y1 and o_x2 = x2 and o_y2 = y2"
-    found = inner.join(outer, (inner["video_id"] == outer["video_id"]) & F.expr(f"o_tube_id <> tube_id and {inside} and not ({same})"), "left_semi")
+    meet = "video_id = o_video_id and bt = o_bt and by = o_by and bx = o_bx"
+    found = inner.join(outer, F.expr(f"{meet} and o_tube_id <> tube_id and {inside} and not ({same})"), "left_semi")
     return found.select("video_id", "tube_id")
 
 
@@ -141,6 +158,14 @@ def tracks(members: DataFrame) -> DataFrame:
     return stats.join(parts, ["video_id", "tube_id"]).join(frames, ["video_id", "tube_id"]).select("video_id", "tube_id", "t0", "t1", "duration", "num_cells", "num_block_events", F.array("x1", "y1", "x2", "y2").alias("spatial_bbox_grid"), "members", "per_frame")
 
 
+def hull_prisms(members: DataFrame, unit: int = 1) -> DataFrame:
+    """Corner points (x, t, y) of each whole tube's box, with the end of time exclusive."""
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dt"), F.lit(k).alias("dy")) for i in (0, 1) for j in (0, 1) for k in (0, 1)))).alias("c")
+    rows = tube_stats(members).select("*", corner)
+    pick = lambda flag, low, high: F.when(F.col(f"c.{flag}") == 0, low).otherwise(high)
+    return rows.select("video_id", "tube_id", (pick("dx", F.col("x1"), F.col("x2")) * unit).alias("px"), pick("dt", F.col("t0"), F.col("t1") + 1).alias("pt"), (pick("dy", F.col("y1"), F.col("y2")) * unit).alias("py"))
+
+
 def prisms(members: DataFrame, unit: int = 1) -> DataFrame:
     """Corner points (x, t, y) of a box for each event, with the end of time exclusive."""
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dt"), F.lit(k).alias("dy")) for i in (0, 1) for j in (0, 1) for k in (0, 1)))).alias("c")

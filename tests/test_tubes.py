@@ -1,4 +1,5 @@
 import json
+import random
 
 from kinegrid.config import Params
 from kinegrid.operators import tubes
@@ -59,3 +60,25 @@ def test_no_edges(spark):
 def test_no_tubes(spark):
     cells = spark.createDataFrame([("v", 0, 0, 0, 0.1)], "video_id string, t int, y int, x int, mu double")
     assert tubes.build_tubes(cells, Params()).count() == 0
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(1, 120):
+        y, x, t = rng.randrange(30), rng.randrange(30), rng.randrange(300)
+        h, w, n = (rng.choice((0, 1, 3, 20)) for _ in range(3))
+        rows += [("vw"[i % 2], i, 2 * i, y, x, t, t + n), ("vw"[i % 2], i, 2 * i + 1, y + h, x + w, t + n * 5, t + n * 9)]
+    stats = tubes.tube_stats(spark.createDataFrame(rows, MEMBERS))
+    boxes = {(r.video_id, r.tube_id): (r.t0, r.t1, r.y1, r.y2, r.x1, r.x2) for r in stats.collect()}
+    inside = lambda a, b: a != b and all(b[k] <= a[k] and a[k + 1] <= b[k + 1] for k in (0, 2, 4))
+    want = {i for i, a in boxes.items() if any(i != j and i[0] == j[0] and inside(a, b) for j, b in boxes.items())}
+    assert want and {(r.video_id, r.tube_id) for r in tubes.contained(stats).collect()} == want
+
+
+def test_neighbours_over_stretches_of_time(spark):
+    rng = random.Random(5)
+    rows = [("v", i, rng.randrange(5), rng.randrange(5), t, t + rng.choice((0, 5, 70, 300))) for i in range(150) for t in [rng.randrange(400)]]
+    got = [(r.a, r.b) for r in tubes.neighbour_edges(spark.createDataFrame(rows, EVENTS)).collect()]
+    want = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and 1 <= max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= 2 and a[4] <= b[5] and b[4] <= a[5]]
+    assert sorted(got) == sorted(want)
