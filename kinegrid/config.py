@@ -48,6 +48,7 @@ class Params:
             "sampling_fps must be positive": self.sampling_fps > 0,
             f"fusion must be one of {', '.join(FUSIONS)}": self.fusion in FUSIONS,
             "gap 1 must be among the gaps": 1 in self.gaps,
+            "gaps must be 1 or more and differ": all(g >= 1 for g in self.gaps) and len({*self.gaps}) == len(self.gaps),
             "gap divisors must be positive": all(x > 0 for x in self.gap_divisors.values()),
             "the window must not be smaller than the stride": self.cell_window >= self.cell_stride >= 1,
             "tau_low must not exceed tau_high": self.tau_low <= self.tau_high,

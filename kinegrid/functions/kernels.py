@@ -58,6 +58,11 @@ def structure_tensor(image: np.ndarray, sigma: float = 1.5) -> dict[str, np.ndar
 
 
 def aperture_reliability(image: np.ndarray, flow: np.ndarray, sigma: float = 1.5, strong: float = 950.0, power: float = 2.0, alpha: float = 1.0, eps: float = 1e-6) -> np.ndarray:
+    return aperture_fields(image, flow, sigma, strong, power, alpha, eps)["reliability"]
+
+
+def aperture_fields(image: np.ndarray, flow: np.ndarray, sigma: float = 1.5, strong: float = 950.0, power: float = 2.0, alpha: float = 1.0, eps: float = 1e-6) -> dict[str, np.ndarray]:
+    """The reliability and what it is made of: lambda1, lambda2, edgeness, strong (0 or 1), alignment, penalty."""
     st = structure_tensor(image, sigma)
     normals = np.stack([np.stack([st["jxy"], st["lambda1"] - st["jxx"]], -1), np.stack([st["lambda1"] - st["jyy"], st["jxy"]], -1)])
     lengths = np.linalg.norm(normals, axis=-1)
@@ -66,8 +71,9 @@ def aperture_reliability(image: np.ndarray, flow: np.ndarray, sigma: float = 1.5
     tangent = np.where(length >= 1e-6, np.stack([-normal[..., 1], normal[..., 0]], -1) / np.maximum(length, 1e-12), [1.0, 0.0])
     speed = np.linalg.norm(flow, axis=-1)
     along = np.where(speed < 1e-6, 0, np.clip(np.abs((flow * tangent).sum(-1)) / np.maximum(speed, 1e-6), 0, 1))
-    penalty = np.where(st["lambda1"] > strong, (1 - st["lambda2"] / (st["lambda1"] + eps)) * along**power, 0)
-    return np.clip(1 - alpha * penalty, 0, 1)
+    edgeness, edge = 1 - st["lambda2"] / (st["lambda1"] + eps), st["lambda1"] > strong
+    penalty = np.where(edge, edgeness * along**power, 0)
+    return {"lambda1": st["lambda1"], "lambda2": st["lambda2"], "edgeness": edgeness, "strong": edge.astype(np.float64), "alignment": along, "penalty": penalty, "reliability": np.clip(1 - alpha * penalty, 0, 1)}
 
 
 def expansion(image: np.ndarray, n: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:

@@ -12,16 +12,52 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions import kernels
 from ..functions.scalars import magnitude
-from ..operators import frames as fr
+from ..functions.storage import materialise
 from ..operators import fusion, spatial, temporal, tubes
+from ..operators import frames as fr
+
+_DIAGNOSTICS = ("lambda1", "lambda2", "edgeness", "strong", "alignment", "penalty", "reliability")
+
+
+def faults(frames: DataFrame, params: Params, least: int = 8) -> DataFrame:
+    """video_id, error for the videos that no stage can take: a frame whose bytes are not of its size, sizes or numbers that do not
+    go together, or too few frames for a stage or for the largest gap."""
+    n, last = F.count("*"), F.max("sampled_index")
+    bad = F.count_if(F.col("gray").isNull() | (F.length("gray") != F.col("h") * F.col("w")))
+    stats = frames.groupBy("video_id").agg(n.alias("n"), F.min("sampled_index").alias("first"), last.alias("last"), bad.alias("bad"), (F.max("h") - F.min("h") + F.max("w") - F.min("w")).alias("sizes"))
+    gap = max(params.gaps)
+    error = (
+        F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" frames are not of their size")))
+        .when(F.col("sizes") > 0, "frames of different sizes")
+        .when((F.col("first") != 0) | (F.col("last") != F.col("n") - 1), "frames are missing or repeated")
+        .when(F.col("n") < least, F.concat(F.lit("too few frames: "), F.col("n").cast("string")))
+        .when(F.col("n") <= gap, F.concat(F.col("n").cast("string"), F.lit(f" frames for a gap of {gap}")))
+    )
+    return stats.select("video_id", error.alias("error")).where(F.col("error").isNotNull())
 
 
-def quarter_frames(frames: DataFrame, params: Params) -> DataFrame:
-    """Frames at the flow's scale, h and w of that scale, full_h and full_w of the original. Frames stay one row each."""
+def unmatched(frames: DataFrame, stored: DataFrame) -> DataFrame:
+    """video_id, error for the videos whose stored first stage is missing or was made of another number of frames. `stored` has
+    video_id and num_sampled, a row for each video."""
+    now = frames.groupBy("video_id").agg(F.count("*").alias("n"))
+    both = now.join(stored.select("video_id", "num_sampled"), "video_id", "left")
+    error = F.when(F.col("num_sampled").isNull(), "no stored first stage").when(F.col("num_sampled") != F.col("n"), F.format_string("the first stage has %d frames, the video %d", F.col("num_sampled"), F.col("n")))
+    return both.select("video_id", error.alias("error")).where(F.col("error").isNotNull())
+
+
+def without(df: DataFrame, errors: DataFrame) -> DataFrame:
+    """The rows of the videos that have no error."""
+    return df.join(errors.select("video_id"), "video_id", "left_anti")
+
+
+def quarter_frames(frames: DataFrame, params: Params, blur: float | None = None) -> DataFrame:
+    """Frames at the flow's scale, h and w of that scale, full_h and full_w of the original, smoothed first by `blur`. Frames
+    stay one row each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            small = [kernels.area_downscale(np.frombuffer(g, np.uint8).reshape(h, w), params.input_scale) for g, h, w in zip(batch["gray"], batch["h"], batch["w"], strict=True)]
+            whole = (np.frombuffer(g, np.uint8).reshape(h, w).astype(np.float64) for g, h, w in zip(batch["gray"], batch["h"], batch["w"], strict=True))
+            small = [kernels.area_downscale(kernels.smooth(g, blur) if blur else g, params.input_scale) for g in whole]
             out = batch[["video_id", "sampled_index", "frame_idx", "timestamp_sec"]].copy()
             out["full_h"], out["full_w"] = batch["h"], batch["w"]
             out["h"], out["w"] = [s.shape[0] for s in small], [s.shape[1] for s in small]
@@ -31,29 +67,116 @@ def quarter_frames(frames: DataFrame, params: Params) -> DataFrame:
     return frames.mapInPandas(run, "video_id string, sampled_index int, frame_idx int, timestamp_sec double, full_h int, full_w int, h int, w int, gray binary")
 
 
-def cell_vectors(pairs: DataFrame, params: Params) -> DataFrame:
-    """One row for each cell of each pair of frames: only cells leave the kernel, never pixels."""
+def _flows(chunk: pd.DataFrame, params: Params, gaps: tuple[int, ...], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(gap, index, image, flow) of the frames that a chunk owns."""
+    held = {r.sampled_index: (np.frombuffer(r.gray, np.float32).reshape(r.h, r.w), r.full_w / r.w, r.full_h / r.h) for r in chunk.itertuples()}
+    for i in sorted(held):
+        if i // length == chunk["chunk"].iloc[0]:
+            for gap in gaps:
+                if i - gap in held:
+                    image, x, y = held[i]
+                    flow = kernels.dense_flow(held[i - gap][0], image) * np.array([x, y])
+                    flow[np.linalg.norm(flow, axis=-1) < params.min_magnitude] = 0
+                    yield gap, i, image, flow
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                curr, prev = (np.frombuffer(g, np.float32).reshape(r.h_curr, r.w_curr) for g in (r.gray_curr, r.gray_prev))
-                flow = kernels.dense_flow(prev, curr) * np.array([r.full_w_curr / r.w_curr, r.full_h_curr / r.h_curr])
-                flow[np.linalg.norm(flow, axis=-1) < params.min_magnitude] = 0
-                weight = kernels.aperture_reliability(curr, flow, params.tensor_sigma, params.edge_strength, params.align_power, params.aperture_alpha, params.tensor_eps)
-                cells = kernels.weighted_cells(flow, weight, params.cell_stride, params.cell_window).astype(np.float32)
+
+def _fields(image: np.ndarray, flow: np.ndarray, params: Params) -> dict[str, np.ndarray]:
+    return kernels.aperture_fields(image, flow, params.tensor_sigma, params.edge_strength, params.align_power, params.aperture_alpha, params.tensor_eps)
+
+
+def _chunks(quarter: DataFrame, gaps: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """Frames by chunks of time: a frame goes to its own chunk, and to the next if a frame there looks back at it."""
+    length = max(64, 2 * max(gaps))
+    return quarter.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("sampled_index") / length), F.floor((F.col("sampled_index") + max(gaps)) / length)))), length
+
+
+def cell_vectors(quarter: DataFrame, params: Params, gaps: tuple[int, ...] | None = None) -> DataFrame:
+    """One row for each cell of each frame and gap: only cells leave the kernel, never pixels. A video in which the kernel
+    fails has a row with `error` and without a cell instead of ending the job."""
+    gaps = gaps or params.gaps
+    chunks, length = _chunks(quarter, gaps)
+
+    def run(chunk: pd.DataFrame) -> pd.DataFrame:
+        video, parts = chunk["video_id"].iloc[0], []
+        try:
+            for gap, i, image, flow in _flows(chunk, params, gaps, length):
+                cells = kernels.weighted_cells(flow, _fields(image, flow, params)["reliability"], params.cell_stride, params.cell_window).astype(np.float32)
                 y, x = (a.ravel() for a in np.indices(cells.shape[:2], np.int32))
-                yield pd.DataFrame({"video_id": r.video_id, "gap": np.int32(r.gap), "t": np.int32(r.sampled_index_curr), "y": y, "x": x, "u": cells[..., 0].ravel(), "v": cells[..., 1].ravel()})
+                parts.append(pd.DataFrame({"video_id": video, "gap": np.int32(gap), "t": np.int32(i), "y": y, "x": x, "u": cells[..., 0].ravel(), "v": cells[..., 1].ravel(), "error": None}))
+        except Exception as e:  # whatever a kernel raises is a fault of this video alone
+            parts = [pd.DataFrame([{"video_id": video, "error": f"{type(e).__name__}: {e}"}])]
+        names = ["video_id", "gap", "t", "y", "x", "u", "v", "error"]
+        return pd.concat(parts).reindex(columns=names) if parts else pd.DataFrame(columns=names)
+
+    return chunks.groupBy("video_id", "chunk").applyInPandas(run, "video_id string, gap int, t int, y int, x int, u float, v float, error string")
 
-    return pairs.mapInPandas(run, "video_id string, gap int, t int, y int, x int, u float, v float")
+
+def diagnostics(frames: DataFrame, params: Params, gap: int = 1) -> DataFrame:
+    """video_id, gap, t, y, x and what the reliability of each pixel at the flow's scale is made of."""
+    chunks, length = _chunks(quarter_frames(frames, params), (gap,))
+
+    def run(chunk: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for g, i, image, flow in _flows(chunk, params, (gap,), length):
+            y, x = (a.ravel() for a in np.indices(image.shape, np.int32))
+            fields = {k: v.ravel().astype(np.float32) for k, v in _fields(image, flow, params).items()}
+            parts.append(pd.DataFrame({"video_id": chunk["video_id"].iloc[0], "gap": np.int32(g), "t": np.int32(i), "y": y, "x": x} | fields))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["video_id", "gap", "t", "y", "x", *_DIAGNOSTICS])
+
+    kinds = ", ".join(f"{k} float" for k in _DIAGNOSTICS)
+    return chunks.groupBy("video_id", "chunk").applyInPandas(run, f"video_id string, gap int, t int, y int, x int, {kinds}")
+
+
+def flows_by_blur(frames: DataFrame, params: Params, blurs: dict[str, float | None], gap: int = 1) -> DataFrame:
+    """Cell vectors once for each named blur of the frames, with its name."""
+    found = [cell_vectors(quarter_frames(frames, params, blur), params, (gap,)).where("error is null").drop("error").withColumn("blur", F.lit(name)) for name, blur in blurs.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def base_cells(frames: DataFrame, params: Params, gaps: tuple[int, ...] | None = None, start: int | None = None) -> DataFrame:
-    """Gated, smoothed cell vectors for each gap, aligned so that t = 0 is the first frame that every gap has."""
+    """Gated, smoothed cell vectors for each gap, aligned so that t = 0 is the first frame that every gap has; of videos
+    without a fault."""
+    return base_and_errors(frames, params, gaps, start)[0]
+
+
+def base_and_errors(frames: DataFrame, params: Params, gaps: tuple[int, ...] | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(base cells of the videos that went well; video_id, error of the others)."""
+    gaps = gaps or params.gaps
+    early = materialise(faults(frames, params), "faults")
+    found = materialise(cell_vectors(quarter_frames(without(frames, early), params), params, gaps), "vectors")
+    late = found.where("error is not null").groupBy("video_id").agg(F.min("error").alias("error"))
+    cells = without(found.where("error is null").drop("error"), late)
+    cells = temporal.gated_mean(cells, params.persistence_window, params.persistence_min, params.mean_radius)
+    return temporal.align(cells, max(gaps) if start is None else start), early.union(late)
+
+
+def frame_meta(frames: DataFrame, params: Params, gaps: tuple[int, ...] | None = None, start: int | None = None) -> DataFrame:
+    """video_id, t, gap, and index, frame and time of the current frame and of the one `gap` before it: what each map was made of."""
     gaps = gaps or params.gaps
-    pairs = fr.gap_pairs(quarter_frames(frames, params), gaps, ("gray", "h", "w", "full_h", "full_w"))
-    cells = temporal.gated_mean(cell_vectors(pairs, params), params.persistence_window, params.persistence_min, params.mean_radius)
-    return temporal.align(cells, max(gaps) if start is None else start)
+    start = max(gaps) if start is None else start
+    pairs = fr.gap_pairs(frames, gaps).where(F.col("sampled_index_curr") >= start)
+    return pairs.select("video_id", (F.col("sampled_index_curr") - start).alias("t"), *(c for c in pairs.columns if c != "video_id"))
+
+
+def run_meta(frames: DataFrame, params: Params, gaps: tuple[int, ...] | None = None, start: int | None = None) -> DataFrame:
+    """One row for each video: the number of its frames, its grids, and the parameters of the run."""
+    gaps = gaps or params.gaps
+    scaled = lambda c: F.greatest(F.lit(1), F.floor(F.max(c) * params.input_scale).cast("int"))
+    size = frames.groupBy("video_id").agg(F.count("*").cast("int").alias("num_sampled"), F.max("h").alias("height"), F.max("w").alias("width"), F.ceil(scaled("h") / params.cell_stride).cast("int").alias("cell_rows"), F.ceil(scaled("w") / params.cell_stride).cast("int").alias("cell_columns"))
+    cell = round(params.cell_stride / params.input_scale)
+    known = {"gaps": F.array(*map(F.lit, gaps)), "align_start": F.lit(max(gaps) if start is None else start), "cell_px": F.lit(cell), "unit_px": F.lit(cell * params.unit_block)}
+    return size.withColumns(known | {k: F.lit(getattr(params, k)) for k in ("sampling_fps", "input_scale", "min_magnitude", "cell_stride", "cell_window", "mean_radius", "persistence_window", "persistence_min", "unit_block", "fusion")})
+
+
+def gap_maps(cells: DataFrame, params: Params) -> DataFrame:
+    """The map of each gap, raw and over its divisor: video_id, gap, t, y, x, u, v, m, u_norm, v_norm, m_norm."""
+    keys = ["video_id", "gap", "t", "y", "x"]
+    raw = cells.withColumns({f"{c}_raw": F.col(c) for c in ("u", "v", "m")})
+    even = fusion.normalise(raw, {g: params.gap_divisors.get(g, 1.0) for g in params.gaps})
+    return even.select(*keys, *(F.col(f"{c}_raw").alias(c) for c in ("u", "v", "m")), *(F.col(c).alias(f"{c}_norm") for c in ("u", "v", "m")))
 
 
 def fused_cells(cells: DataFrame, params: Params) -> DataFrame:
@@ -67,7 +190,7 @@ def fused_cells(cells: DataFrame, params: Params) -> DataFrame:
 def unit_cells(fused: DataFrame, params: Params) -> DataFrame:
     """video_id, t, y, x, mu, uu, uv: block maxima of the magnitude and block means of the vector."""
     m = spatial.block_max(fused, params.unit_block).withColumnRenamed("m", "mu")
-    v = spatial.block_mean(fused, params.unit_block).withColumnsRenamed({"u": "uu", "v": "uv"})
+    v = spatial.block_mean(fused, params.unit_block).select("video_id", "t", "y", "x", F.col("u").cast("float").alias("uu"), F.col("v").cast("float").alias("uv"))
     return m.join(v, ["video_id", "t", "y", "x"])
 
 
@@ -91,5 +214,19 @@ def with_magnitude(cells: DataFrame) -> DataFrame:
 
 
 def run(frames: DataFrame, params: Params | None = None) -> DataFrame:
+    """The nested tubes of all videos without a fault."""
+    return run_with_errors(frames, params)[0]
+
+
+def run_with_errors(frames: DataFrame, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nested tubes; video_id, error of the videos that have none because of a fault)."""
     params = params or Params()
-    return roi_tubes(unit_cells(fused_cells(base_cells(frames, params), params), params), params)
+    cells, errors = base_and_errors(frames, params)
+    return roi_tubes(unit_cells(fused_cells(cells, params), params), params), errors
+
+
+def results(frames: DataFrame, tracks: DataFrame, errors: DataFrame) -> DataFrame:
+    """A row for each video: video_id, error (null if it went well), num_tubes. `sinks.run_summary` counts them."""
+    found = tracks.groupBy("video_id").agg(F.count("*").alias("num_tubes"))
+    out = frames.select("video_id").distinct().join(errors, "video_id", "left").join(found, "video_id", "left")
+    return out.select("video_id", "error", F.coalesce("num_tubes", F.lit(0)).alias("num_tubes"))

@@ -11,6 +11,18 @@ def write_map(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").partitionBy("video_id").parquet(path)
 
 
+def write_stage_one(cells: DataFrame, frame_meta: DataFrame, run_meta: DataFrame, path: str) -> None:
+    """Base cells with their diagnostics, what each map was made of, and the run's parameters, each by video."""
+    for name, table in (("cells", cells), ("frame_meta", frame_meta), ("run_meta", run_meta)):
+        write_map(table, f"{path}/{name}")
+
+
+def write_stage_two(fused: DataFrame, units: DataFrame, gap_maps: DataFrame, frame_meta: DataFrame, run_meta: DataFrame, path: str) -> None:
+    """Fused and unit maps, the map of each gap raw and normalised, frames and parameters, each by video."""
+    for name, table in (("fused", fused), ("units", units), ("gap_maps", gap_maps), ("frame_meta", frame_meta), ("run_meta", run_meta)):
+        write_map(table, f"{path}/{name}")
+
+
 def with_aliases(fused: DataFrame, fusion: str) -> DataFrame:
     """Columns by the names that readers probe for; m_max is the fused map whatever the fusion is."""
     out = fused.withColumns({f"m_{fusion}": F.col("m")})
@@ -27,3 +39,8 @@ def track_json(tracks: DataFrame) -> DataFrame:
 def run_summary(results: DataFrame) -> DataFrame:
     """num_ok, num_failed, num_suppressed over (video_id, error, num_suppressed) rows."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("num_ok"), F.count_if(F.col("error").isNotNull()).alias("num_failed"), F.coalesce(F.sum("num_suppressed"), F.lit(0)).alias("num_suppressed"))
+
+
+def figure_summary(results: DataFrame) -> DataFrame:
+    """num_ok, num_failed and the sorted figures of the videos that went well, over (video_id, error, figure) rows."""
+    return results.agg(F.count_if(F.col("error").isNull()).alias("num_ok"), F.count_if(F.col("error").isNotNull()).alias("num_failed"), F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.col("figure")))).alias("images"))

@@ -45,6 +45,17 @@ def resolve(spark: SparkSession, videos: DataFrame, roots: list[str], suffix: st
     return videos.join(best, "video_id"), videos.join(best, "video_id", "left_anti")
 
 
+def stored_maps(paths: DataFrame, fusion: str = "rms") -> DataFrame:
+    """The stored second stage of each video, of (video_id, path) rows: that of the wanted fusion, else of any, else by an older
+    name; of equally good ones the first path."""
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[a-z]+)?/?$", 1)
+    rank = F.when(name == F.concat(F.col("video_id"), F.lit(f"_gap_fusion_{fusion}")), 0)
+    for i, kind in enumerate(("gap_fusion", "stage2_agg", "stage3_agg"), 1):
+        rank = rank.when(name.startswith(F.concat(F.col("video_id"), F.lit(f"_{kind}_"))), i)
+    order = Window.partitionBy("video_id").orderBy("rank", "path")
+    return paths.withColumn("rank", rank).where("rank is not null").withColumn("at", F.row_number().over(order)).where("at = 1").select("video_id", "path")
+
+
 def stored_videos(maps: DataFrame) -> DataFrame:
     """The ids that a stored map holds; a partition column is read from the listing alone."""
     return maps.select("video_id").distinct().orderBy("video_id")

@@ -1,5 +1,7 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from kinegrid.config import Params
 from kinegrid.functions import kernels
@@ -83,3 +85,93 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = {(r.y, r.t0, r.t1) for r in spark.table("found_events").collect()}
     assert got == {(r.y, r.t0, r.t1) for r in hysteresis_events(cells).collect()}
+
+
+def frame_table(spark, rows):
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["video_id", "sampled_index", "frame_idx", "timestamp_sec", "h", "w", "gray"]), FRAMES)
+
+
+SMALL = Params(input_scale=0.5, gaps=(1, 2), gap_divisors={1: 1.0, 2: 2.0}, unit_block=2, min_event=2, min_tube_duration=2, persistence_min=0.5)
+
+
+def test_a_broken_video_does_not_end_the_job(spark):
+    good = frame_rows()
+    torn = [("torn", *r[1:6], r[6][:-1] if r[1] == 3 else r[6]) for r in good]
+    short = [("short", *r[1:]) for r in good[:5]]
+    holes = [("holes", *r[1:]) for r in good if r[1] != 4]
+    frames = frame_table(spark, good + torn + short + holes)
+    cells, errors = stages.base_and_errors(frames, SMALL)
+    found = {r.video_id: r.error for r in errors.collect()}
+    assert set(found) == {"torn", "short", "holes"}
+    assert found["torn"] == "1 frames are not of their size" and found["short"] == "too few frames: 5" and found["holes"] == "frames are missing or repeated"
+    assert {r.video_id for r in cells.select("video_id").distinct().collect()} == {"clip"}
+    tracks, errors = stages.run_with_errors(frames, SMALL)
+    results = stages.results(frames, tracks, errors)
+    summary = sinks.run_summary(results.withColumnRenamed("num_tubes", "num_suppressed")).first()
+    assert (summary.num_ok, summary.num_failed) == (1, 3)
+    assert {r.error for r in stages.faults(frame_table(spark, good), Params()).collect()} == {"16 frames for a gap of 50"}
+
+
+def test_a_failing_kernel_is_a_fault_of_its_video(spark):
+    quarter = stages.quarter_frames(frame_table(spark, frame_rows(8) + [("odd", *r[1:]) for r in frame_rows(8)]), SMALL)
+    cut = quarter.withColumn("gray", F.when((F.col("video_id") == "odd") & (F.col("sampled_index") == 5), F.expr("substring(gray, 1, 8)")).otherwise(F.col("gray")))
+    cells = stages.cell_vectors(cut, SMALL).toPandas()
+    assert set(cells[cells.error.notna()].video_id) == {"odd"} and cells.error.dropna().iloc[0].startswith("ValueError")
+    assert set(cells[cells.video_id == "clip"].t) == set(range(1, 8))
+
+
+def test_chunks_of_time_give_each_pair_once(spark):
+    rows = [("clip", i, i, i / 5, 16, 16, bytes([(i * 7 + k) % 256 for k in range(256)])) for i in range(140)]
+    cells = stages.cell_vectors(stages.quarter_frames(frame_table(spark, rows), Params()), Params())
+    got = sorted((r.gap, r.t) for r in cells.where("error is null and y = 0 and x = 0").select("gap", "t").collect())
+    assert got == sorted((g, t) for g in Params().gaps for t in range(g, 140))
+
+
+def test_second_stage_needs_the_first(spark):
+    frames = frame_table(spark, frame_rows() + [("none", *r[1:]) for r in frame_rows()] + [("other", *r[1:]) for r in frame_rows()])
+    stored = spark.createDataFrame([("clip", 16), ("other", 15)], "video_id string, num_sampled int")
+    assert {r.video_id: r.error for r in stages.unmatched(frames, stored).collect()} == {"none": "no stored first stage", "other": "the first stage has 15 frames, the video 16"}
+
+
+def test_stores_hold_frames_runs_and_gap_maps(spark, tmp_path):
+    frames = frame_table(spark, frame_rows())
+    cells = stages.base_cells(frames, SMALL)
+    sinks.write_stage_one(cells, stages.frame_meta(frames, SMALL), stages.run_meta(frames, SMALL), str(tmp_path / "one"))
+    meta = spark.read.parquet(str(tmp_path / "one" / "frame_meta")).where("t = 0").orderBy("gap").collect()
+    assert [(r.gap, r.sampled_index_curr, r.sampled_index_prev, r.frame_idx_prev) for r in meta] == [(1, 2, 1, 6), (2, 2, 0, 0)]
+    run = spark.read.parquet(str(tmp_path / "one" / "run_meta")).first()
+    assert (run.num_sampled, run.align_start, run.cell_rows, run.cell_columns, run.cell_px, list(run.gaps)) == (16, 2, 8, 12, 8, [1, 2])
+    fused = stages.fused_cells(cells, SMALL)
+    sinks.write_stage_two(fused, stages.unit_cells(fused, SMALL), stages.gap_maps(cells, SMALL), stages.frame_meta(frames, SMALL), stages.run_meta(frames, SMALL), str(tmp_path / "two"))
+    maps = spark.read.parquet(str(tmp_path / "two" / "gap_maps")).where("gap = 2 and m > 0").first()
+    assert abs(maps.m_norm * 2 - maps.m) < 1e-5
+    assert fused.schema["m"].dataType.typeName() == "float"
+
+
+def test_reliability_by_pixel_and_blurs(spark):
+    frames = frame_table(spark, frame_rows(4))
+    found = stages.diagnostics(frames, SMALL).toPandas()
+    assert set(found.t) == {1, 2, 3} and len(found) == 3 * 32 * 48
+    strong = found[found.strong > 0]
+    assert np.allclose(strong.penalty, strong.edgeness * strong.alignment**2, atol=1e-5) and np.allclose(found.reliability, np.clip(1 - found.penalty, 0, 1), atol=1e-6)
+    blurred = stages.flows_by_blur(frames, SMALL, {"none": None, "two": 2.0}).toPandas()
+    assert set(blurred.blur) == {"none", "two"} and len(blurred) == 2 * 3 * 8 * 12
+
+
+def test_stored_maps_by_name(spark):
+    rows = [("a", "m/a_gap_fusion_max.npz"), ("a", "m/a_gap_fusion_rms.npz"), ("b", "m/b_stage3_agg_1.npz"), ("b", "m/b_stage2_agg_2.npz"), ("b", "m/b_stage2_agg_1.npz"), ("c", "m/notes.npz")]
+    got = videos.stored_maps(spark.createDataFrame(rows, "video_id string, path string")).collect()
+    assert {r.video_id: r.path for r in got} == {"a": "m/a_gap_fusion_rms.npz", "b": "m/b_stage2_agg_1.npz"}
+
+
+def test_too_few_frames_are_an_error(spark):
+    df = spark.createDataFrame([("v", i) for i in range(7)] + [("w", i) for i in range(8)], "video_id string, frame_idx int")
+    assert fr.long_enough(df.where("video_id = 'w'")).count() == 8
+    with pytest.raises(Exception, match="too few frames in v"):
+        fr.long_enough(df).collect()
+
+
+def test_positions_over_stretches(spark):
+    picked = [i for i in range(400) if i % 7 in (0, 3)]
+    df = spark.createDataFrame([(v, i) for v in "ab" for i in picked], "video_id string, frame_idx int")
+    assert {(r.video_id, r.frame_idx): r.sampled_index for r in fr.renumbered(df, 50).collect()} == {(v, i): k for v in "ab" for k, i in enumerate(picked)}
