@@ -26,7 +26,10 @@ def query(sql: str | None = None, **ctes: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            used = {k: v for k, v in views.SQL.items() if k in sql + "".join(ctes.values())} | ctes
+            text = sql + "".join(ctes.values())
+            for k, v in reversed(views.SQL.items()):  # a view may use those before it
+                text += v if k in text else ""
+            used = {k: v for k, v in views.SQL.items() if k in text} | ctes
             ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(f'{k} AS ({v})' for k, v in used.items())} " if used else "") + sql
         return f
 
@@ -81,14 +84,14 @@ def persistence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("video_id", "t", "y", "x", "p15", "keep", "u", "v"))
 
 
-@query(f"SELECT video_id, t, y, x, round(CAST(CAST(avg(u) OVER w AS FLOAT) AS DOUBLE), 3) + 0.0 AS u, round(CAST(CAST(avg(v) OVER w AS FLOAT) AS DOUBLE), 3) + 0.0 AS v FROM v_field WINDOW w AS ({_CELL} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+@query(f"SELECT video_id, t, y, x, {r('CAST(avg(u) OVER w AS FLOAT)', 'u')}, {r('CAST(avg(v) OVER w AS FLOAT)', 'v')} FROM v_field WINDOW w AS ({_CELL} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def moving_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(temporal.moving_mean(views.v_field(spark, sf_dir)), 3)
+    return rounded(temporal.moving_mean(views.v_field(spark, sf_dir)))
 
 
-@query("SELECT video_id, t, y, x, keep, round(CAST(u AS DOUBLE), 3) + 0.0 AS u, round(CAST(v AS DOUBLE), 3) + 0.0 AS v, round(CAST(CAST(sqrt(CAST(u AS DOUBLE) * u + CAST(v AS DOUBLE) * v) AS FLOAT) AS DOUBLE), 3) + 0.0 AS m FROM q", p=_P15, g=_GATE, q=_MEAN)
+@query(f"SELECT video_id, t, y, x, keep, {r('u')}, {r('v')}, {r('CAST(sqrt(CAST(u AS DOUBLE) * u + CAST(v AS DOUBLE) * v) AS FLOAT)', 'm')} FROM q", p=_P15, g=_GATE, q=_MEAN)
 def gated_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(temporal.gated_mean(views.v_field(spark, sf_dir)).select("video_id", "t", "y", "x", "keep", "u", "v", "m"), 3)
+    return rounded(temporal.gated_mean(views.v_field(spark, sf_dir)).select("video_id", "t", "y", "x", "keep", "u", "v", "m"))
 
 
 @query("SELECT video_id, count(*) FILTER (keep) AS n_keep, count(*) FILTER (NOT keep) AS n_reject FROM g GROUP BY video_id", p=_P15, g=_GATE)
@@ -135,13 +138,14 @@ def block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.block_mean(views.v_gap(spark, sf_dir), 2))
 
 
-@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('max(v)', 'v')} FROM v_grid GROUP BY ALL")
+@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('CAST(max(v) AS FLOAT)', 'v')} FROM v_grid GROUP BY ALL")
 def block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.block_max(views.v_grid(spark, sf_dir), 4, "v"))
 
 
 _DIV = "CASE gap " + " ".join(f"WHEN {g} THEN CAST({d} AS DOUBLE)" for g, d in GAP_DIVISORS.items()) + " ELSE CAST(1 AS DOUBLE) END"
-_NORM = f"SELECT video_id, gap, t, y, x, u / {_DIV} AS u, v / {_DIV} AS v, m / {_DIV} AS m FROM v_gap"
+_NORM = f"SELECT video_id, gap, t, y, x, CAST(u / {_DIV} AS FLOAT) AS u, CAST(v / {_DIV} AS FLOAT) AS v, CAST(m / {_DIV} AS FLOAT) AS m FROM v_gap"
+_EXACT = "SELECT video_id, gap, t, y, x, CAST(u AS DOUBLE) AS u, CAST(v AS DOUBLE) AS v, CAST(m AS DOUBLE) AS m FROM n"
 
 
 @query(f"SELECT video_id, gap, t, y, x, {r('u')}, {r('v')}, {r('m')} FROM n", n=_NORM)
@@ -169,37 +173,58 @@ def _fusions() -> None:
             return rounded(fusion.fuse_vectors(fusion.normalise(views.v_gap(spark, sf_dir), GAP_DIVISORS), way))
 
         magnitudes.__name__, vectors.__name__ = f"fused_magnitudes_{way}", f"fused_vectors_{way}"
-        query(f"SELECT video_id, t, y, x, {r(how.format('m'), 'm')} FROM n GROUP BY ALL", n=_NORM)(magnitudes)
+        query(f"SELECT video_id, t, y, x, {r(f"CAST({how.format('m')} AS FLOAT)", 'm')} FROM d GROUP BY ALL", n=_NORM, d=_EXACT)(magnitudes)
         if way == "max":
-            sql = f"SELECT video_id, t, y, x, {r('u')}, {r('v')} FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY sqrt(u * u + v * v) DESC, gap) AS k FROM n) WHERE k = 1"
+            sql = f"SELECT video_id, t, y, x, {r('u')}, {r('v')} FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, y, x ORDER BY sqrt(u * u + v * v) DESC, gap) AS k FROM d) WHERE k = 1"
         else:
-            sign = {"rms": " * CASE WHEN avg({0}) < CAST(-1e-12 AS DOUBLE) THEN -1.0 ELSE 1.0 END"}.get(way, "")
-            sql = f"SELECT video_id, t, y, x, {r((how + sign).format('u'), 'u')}, {r((how + sign).format('v'), 'v')} FROM n GROUP BY ALL"
-        query(sql, n=_NORM)(vectors)
+            sign = {"rms": " * CASE WHEN avg({0}) < 0 THEN -1.0 ELSE 1.0 END"}.get(way, "")
+            sql = f"SELECT video_id, t, y, x, {r('CAST(' + (how + sign).format('u') + ' AS FLOAT)', 'u')}, {r('CAST(' + (how + sign).format('v') + ' AS FLOAT)', 'v')} FROM d GROUP BY ALL"
+        query(sql, n=_NORM, d=_EXACT)(vectors)
 
 
 _fusions()
 
 
+@query(f"SELECT v.video_id, v.gap, v.t, v.y, v.x, {r('v.u', 'u')}, {r('v.v', 'v')}, {r('v.m', 'm')}, {r('n.u', 'u_norm')}, {r('n.v', 'v_norm')}, {r('n.m', 'm_norm')} FROM v_gap v JOIN n ON n.video_id = v.video_id AND n.gap = v.gap AND n.t = v.t AND n.y = v.y AND n.x = v.x", n=_NORM)
+def gap_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stages.gap_maps(views.v_gap(spark, sf_dir), PARAMS))
+
+
 # --- frames and files -----------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT video_id, frame_idx, CAST(frame_idx // 6 AS INTEGER) AS sampled_index, {r('frame_idx / CAST(30 AS DOUBLE)', 'timestamp_sec')} FROM v_frames WHERE frame_idx % 6 = 0 AND frame_idx / CAST(30 AS DOUBLE) <= 200")
+@query(f"SELECT video_id, frame_idx, i AS sampled_index, {r('s', 'timestamp_sec')} FROM v_sampled")
 def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = frames.sampled(views.v_frames(spark, sf_dir), 5.0, 200.0)
+    out = frames.sampled(views.v_frames(spark, sf_dir), 5.0)
     return rounded(out.select("video_id", "frame_idx", "sampled_index", "timestamp_sec"))
 
 
-@query("SELECT video_id, frame_idx, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS INTEGER) AS sampled_index FROM v_frames WHERE frame_idx % 7 = 3")
+@query("SELECT video_id, frame_idx, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS INTEGER) AS sampled_index FROM v_sampled")
 def renumbered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.renumbered(views.v_frames(spark, sf_dir).where("frame_idx % 7 = 3").select("video_id", "frame_idx"))
+    return frames.renumbered(frames.sampled(views.v_frames(spark, sf_dir), 5.0).select("video_id", "frame_idx"), 1000)
+
+
+_PAIRS = "SELECT a.video_id, g.gap, a.i AS sampled_index_curr, a.frame_idx AS frame_idx_curr, a.s AS timestamp_sec_curr, b.i AS sampled_index_prev, b.frame_idx AS frame_idx_prev, b.s AS timestamp_sec_prev FROM v_sampled a CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50]) AS gap) g JOIN v_sampled b ON b.video_id = a.video_id AND b.i = a.i - g.gap"
 
 
-@query("SELECT a.video_id, g.gap, a.i AS sampled_index_curr, a.frame_idx AS frame_idx_curr, b.i AS sampled_index_prev, b.frame_idx AS frame_idx_prev FROM f a CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50]) AS gap) g JOIN f b ON b.video_id = a.video_id AND b.i = a.i - g.gap", f="SELECT video_id, frame_idx, CAST(frame_idx // 6 AS INTEGER) AS i FROM v_frames WHERE frame_idx % 6 = 0")
+@query("SELECT video_id, gap, sampled_index_curr, frame_idx_curr, sampled_index_prev, frame_idx_prev FROM pa", pa=_PAIRS)
 def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.gap_pairs(frames.sampled(views.v_frames(spark, sf_dir), 5.0), GAPS, ("frame_idx",))
 
 
+@query(f"SELECT video_id, sampled_index_curr - 50 AS t, gap, sampled_index_curr, frame_idx_curr, {r('timestamp_sec_curr')}, sampled_index_prev, frame_idx_prev, {r('timestamp_sec_prev')} FROM pa WHERE sampled_index_curr >= 50", pa=_PAIRS)
+def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stages.frame_meta(frames.sampled(views.v_frames(spark, sf_dir), 5.0), PARAMS))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS video_id, CASE WHEN k IS NULL THEN 'no stored first stage' ELSE 'the first stage has ' || k || ' frames, the video ' || n END AS error FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) LEFT JOIN (SELECT o_orderkey, nullif(o_custkey % 8, 0) AS k FROM orders) ON o_orderkey = l_orderkey WHERE k IS NULL OR k <> n")
+def unmatched_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second stages without a first one of as many frames."""
+    lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("video_id"))
+    stored = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), F.nullif(F.col("o_custkey") % 8, F.lit(0)).alias("num_sampled"))
+    return stages.unmatched(lines, stored)
+
+
 @query("SELECT id, root_rank, is_direct, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY root_rank, is_direct DESC, path) AS k FROM v_candidates) WHERE k = 1")
 def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.best_files(views.v_candidates(spark, sf_dir))
@@ -210,17 +235,31 @@ def listed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.listed(views.v_lines(spark, sf_dir))
 
 
-@query("SELECT video_id, count(*) AS n_frames FROM (SELECT CAST(user_id AS VARCHAR) AS video_id FROM events) GROUP BY 1 HAVING count(*) < 8")
+@query("SELECT video_id, count(*) AS n_frames FROM (SELECT CAST(l_orderkey AS VARCHAR) AS video_id FROM lineitem) GROUP BY 1 HAVING count(*) < 4")
 def short_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.short_videos(views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id")))
+    return frames.short_videos(views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("video_id")), 4)
+
+
+_KINDS = ("gap_fusion_rms", "gap_fusion_max", "stage2_agg_1", "stage3_agg_2", "notes", "gap_fusion_mean")
+
+
+@query(
+    f"""SELECT video_id, path FROM (SELECT video_id, path, row_number() OVER (PARTITION BY video_id ORDER BY kind, path) AS place FROM (
+      SELECT 'v' || p_size AS video_id, 'out/v' || p_size || '/' || p_partkey || '/v' || p_size || '_' || name || '.npz' AS path, CASE WHEN name = 'gap_fusion_rms' THEN 0 WHEN name LIKE 'gap_fusion_%' THEN 1 WHEN name LIKE 'stage2_agg_%' THEN 2 WHEN name LIKE 'stage3_agg_%' THEN 3 END AS kind
+      FROM (SELECT *, {list(_KINDS)}[CAST(p_partkey // 7 % 6 AS INTEGER) + 1] AS name FROM part)) WHERE kind IS NOT NULL) WHERE place = 1"""
+)
+def stored_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, _KINDS)), (F.floor(F.col("p_partkey") / 7) % 6 + 1).cast("int"))
+    paths = views.table(spark, sf_dir, "part").select(F.concat(F.lit("v"), "p_size").alias("video_id"), F.concat(F.lit("out/v"), "p_size", F.lit("/"), "p_partkey", F.lit("/v"), "p_size", F.lit("_"), name, F.lit(".npz")).alias("path"))
+    return videos.stored_maps(paths)
 
 
 # --- tubes ----------------------------------------------------------------------------------------------------------
 
 _EV = {"ev": _events_sql(0, 3)}
 _EDGES = "SELECT a.video_id, a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.video_id = b.video_id AND a.event_id < b.event_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) BETWEEN 1 AND 2 AND a.t0 <= b.t1 AND b.t0 <= a.t1"
-_REACH = "SELECT event_id AS n, event_id AS m FROM ev UNION SELECT reach.n, CASE WHEN e.a = reach.m THEN e.b ELSE e.a END FROM reach JOIN edges e ON reach.m IN (e.a, e.b)"
-_LABEL = "SELECT n AS event_id, min(m) AS component FROM reach GROUP BY n"
+_REACH = "SELECT video_id, event_id AS n, event_id AS m FROM ev UNION SELECT reach.video_id, reach.n, CASE WHEN e.a = reach.m THEN e.b ELSE e.a END FROM reach JOIN edges e ON e.video_id = reach.video_id AND reach.m IN (e.a, e.b)"
+_LABEL = "SELECT video_id, n AS event_id, min(m) AS component FROM reach GROUP BY ALL"
 _STATS = "SELECT video_id, tube_id, min(t0) AS t0, max(t1) AS t1, CAST(count(DISTINCT y * 1000 + x) AS INTEGER) AS num_cells, CAST(count(*) AS INTEGER) AS num_block_events, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, max(t1) - min(t0) + 1 AS duration FROM mem GROUP BY video_id, tube_id"
 #: Groups of events, to have many tubes whatever the grid.
 _MEM = {"mem": "SELECT video_id, CAST(event_id % 40 AS INTEGER) AS tube_id, event_id, y, x, t0, t1 FROM ev"}
@@ -239,16 +278,18 @@ def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.neighbour_edges(_block_events(spark, sf_dir))
 
 
-@query("SELECT l.event_id AS node, l.component FROM lab l WHERE l.event_id IN (SELECT a FROM edges UNION SELECT b FROM edges)", **_EV, edges=_EDGES, reach=_REACH, lab=_LABEL)
+@query("SELECT l.video_id, l.event_id AS node, l.component FROM lab l WHERE (l.video_id, l.event_id) IN (SELECT (video_id, a) FROM edges UNION SELECT (video_id, b) FROM edges)", **_EV, edges=_EDGES, reach=_REACH, lab=_LABEL)
 def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tubes.components(tubes.neighbour_edges(_block_events(spark, sf_dir))).select("node", "component")
+    return tubes.components(tubes.neighbour_edges(_block_events(spark, sf_dir))).select("video_id", "node", "component")
 
 
-@query(
-    """SELECT m.video_id, CAST(k.new AS INTEGER) AS tube_id, m.event_id, m.y, m.x, m.t0, m.t1 FROM mem m JOIN (
-    SELECT video_id, tube_id, row_number() OVER (PARTITION BY video_id ORDER BY t0, num_cells DESC, tube_id) AS new FROM st WHERE num_cells >= 2 AND duration >= 3) k ON k.video_id = m.video_id AND k.tube_id = m.tube_id""",
-    **_EV, edges=_EDGES, reach=_REACH, lab=_LABEL, mem="SELECT ev.video_id, lab.component AS tube_id, ev.event_id, ev.y, ev.x, ev.t0, ev.t1 FROM ev JOIN lab ON lab.event_id = ev.event_id", st=_STATS,
-)
+_RENUMBER = """SELECT m.video_id, CAST(k.new AS INTEGER) AS tube_id, m.event_id, m.y, m.x, m.t0, m.t1 FROM {mem} m JOIN (
+    SELECT video_id, tube_id, row_number() OVER (PARTITION BY video_id ORDER BY t0, num_cells DESC, tube_id) AS new FROM {st} WHERE {where}) k ON k.video_id = m.video_id AND k.tube_id = m.tube_id"""
+_LARGE = "num_cells >= 2 AND duration >= 3"
+_MERGED = {**_EV, "edges": _EDGES, "reach": _REACH, "lab": _LABEL, "mem": "SELECT ev.video_id, lab.component AS tube_id, ev.event_id, ev.y, ev.x, ev.t0, ev.t1 FROM ev JOIN lab ON lab.video_id = ev.video_id AND lab.event_id = ev.event_id", "st": _STATS}
+
+
+@query(_RENUMBER.format(mem="mem", st="st", where=_LARGE), **_MERGED)
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.merge_events(_block_events(spark, sf_dir)).select("video_id", "tube_id", "event_id", "y", "x", "t0", "t1")
 
@@ -268,7 +309,10 @@ def proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.proximity_edges(members, 2, 2)
 
 
-@query("SELECT DISTINCT i.video_id, i.tube_id FROM st i JOIN st o ON o.video_id = i.video_id AND o.tube_id <> i.tube_id AND o.t0 <= i.t0 AND o.t1 >= i.t1 AND o.x1 <= i.x1 AND o.y1 <= i.y1 AND o.x2 >= i.x2 AND o.y2 >= i.y2 AND NOT (o.t0 = i.t0 AND o.t1 = i.t1 AND o.x1 = i.x1 AND o.y1 = i.y1 AND o.x2 = i.x2 AND o.y2 = i.y2)", **_EV, **_MEM, st=_STATS)
+_INSIDE = "SELECT DISTINCT i.video_id, i.tube_id FROM st i JOIN st o ON o.video_id = i.video_id AND o.tube_id <> i.tube_id AND o.t0 <= i.t0 AND o.t1 >= i.t1 AND o.x1 <= i.x1 AND o.y1 <= i.y1 AND o.x2 >= i.x2 AND o.y2 >= i.y2 AND NOT (o.t0 = i.t0 AND o.t1 = i.t1 AND o.x1 = i.x1 AND o.y1 = i.y1 AND o.x2 = i.x2 AND o.y2 = i.y2)"
+
+
+@query(_INSIDE, **_EV, **_MEM, st=_STATS)
 def contained_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.contained(tubes.tube_stats(_members(spark, sf_dir)))
 
@@ -293,23 +337,60 @@ def event_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.prisms(_members(spark, sf_dir), 64)
 
 
+@query("SELECT video_id, tube_id, CAST(CASE WHEN i = 0 THEN x1 ELSE x2 END * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST(CASE WHEN k = 0 THEN y1 ELSE y2 END * 64 AS INTEGER) AS py FROM st CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_EV, **_MEM, st=_STATS)
+def hull_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.hull_prisms(_members(spark, sf_dir), 64)
+
+
 @query("SELECT video_id, tube_id, least(x1 * 64, 1920) AS px1, least(y1 * 64, 1080) AS py1, least(x2 * 64, 1920) AS px2, least(y2 * 64, 1080) AS py2, (tube_id + 9) % 10 AS colour FROM st", **_EV, **_MEM, st=_STATS)
 def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.pixel_boxes(tubes.tube_stats(_members(spark, sf_dir)), 64, 1920, 1080).select("video_id", "tube_id", "px1", "py1", "px2", "py2", "colour")
 
 
-@query()
-def roi_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of events, merging, proximity and containment, to the nested table: a fixpoint, which SQL does not express."""
-    cells = views.v_grid(spark, sf_dir).withColumnRenamed("v", "mu")
-    return tubes.tracks(tubes.build_tubes(cells, PARAMS))
+def _final_sql(rounds: int = 6) -> dict[str, str]:
+    """The tubes of `_MERGED`, merged with near ones for so many rounds (more than the test tables need; a round more changes nothing)."""
+    out = {**_MERGED, "mem0": _RENUMBER.format(mem="mem", st="st", where=_LARGE)}
+    for k in range(1, rounds + 1):
+        out[f"st{k}"] = _STATS.replace("FROM mem ", f"FROM mem{k - 1} ")
+        out[f"pe{k}"] = f"""SELECT DISTINCT p.video_id, p.a, p.b FROM (SELECT DISTINCT a.video_id, a.tube_id AS a, b.tube_id AS b FROM mem{k - 1} a JOIN mem{k - 1} b ON a.video_id = b.video_id AND a.tube_id < b.tube_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) <= 2) p
+          JOIN st{k} s ON s.video_id = p.video_id AND s.tube_id = p.a JOIN st{k} u ON u.video_id = p.video_id AND u.tube_id = p.b WHERE greatest(0, u.t0 - s.t1 - 1, s.t0 - u.t1 - 1) <= 20"""
+        out[f"re{k}"] = f"SELECT video_id, tube_id AS n, tube_id AS m FROM st{k} UNION SELECT r.video_id, r.n, CASE WHEN e.a = r.m THEN e.b ELSE e.a END FROM re{k} r JOIN pe{k} e ON e.video_id = r.video_id AND r.m IN (e.a, e.b)"
+        out[f"mem{k}"] = f"SELECT m.video_id, l.least AS tube_id, m.event_id, m.y, m.x, m.t0, m.t1 FROM mem{k - 1} m JOIN (SELECT video_id, n, min(m) AS least FROM re{k} GROUP BY ALL) l ON l.video_id = m.video_id AND l.n = m.tube_id"
+    last = f"mem{rounds}"
+    out["sta"] = _STATS.replace("FROM mem ", f"FROM {last} ")
+    out["near"] = _RENUMBER.format(mem=last, st="sta", where="true")
+    out["stb"] = _STATS.replace("FROM mem ", "FROM near ")
+    out["large"] = _RENUMBER.format(mem="near", st="stb", where=_LARGE)
+    out["stc"] = _STATS.replace("FROM mem ", "FROM large ")
+    out["inner_ones"] = _INSIDE.replace(" st ", " stc ")
+    out["std"] = "SELECT * FROM stc WHERE (video_id, tube_id) NOT IN (SELECT (video_id, tube_id) FROM inner_ones)"
+    return out
 
 
-@query()
+_FINAL = _final_sql()
+
+
+@query("SELECT video_id, tube_id, t0, t1, duration, num_cells, num_block_events, x1, y1, x2, y2 FROM stb", **_FINAL)
 def proximity_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.tube_stats(tubes.proximity_merge(tubes.merge_events(_block_events(spark, sf_dir))))
 
 
+def _final_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tubes.build_tubes(views.v_grid(spark, sf_dir).withColumnRenamed("v", "mu"), PARAMS)
+
+
+@query(_RENUMBER.format(mem="large", st="std", where="true"), **_FINAL)
+def roi_tube_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of events, merging, proximity and containment: the members of the final tubes."""
+    return _final_tubes(spark, sf_dir).select("video_id", "tube_id", "event_id", "y", "x", "t0", "t1")
+
+
+@query()
+def roi_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final tubes as the nested table; `roi_tube_members` has its rows beside SQL."""
+    return tubes.tracks(_final_tubes(spark, sf_dir))
+
+
 @query()
 def track_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.track_json(tubes.tracks(_members(spark, sf_dir)))
@@ -321,6 +402,13 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.run_summary(counts.select(F.when(F.col("n") < 8, "too few frames").alias("error"), (F.col("n") % 3).alias("num_suppressed")))
 
 
+@query("SELECT count(*) FILTER (n >= 60) AS num_ok, count(*) FILTER (n < 60) AS num_failed, array_to_string(list_sort(list(figure) FILTER (n >= 60)), ',') AS images FROM (SELECT 'tubes_' || user_id || '.png' AS figure, count(*) AS n FROM events GROUP BY 1)")
+def figure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = views.table(spark, sf_dir, "events").groupBy(F.concat(F.lit("tubes_"), "user_id", F.lit(".png")).alias("figure")).agg(F.count("*").alias("n"))
+    found = sinks.figure_summary(counts.select("figure", F.when(F.col("n") < 60, "too few frames").alias("error")))
+    return found.withColumn("images", F.array_join("images", ","))
+
+
 # --- pixels ---------------------------------------------------------------------------------------------------------
 
 _REFLECT = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
@@ -347,16 +435,29 @@ def window_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOBEL = ", ".join(f"({dy}, {dx}, {kx}, {ky})" for (dy, dx), (kx, ky) in pixels.SOBEL.items())
 _GRAD = f"""SELECT c.video_id, c.t, c.y, c.x, CAST(sum(k.kx * n.g) AS DOUBLE) AS ix, CAST(sum(k.ky * n.g) AS DOUBLE) AS iy FROM v_pixels c CROSS JOIN (VALUES {_SOBEL}) k(dy, dx, kx, ky)
   JOIN v_pixels n ON n.video_id = c.video_id AND n.t = c.t AND n.y = {_REFLECT.format('c.y + k.dy')} AND n.x = {_REFLECT.format('c.x + k.dx')} GROUP BY ALL"""
-#: The tensor of a pixel from the products of its 2 x 2 block, which stands for the smoothing here.
-_TENSOR = "SELECT video_id, t, y // 2 AS y, x // 2 AS x, avg(ix * ix) AS jxx, avg(iy * iy) AS jyy, avg(ix * iy) AS jxy FROM gr GROUP BY ALL"
+#: The products, averaged by a Gaussian along the rows and then along the columns.
+_GAUSS = ", ".join(f"({i - 6}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(pixels.gaussian_weights(PARAMS.tensor_sigma)))
+
+
+def _smooth_sql(source: str, axis: str, products: tuple[str, str, str]) -> str:
+    other = "x" if axis == "y" else "y"
+    sums = ", ".join(f"sum(k.w * {p}) AS {name}" for p, name in zip(products, ("jxx", "jyy", "jxy"), strict=True))
+    return f"""SELECT c.video_id, c.t, c.y, c.x, {sums} FROM {source} c CROSS JOIN (VALUES {_GAUSS}) k(d, w)
+      JOIN {source} n ON n.video_id = c.video_id AND n.t = c.t AND n.{other} = c.{other} AND n.{axis} = {_REFLECT.format(f'c.{axis} + k.d')} GROUP BY ALL"""
+
+
+_ROWS = _smooth_sql("gr", "x", ("n.ix * n.ix", "n.iy * n.iy", "n.ix * n.iy"))
+_TENSOR = _smooth_sql("ro", "y", ("n.jxx", "n.jyy", "n.jxy"))
 _EIGEN = "SELECT *, greatest(0.0, (jxx + jyy + q) / 2) AS lambda1, greatest(0.0, (jxx + jyy - q) / 2) AS lambda2 FROM (SELECT *, sqrt(greatest((jxx - jyy) * (jxx - jyy) + 4 * jxy * jxy, 0.0)) AS q FROM te)"
-_GT = {"gr": _GRAD, "te": _TENSOR, "ei": _EIGEN}
+_GT = {"gr": _GRAD, "ro": _ROWS, "te": _TENSOR, "ei": _EIGEN}
+#: Eigenvalues are told in units of the square of the largest value.
+_UNIT = 255.0 * 255.0
 
 
 def _tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.v_pixels(spark, sf_dir)
     products = pixels.tensor(pixels.gradients(px.select("video_id", "t", "y", "x", "g"), 8, 8))
-    return pixels.eigenvalues(spatial.block_mean(products, 2, values=("jxx", "jyy", "jxy")))
+    return pixels.eigenvalues(pixels.smoothed(products, 8, 8, PARAMS.tensor_sigma))
 
 
 @query(f"SELECT video_id, t, y, x, {r('ix')}, {r('iy')} FROM gr", gr=_GRAD)
@@ -364,30 +465,39 @@ def sobel_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.gradients(views.v_pixels(spark, sf_dir).select("video_id", "t", "y", "x", "g"), 8, 8))
 
 
-@query("SELECT video_id, t, y, x, round(lambda1, 2) + 0.0 AS lambda1, round(lambda2, 2) + 0.0 AS lambda2 FROM ei", **_GT)
+@query(f"SELECT video_id, t, y, x, {r('lambda1 / CAST(65025 AS DOUBLE)', 'lambda1')}, {r('lambda2 / CAST(65025 AS DOUBLE)', 'lambda2')} FROM ei", **_GT)
 def tensor_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_tensor(spark, sf_dir).select("video_id", "t", "y", "x", "lambda1", "lambda2"), 2)
+    return rounded(_tensor(spark, sf_dir).select("video_id", "t", "y", "x", (F.col("lambda1") / _UNIT).alias("lambda1"), (F.col("lambda2") / _UNIT).alias("lambda2")))
 
 
 _TANGENT = """SELECT *, CASE WHEN h1 >= 1e-6 THEN -(lambda1 - jxx) / h1 WHEN h2 >= 1e-6 THEN -jxy / h2 ELSE 1.0 END AS tx, CASE WHEN h1 >= 1e-6 THEN jxy / h1 WHEN h2 >= 1e-6 THEN (lambda1 - jyy) / h2 ELSE 0.0 END AS ty
   FROM (SELECT *, sqrt(jxy * jxy + (lambda1 - jxx) * (lambda1 - jxx)) AS h1, sqrt((lambda1 - jyy) * (lambda1 - jyy) + jxy * jxy) AS h2 FROM ei)"""
-_MOTION = "SELECT video_id, t, y // 2 AS y, x // 2 AS x, avg(u) AS u, avg(v) AS v FROM v_pixels WHERE u IS NOT NULL GROUP BY ALL"
+_MOTION = "SELECT video_id, t, y, x, u, v FROM v_pixels WHERE u IS NOT NULL"
 _APERTURE = """SELECT a.video_id, a.t, a.y, a.x, lambda1, lambda2, m.u, m.v, greatest(0.0, least(1.0, 1 - CASE WHEN lambda1 > 950 THEN (1 - lambda2 / (lambda1 + CAST(1e-6 AS DOUBLE))) *
     pow(CASE WHEN sqrt(m.u * m.u + m.v * m.v) < 1e-6 THEN 0 ELSE greatest(0.0, least(1.0, abs(m.u * tx + m.v * ty) / greatest(sqrt(m.u * m.u + m.v * m.v), 1e-6))) END, 2) ELSE 0.0 END)) AS r
   FROM ta a JOIN mo m ON m.video_id = a.video_id AND m.t = a.t AND m.y = a.y AND m.x = a.x"""
 
 
-@query("SELECT video_id, t, y, x, round(tx * tx, 4) + 0.0 AS txx, round(tx * ty, 4) + 0.0 AS txy FROM ta WHERE lambda1 - lambda2 > 1", **_GT, ta=_TANGENT)
+@query(f"SELECT video_id, t, y, x, {r('tx')}, {r('ty')} FROM ta", **_GT, ta=_TANGENT)
 def edge_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pixels.tangent(_tensor(spark, sf_dir)).where("lambda1 - lambda2 > 1")
-    return rounded(out.select("video_id", "t", "y", "x", (F.col("tx") * F.col("tx")).alias("txx"), (F.col("tx") * F.col("ty")).alias("txy")), 4)
+    return rounded(pixels.tangent(_tensor(spark, sf_dir)).select("video_id", "t", "y", "x", "tx", "ty"))
+
+
+_FLAT = "SELECT *, CAST(n_nationkey AS DOUBLE) AS jxx, CAST(n_regionkey AS DOUBLE) * 6 AS jyy, CAST(0 AS DOUBLE) AS jxy FROM nation"
+
+
+@query(f"SELECT n_name AS name, {r('tx')}, {r('ty')} FROM ta", te=_FLAT, ei=_EIGEN, ta=_TANGENT)
+def degenerate_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges along the axes and none at all: each branch of the tangent."""
+    products = views.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("jxx"), (F.col("n_regionkey").cast("double") * 6).alias("jyy"), F.lit(0.0).alias("jxy"))
+    return rounded(pixels.tangent(pixels.eigenvalues(products)).select("name", "tx", "ty"))
 
 
-@query("SELECT video_id, t, y, x, round(r, 4) + 0.0 AS r FROM ap", **_GT, ta=_TANGENT, mo=_MOTION, ap=_APERTURE)
+@query(f"SELECT video_id, t, y, x, {r('r')} FROM ap", **_GT, ta=_TANGENT, mo=_MOTION, ap=_APERTURE)
 def aperture_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    motion = spatial.block_mean(views.v_pixels(spark, sf_dir).where("u is not null"), 2)
+    motion = views.v_pixels(spark, sf_dir).where("u is not null").select("video_id", "t", "y", "x", "u", "v")
     out = pixels.aperture_reliability(pixels.tangent(_tensor(spark, sf_dir)).join(motion, ["video_id", "t", "y", "x"]))
-    return rounded(out.select("video_id", "t", "y", "x", "r"), 4)
+    return rounded(out.select("video_id", "t", "y", "x", "r"))
 
 
 _REL = "SELECT *, greatest(0.0, least(1.0, shape * strength)) AS r_st FROM (SELECT *, lambda2 / (lambda1 + CAST(1e-6 AS DOUBLE)) AS shape, 1 - exp(-lambda2 / 400) AS strength FROM ei)"
@@ -398,22 +508,24 @@ def tensor_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.tensor_reliability(_tensor(spark, sf_dir)).select("video_id", "t", "y", "x", "shape", "strength", "r_st"))
 
 
-@query("SELECT " + ", ".join(f"round(quantile_cont(lambda2, {p / 100}), 2) + 0.0 AS P{p:g}".replace("P99.9", "P99_9") for p in stats.PERCENTILES) + " FROM ei WHERE isfinite(lambda2)", **_GT)
+@query("SELECT " + ", ".join(f"{r(f'quantile_cont(lambda2, {p / 100}) / CAST(65025 AS DOUBLE)', f'P{p:g}'.replace('.', '_'))}" for p in stats.PERCENTILES) + " FROM ei WHERE isfinite(lambda2)", **_GT)
 def eigenvalue_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.percentiles(_tensor(spark, sf_dir), "lambda2"), 2)
+    found = stats.percentiles(materialise(_tensor(spark, sf_dir), "tensor"), "lambda2")
+    return rounded(found.select(*((F.col(c) / _UNIT).alias(c) for c in found.columns)))
 
 
 @query(
-    f"""SELECT b.name, b.x1, b.y1, b.x2, b.y2, count(p.y) AS n_pixels, {r('avg(p.lambda1)', 'mean_lambda1')}, {r('avg(p.r_st)', 'mean_r_st')}, {r('avg(sqrt(p.u * p.u + p.v * p.v))', 'mean_speed')},
-    {r('avg(sqrt(p.u * p.u + p.v * p.v) * p.r_st) / (avg(sqrt(p.u * p.u + p.v * p.v)) + CAST(1e-6 AS DOUBLE))', 'retention')} FROM (SELECT name, least(greatest(x1, 0), 4) AS x1, least(greatest(y1, 0), 4) AS y1, least(greatest(x2, 0), 4) AS x2, least(greatest(y2, 0), 4) AS y2 FROM v_rois) b
-    LEFT JOIN (SELECT re.*, m.u, m.v FROM re JOIN mo m ON m.video_id = re.video_id AND m.t = re.t AND m.y = re.y AND m.x = re.x WHERE re.t < 20) p ON p.x >= b.x1 AND p.x < b.x2 AND p.y >= b.y1 AND p.y < b.y2 GROUP BY ALL""",
+    f"""SELECT b.name, b.x1, b.y1, b.x2, b.y2, count(p.y) AS n_pixels, {r('avg(p.lambda1) / CAST(65025 AS DOUBLE)', 'mean_lambda1')}, {r('avg(p.r_st)', 'mean_r_st')}, {r('avg(sqrt(p.u * p.u + p.v * p.v))', 'mean_speed')},
+    {r('avg(sqrt(p.u * p.u + p.v * p.v) * p.r_st) / (avg(sqrt(p.u * p.u + p.v * p.v)) + CAST(1e-6 AS DOUBLE))', 'retention')} FROM (SELECT name, least(greatest(x1, 0), 8) AS x1, least(greatest(y1, 0), 8) AS y1, least(greatest(x2, 0), 8) AS x2, least(greatest(y2, 0), 8) AS y2 FROM v_rois) b
+    LEFT JOIN (SELECT re.*, m.u, m.v FROM re JOIN mo m ON m.video_id = re.video_id AND m.t = re.t AND m.y = re.y AND m.x = re.x) p ON p.x >= b.x1 AND p.x < b.x2 AND p.y >= b.y1 AND p.y < b.y2 GROUP BY ALL""",
     **_GT, re=_REL, mo=_MOTION,
 )
 def box_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the first 20 frames in each box (the feature is a report on a stretch of a clip)."""
-    motion = spatial.block_mean(views.v_pixels(spark, sf_dir).where("u is not null"), 2)
-    px = pixels.tensor_reliability(_tensor(spark, sf_dir)).where("t < 20").join(motion, ["video_id", "t", "y", "x"])
-    return rounded(stats.box_stats(px, views.v_rois(spark, sf_dir), 4, 4).select("name", "x1", "y1", "x2", "y2", "n_pixels", "mean_lambda1", "mean_r_st", "mean_speed", "retention"))
+    """Statistics of all frames in each box."""
+    motion = views.v_pixels(spark, sf_dir).where("u is not null").select("video_id", "t", "y", "x", "u", "v")
+    px = pixels.tensor_reliability(_tensor(spark, sf_dir)).join(motion, ["video_id", "t", "y", "x"])
+    found = stats.box_stats(px, views.v_rois(spark, sf_dir), 8, 8).withColumn("mean_lambda1", F.col("mean_lambda1") / _UNIT)
+    return rounded(found.select("name", "x1", "y1", "x2", "y2", "n_pixels", "mean_lambda1", "mean_r_st", "mean_speed", "retention"))
 
 
 @query("SELECT video_id, t, y, x, CAST(round_even(greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 255, 0) AS INTEGER) AS shade FROM v_grid CROSS JOIN (SELECT min(v) AS lo, quantile_cont(v, 0.99) AS hi FROM v_grid WHERE isfinite(v))")
@@ -426,9 +538,25 @@ def heat_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(views.v_grid(spark, sf_dir).select("video_id", "t", "y", "x", heat_level(F.col("v"), 0.2, 0.9).alias("level")))
 
 
-@query(f"SELECT video_id, t, y * 4 + dy AS py, x * 4 + dx AS px, {r('v')} FROM v_grid CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dy) CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dx) WHERE t < 3 AND y * 4 + dy < 66 AND x * 4 + dx < 118")
+@query(f"SELECT video_id, t, y * 4 + dy AS py, x * 4 + dx AS px, {r('v')} FROM v_grid CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dy) CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS dx) WHERE y * 4 + dy < 66 AND x * 4 + dx < 118")
 def expanded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(overlay.expanded(views.v_grid(spark, sf_dir).where("t < 3"), 4, 66, 118).select("video_id", "t", "py", "px", "v"))
+    return rounded(overlay.expanded(views.v_grid(spark, sf_dir), 4, 66, 118).select("video_id", "t", "py", "px", "v"))
+
+
+_LEVEL = "SELECT video_id, t, y, x, round_even(CASE WHEN v >= CAST(0.2 AS DOUBLE) THEN least(1.0, v / CAST(0.9 AS DOUBLE)) ELSE 0 END * 255, 0) / CAST(255 AS DOUBLE) AS l FROM v_grid"
+
+
+def _shade_sql(weights: tuple[float, ...]) -> str:
+    out = f"CAST({weights[-1]!r} AS DOUBLE)"
+    for w in reversed(weights[:-1]):
+        out = f"({out} * l + CAST({w!r} AS DOUBLE))"
+    return f"CAST(round_even(greatest(0, least(1, {out})) * 255, 0) AS INTEGER)"
+
+
+@query("SELECT video_id, t, y, x, " + ", ".join(f"{_shade_sql(w)} AS {k}" for k, w in overlay.TURBO.items()) + " FROM le", le=_LEVEL)
+def heat_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = views.v_grid(spark, sf_dir).withColumn("level", heat_level(F.col("v"), 0.2, 0.9))
+    return overlay.heat_colours(levels).select("video_id", "t", "y", "x", *overlay.TURBO)
 
 
 @query("SELECT video_id, t, y, x, CAST(floor(g * (1 - a) + 255 * a) AS INTEGER) AS shade FROM (SELECT *, CASE WHEN w >= CAST(0.05 AS DOUBLE) THEN least(1.0, w / CAST(0.3 AS DOUBLE)) ELSE 0.0 END * CAST(0.75 AS DOUBLE) AS a FROM v_pixels)")
@@ -473,13 +601,13 @@ def stored_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.stored_videos(views.table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("video_id")))
 
 
-@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('max(v)', 'mu')} FROM v_grid GROUP BY ALL")
+@query(f"SELECT video_id, t, y // 4 AS y, x // 4 AS x, {r('CAST(max(v) AS FLOAT)', 'mu')} FROM v_grid GROUP BY ALL")
 def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units made of a stored map that holds only cells."""
     return rounded(stages.unit_map(views.v_grid(spark, sf_dir).withColumnRenamed("v", "m"), PARAMS))
 
 
-@query("SELECT o.video_id, o.t, o.tube_id, o.t + 50 AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o WHERE o.t < 60", **_EV, **_MEM, st=_STATS)
+@query("SELECT o.video_id, o.t, o.tube_id, f.i AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o JOIN v_sampled f ON f.video_id = o.video_id AND f.i = o.t + 50", **_EV, **_MEM, st=_STATS)
 def overlay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = spark.range(60).select(F.lit("clip").alias("video_id"), F.col("id").cast("int").alias("t"), (F.col("id") + 50).cast("int").alias("sampled_index_curr"))
+    meta = frames.sampled(views.v_frames(spark, sf_dir), 5.0).select("video_id", (F.col("sampled_index") - 50).alias("t"), F.col("sampled_index").alias("sampled_index_curr"))
     return frames.overlay_frames(tubes.overlays(_members(spark, sf_dir)), meta).select("video_id", "t", "tube_id", "sampled_index_curr")
