@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import discard, materialise, shared_dir
 
-__all__ = ["SLICE_BYTES", "U64", "Words", "discard", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices", "unused"]
+__all__ = ["SLICE_BYTES", "U64", "Words", "bound_batches", "discard", "gram", "let", "load", "long", "materialise", "mix", "shared_dir", "slices", "unused"]
 
 U64 = np.uint64
 #: Bytes of text that one pass of the array code handles; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 18
+#: Bytes of an Arrow batch, and the setting that bounds them.
+BATCH_BYTES, _BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -23,6 +25,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, in a session that has Spark's default of 64 MB: a batch of whole texts is held several
+    times over, by the executor and by its Python worker."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used, lambdas included."""
     return F.element_at(F.transform(F.array(value), use), 1)

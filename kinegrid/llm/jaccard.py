@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import U64, Words, discard, gram, long, materialise, mix, slices, unused
+from .common import U64, Words, bound_batches, discard, gram, long, materialise, mix, slices, unused
 
 #: At most so many frequent shingles (8 bytes each) are broadcast.
 FREQUENT = 100_000
@@ -310,6 +310,7 @@ def star_links(near: DataFrame, members: DataFrame, classes: DataFrame, percent:
 
 def _joined(documents: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
     """doc_id, source (hash of the text), n, class_id, component_id, first (the component's least doc_id and source), n_links."""
+    bound_batches(documents.sparkSession)
     docs = prefixes(documents, frequent_shingles(documents, words, lower), words, percent, lower)
     docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     key = ["n", "sum1", "sum2"]

@@ -12,9 +12,9 @@ windows that start earlier elsewhere:
 
 Windows are told apart by two independent 64-bit hashes of their words.
 
-Rows: a null text has no words; texts are read whole; a text with fewer words than a window keeps all of them; of rows
-that repeat an id, equal ones have one result, which each gets, and others are places of one document; rows without an id
-keep all their words; an empty table gives an empty result; other columns are ignored.
+Rows: a null text has no words; texts are read whole; a text with fewer words than a window keeps all of them; rows that
+repeat an id and a text have one result, which each gets; rows that repeat an id with other texts are texts of their own, in
+the order of their hashes; rows without an id keep all their words; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, gram, long, materialise, slices
+from .common import U64, Words, bound_batches, discard, gram, long, materialise, slices
 
 #: Words of a minimiser.
 MINIMISER = 10
@@ -69,34 +69,36 @@ def runs(found: Words, size: int) -> tuple[np.ndarray, ...]:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id, source (a hash that tells apart the texts of one id), text."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.select("doc_id", F.hash("text").alias("source"), "text")
 
 
 def _minimisers(documents: DataFrame, size: int) -> DataFrame:
-    """minimiser, doc_id for each super-k-mer."""
+    """minimiser, doc_id, source for each super-k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in slices(batch.column(1)):
+            ids, source = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, _, data, offsets in slices(batch.column(2)):
                 least, row, _, _, alone = runs(Words(data, offsets), size)
                 # one that holds its minimiser again may repeat a window by itself: it counts twice
                 least, row = (np.repeat(x, 2 - alone) for x in (least, row))
-                yield pa.RecordBatch.from_arrays([long(least), pa.array(ids[a + row])], names=["minimiser", "doc_id"])
+                yield pa.RecordBatch.from_arrays([long(least), pa.array(ids[a + row]), pa.array(source[a + row])], names=["minimiser", "doc_id", "source"])
 
-    return _texts(documents).where("doc_id is not null").mapInArrow(run, "minimiser long, doc_id long")
+    return _texts(documents).where("doc_id is not null").mapInArrow(run, "minimiser long, doc_id long, source int")
 
 
 def _packed(texts: DataFrame, size: int) -> DataFrame:
-    """minimiser, digest, packed, alone (it holds its minimiser once), doc_id, start, n: the super-k-mers of the row's `minimisers`."""
+    """minimiser, digest, packed, alone (it holds its minimiser once), doc_id, source, start, n: the super-k-mers of the row's `minimisers`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in slices(batch.column(1)):
+            ids, source = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, _, data, offsets in slices(batch.column(2)):
                 found = Words(data, offsets)
                 least, row, first, n, alone = runs(found, size)
-                wanted = [np.sort(np.array(batch.column(2)[a + i].as_py(), np.int64).view(U64)) for i in range(offsets.size - 1)]
+                wanted = [np.sort(np.array(batch.column(3)[a + i].as_py(), np.int64).view(U64)) for i in range(offsets.size - 1)]
                 ends = np.searchsorted(row, np.arange(offsets.size))
                 keep = np.zeros(row.size, bool)
                 for i, x in enumerate(wanted):
@@ -107,50 +109,56 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
                 starts, stops = found.start[first], found.end[first + n + size - 2]
                 packed = [b" ".join(text[x:y].split()) for x, y in zip(starts.tolist(), stops.tolist(), strict=True)]
                 digests = [xxhash.xxh3_128_digest(x) for x in packed]
-                yield pa.RecordBatch.from_arrays([long(least), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(alone, pa.bool_()), pa.array(ids[a + row]), pa.array((first - found.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["minimiser", "digest", "packed", "alone", "doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([long(least), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(alone, pa.bool_()), pa.array(ids[a + row]), pa.array(source[a + row]), pa.array((first - found.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["minimiser", "digest", "packed", "alone", "doc_id", "source", "start", "n"])
 
-    return texts.mapInArrow(run, "minimiser long, digest binary, packed binary, alone boolean, doc_id long, start int, n int")
+    return texts.mapInArrow(run, "minimiser long, digest binary, packed binary, alone boolean, doc_id long, source int, start int, n int")
 
 
 def _windows(entries: DataFrame, size: int) -> DataFrame:
-    """key1, key2, doc_id, start for each window of each packed string."""
+    """key1, key2, doc_id, source, start for each window of each packed string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            ids, source, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             for a, _, data, offsets in slices(batch.column(0).cast(pa.large_binary()).view(pa.large_string())):
                 found = Words(data, offsets)
                 last = found.hash.size - size + 1
                 whole = np.flatnonzero(found.row[:last] == found.row[size - 1 :])
                 row = found.row[whole]
                 keys = [long(gram(found.hash, size, salt)[whole]) for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[a + row]), pa.array((start[a + row] + whole - found.first[row]).astype(np.int32))], names=["key1", "key2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[a + row]), pa.array(source[a + row]), pa.array((start[a + row] + whole - found.first[row]).astype(np.int32))], names=["key1", "key2", "doc_id", "source", "start"])
 
-    return entries.select("packed", "doc_id", "start").mapInArrow(run, "key1 long, key2 long, doc_id long, start int")
+    return entries.select("packed", "doc_id", "source", "start").mapInArrow(run, "key1 long, key2 long, doc_id long, source int, start int")
 
 
 def repeated_windows(documents: DataFrame, size: int = 20) -> DataFrame:
-    """doc_id, start, n: runs of windows whose words start earlier elsewhere."""
+    """doc_id, source, start, n, stored: runs of windows whose words start earlier elsewhere."""
+    place = ["doc_id", "source", "start"]
     found = _minimisers(documents, size)
     again = found.groupBy("minimiser").agg(F.count("*").alias("times")).where("times > 1").select("minimiser")
-    flagged = found.join(again, "minimiser").groupBy("doc_id").agg(F.collect_set("minimiser").alias("minimisers"))
-    packed = materialise(_packed(_texts(documents).join(flagged, "doc_id"), size), "packed")
+    flagged = found.join(again, "minimiser").groupBy("doc_id", "source").agg(F.collect_set("minimiser").alias("minimisers"))
+    packed = _texts(documents).join(flagged, ["doc_id", "source"]).select("doc_id", "source", "text", "minimisers")
+    packed = materialise(_packed(packed, size), "packed")
     places = packed.drop("packed")
-    entries = materialise(places.groupBy("minimiser", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.min("alone").alias("alone")), "entries")
-    copies = places.join(entries.drop("alone"), ["minimiser", "digest"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n")
+    entries = materialise(places.groupBy("minimiser", "digest").agg(F.min(F.struct(*place)).alias("first"), F.min("alone").alias("alone")), "entries")
+    copies = places.join(entries.drop("alone"), ["minimiser", "digest"]).where(F.struct(*place) > F.col("first")).select(*place, "n")
+    copies = materialise(copies, "copies")
     buckets = entries.groupBy("minimiser").agg(F.count("*").alias("strings"), F.min("alone").alias("alone")).where("strings > 1 or not alone").select("minimiser")
-    sorted_ones = entries.join(buckets, "minimiser").select("minimiser", "digest", "first.doc_id", "first.start")
-    strings = packed.select("minimiser", "digest", "doc_id", "start", "packed").join(sorted_ones, ["minimiser", "digest", "doc_id", "start"])
+    sorted_ones = entries.join(buckets, "minimiser").select("minimiser", "digest", "first.*")
+    strings = packed.select("minimiser", "digest", *place, "packed").join(sorted_ones, ["minimiser", "digest", *place])
     windows = materialise(_windows(strings, size), "windows")
-    first = windows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = windows.join(first, ["key1", "key2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
-    return copies.union(later)
+    discard(packed, entries)
+    first = windows.groupBy("key1", "key2").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    later = windows.join(first, ["key1", "key2"]).where(F.struct(*place) > F.col("first")).select(*place, F.lit(1).alias("n"))
+    out = materialise(copies.union(later), "repeats")
+    discard(copies, windows)
+    return out
 
 
 def remove_repeats(documents: DataFrame, size: int = 20, digest: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 of the kept words joined by spaces, or with digest=False these as `kept`."""
-    spans = repeated_windows(documents, size)
-    gone = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
+    bound_batches(documents.sparkSession)
+    gone = repeated_windows(documents, size).groupBy("doc_id", "source").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     kind = pa.string() if digest else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +179,4 @@ def remove_repeats(documents: DataFrame, size: int = 20, digest: bool = True) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, kind)], names=["doc_id", "n_words", "n_removed", name])
 
     name = "kept_sha256" if digest else "kept"
-    return _texts(documents).join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} {'string' if digest else 'binary'}")
+    return _texts(documents).join(gone, ["doc_id", "source"], "left").select("doc_id", "text", "gone").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} {'string' if digest else 'binary'}")
