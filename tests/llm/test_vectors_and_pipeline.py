@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -47,14 +48,42 @@ def test_few_candidates_and_none(spark):
     assert ann.search(table(spark, np.eye(1))).count() == 0
 
 
-def test_block_returns_every_code_within_the_radius():
+@pytest.mark.parametrize("substring", [8, 16])
+def test_probing_finds_every_code_within_the_radius_once(spark, substring):
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (400, 8)).astype(np.uint8)
-    block = ann.Block(np.zeros((400, 1)), codes)
-    for radius in (0, 3, 9, 17, 24, 30, 64):
-        for query in codes[:10]:
-            want = [i for i, c in enumerate(codes) if sum(bin(x).count("1") for x in c ^ query) <= radius]
-            assert block.within(query, radius).tolist() == want
+    m, n = 64 // substring, 300
+    parts = rng.integers(0, 1 << substring, (n, m)).astype(np.int32)
+    parts[1::2] = parts[::2] ^ (rng.random((n // 2, m)) < 0.4) * (1 << rng.integers(0, substring, (n // 2, m)))
+    vectors = rng.normal(size=(n, 4))
+    index = spark.createDataFrame([(i, [*map(float, v)], [*map(int, p)]) for i, (v, p) in enumerate(zip(vectors, parts))], "vec_id long, embedding array<double>, parts array<int>")
+    for radius in (0, 3, 9, 17, 30, 64):
+        asked = index.where("vec_id < 40").withColumn("query_id", F.col("vec_id") + 1000).withColumn("radius", F.lit(radius)).withColumn("floor", F.lit(float("-inf")))
+        found = ann.probe(index, asked.withColumn("reach", ann.reaches(F.col("radius"), m)), substring, 2, n).collect()
+        apart = np.bitwise_count(parts[:40, None] ^ parts[None]).sum(axis=2)
+        assert sorted((r.query_id - 1000, r.vec_id) for r in found) == [(int(i), int(j)) for i, j in np.argwhere(apart <= radius)]
+
+
+def test_many_shards_and_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 50)
+    monkeypatch.setattr(ann, "SHARD_QUERIES", 7)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 16)).astype(np.float32)
+    data[::3] = data[0] + rng.normal(size=(300, 16)).astype(np.float32) * 0.001
+    got = ann.search(table(spark, data), every=20, k=10).toPandas()
+    exact = data.astype(np.float64)
+    hit = sum(len({*g.vec_id} & {*[i for i in np.argsort(-(exact @ exact[q])) if i != q][:10]}) for q, g in got.groupby("query_id"))
+    assert len(got) == 450 and hit / len(got) >= 0.9
+
+
+def test_odd_vectors(spark):
+    """The commonest dimension counts, not the first row's; ids may repeat."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(40, 8))
+    rows = [(0, [1.0, 2.0], 0), (20, [1.0], 0)] + [(i, [*map(float, v)], 0) for i, v in enumerate(data)] + [(7, [*map(float, data[7])], 1), (9, [*map(float, -data[9])], 0)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), every=20, k=50).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 39, 20: 39}
+    both = got[got.vec_id == 9].set_index("query_id").score
+    assert all(np.isclose(both[q], abs(data[9] @ data[q])) for q in (0, 20))
 
 
 def test_lengths_that_differ(spark):
@@ -87,19 +116,3 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-def test_margin_keeps_the_true_neighbours():
-    """Random unit vectors in one block: a margin of 0.75 finds 0.979 of the 20 nearest, one of 1.0 finds 0.994."""
-    import numpy as np
-
-    v = np.random.default_rng(6).normal(size=(2000, 16))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    ids, longest = np.arange(2000), float(np.linalg.norm(v, axis=1).max())
-    codes = ann.learn(v, longest)
-    block, found = ann.Block(v, codes.of(v)), 0
-    for i, code in zip(ids[::20], codes.of_queries(v[::20]), strict=True):
-        scores = v @ v[i]
-        scores[i] = -np.inf
-        found += len({*ann.best_of_block(block, ids, v[i], int(i), code, 20, longest)[0]} & {*np.argsort(-scores)[:20]})
-    assert found >= 0.985 * 20 * 100
