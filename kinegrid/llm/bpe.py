@@ -3,8 +3,8 @@
 The model's pieces are the vocabulary's tokens with each byte mapped to one printable character; the score of a piece is
 its negative rank, so that sentencepiece merges in the order of the ranks. Pre-tokens are encoded separately.
 
-Rows: a null text is an empty one (no tokens); a text of any length is one row and is encoded whole; repeated rows give
-repeated results; an empty table gives an empty result; columns other than the id and the text are ignored.
+Rows: a null text is an empty one (no tokens); a text of any length is one row and is encoded whole; repeated rows, those that
+repeat an id and those without one give a result each; an empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bound_batches
+
 #: A space after white space and before more of it, or before the end: only there does a token hold a space after its start.
 _SPANNING = re.compile(r"\s (?:\s|\Z)")
-#: Entries that a worker keeps; beyond that it starts anew, so that memory is bounded.
-CACHE_ENTRIES = 600_000
+#: Fixed value: the public pattern of pre-tokens whose texts can be cut at single spaces.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Entries that a worker keeps, of so many characters at most; beyond that it starts anew, so that memory is bounded.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 
 
 def byte_chars() -> list[str]:
@@ -81,7 +85,7 @@ class ChunkCache(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         ids = self.encode(self.before + chunk)
-        if len(chunk) <= 64:
+        if len(chunk) <= CACHE_CHARS:
             self[chunk] = ids
         return ids
 
@@ -89,16 +93,16 @@ class ChunkCache(dict):
 class TextEncoder:
     """Encodes texts through caches of space-separated chunks; `encode` maps any text to its ids' bytes.
 
-    A chunk with the space before it is pre-tokenised as in its text unless a run of white space spans the cut; texts
-    with such runs go to `encode` whole.
+    With the pattern SPACED a chunk with the space before it is pre-tokenised as in its text unless a run of white space spans the
+    cut; texts with such runs go to `encode` whole, and with other patterns all do.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], bytes], pattern: str):
+        self.encode, self.spaced = encode, pattern == SPACED
         self.first, self.rest = ChunkCache(encode, ""), ChunkCache(encode, " ")
 
     def __call__(self, text: str) -> bytes:
-        if _SPANNING.search(text):
+        if not self.spaced or _SPANNING.search(text):
             return self.encode(text)
         chunks = text.split(" ")
         return self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
@@ -122,11 +126,13 @@ def _codec(model: bytes, pattern: str) -> tuple[TextEncoder, list[bytes]]:
             mapped = [x.encode().decode("latin-1").translate(table) for x in new]
             # a list starts a thread pool, which a few pre-tokens are not worth
             ids = processor.encode(mapped, num_threads=1) if len(mapped) > 200 else [*map(processor.encode, mapped)]
-            known.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(new, ids, strict=True))
+            own = {x: struct.pack(f"<{len(i)}I", *i) for x, i in zip(new, ids, strict=True)}
+            known.update((x, i) for x, i in own.items() if len(x) <= CACHE_CHARS)
+            return b"".join(own[x] if x in own else known[x] for x in tokens)
         return b"".join(map(known.__getitem__, tokens))
 
     pieces = [b"" if processor.is_unknown(i) else bytes(back[c] for c in processor.id_to_piece(i)) for i in range(processor.get_piece_size())]
-    return TextEncoder(encode), pieces
+    return TextEncoder(encode, pattern), pieces
 
 
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -139,6 +145,7 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, digests:
     The vocabulary has a fixed size (about 1 MB), so its model is broadcast.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     model = spark.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@ are dealt over hashed buckets, so that a length that a third of all pieces have
 With `added` the vocabulary's added tokens are found in texts first and have their ids there, as the `tokenizers` library has it
 by default; without, their strings are ordinary text.
 
-Rows: a null text is an empty one (a piece with id 0 alone); equal rows give equal pieces, each placed once; texts of any
-length are cut whole; an empty table gives an empty result; other columns are ignored.
+Rows: a null text is an empty one (a piece with id 0 alone); equal rows give equal pieces, each placed once, and so do rows
+that repeat an id and those without an id, whose pieces have none; texts of any length are cut whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, byte_chars
-from .common import materialise
+from .common import bound_batches, materialise
 
-RANK_BUCKETS = 256
+#: Buckets that ranks within a length are dealt over at least, and pieces for each bucket beyond that.
+RANK_BUCKETS, BUCKET_PIECES = 256, 1 << 20
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -65,6 +67,7 @@ _encoders: dict[tuple, TextEncoder] = {}
 def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: int = 2048, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
     spark = documents.sparkSession
+    bound_batches(spark)
     vocabulary = read_vocabulary(vocabulary_path)
     tokens = {x: struct.pack("<I", i) for x, i in read_added(vocabulary_path).items()} if added else {}
     parts = re.compile("(" + "|".join(map(re.escape, tokens)) + ")") if tokens else None
@@ -75,7 +78,7 @@ def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: i
             import tiktoken
 
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-            _encoders[key] = TextEncoder(lambda x: struct.pack(f"<{len(i := own.encode_ordinary(x))}I", *i))
+            _encoders[key] = TextEncoder(lambda x: struct.pack(f"<{len(i := own.encode_ordinary(x))}I", *i), pattern)
         encoder = _encoders[key]
         whole = lambda text: b"".join(tokens[x] if x in tokens else encoder(x) for x in parts.split(text) if x) if parts and parts.search(text) else encoder(text)
         for batch in batches:
@@ -89,67 +92,82 @@ def pieces(documents: DataFrame, vocabulary_path: str, pattern: str, capacity: i
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def complement(available: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are there and sum to `gap`: the fewest, then the longest first."""
-    if available[gap]:
-        return (gap,)
-    there = available > 0
-    half = np.arange(gap - 1, gap // 2 - 1, -1) if gap > 1 else np.empty(0, int)
-    half = half[2 * half >= gap]
-    fits = there[half] & there[gap - half] & ((2 * half != gap) | (available[half] > 1))
-    if fits.any():
-        a = int(half[np.argmax(fits)])
-        return (a, gap - a)
-    for a in np.flatnonzero(there[: gap - 1])[::-1]:
-        a, rest = int(a), gap - int(a)
-        if 3 * a < gap:
-            return None
-        b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
-        fits = there[b] & there[rest - b]
-        for k in np.flatnonzero(fits):
-            trio = (a, int(b[k]), rest - int(b[k]))
-            if all(available[x] >= n for x, n in Counter(trio).items()):
-                return trio
-    return None
+class SumIndex:
+    """Which one, two or three lengths fill a gap exactly, under counts of what is there.
+
+    For each sum the index holds a place in the order of its combinations, the longest length first. Counts only fall, so a combination
+    that is used up never comes back: each sum moves on from there, and all look-ups together pass each combination once."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.there = [0] * (capacity + 1)
+        for length, n in histogram.items():
+            self.there[length] = n
+        self.pair_at = [max(0, total - 1) for total in range(capacity + 1)]
+        self.triple_at = [max(0, total - 2) for total in range(capacity + 1)]
+
+    def take(self, lengths: Iterable[int], times: int = 1) -> None:
+        for x in lengths:
+            self.there[x] -= times
+
+    def enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.there[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        there, a = self.there, self.pair_at[total]
+        while 2 * a >= total and a and not (there[a] and there[total - a] and (2 * a != total or there[a] > 1)):
+            a -= 1
+        self.pair_at[total] = a
+        return (a, total - a) if a and 2 * a >= total else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        a = self.triple_at[total]
+        while a and 3 * a >= total:
+            if self.there[a] and self.pair(total - a):
+                b, least = min(a, self.pair_at[total - a]), -(-(total - a) // 2)
+                while b >= least:
+                    if self.enough((a, b, total - a - b)):
+                        self.triple_at[total] = a
+                        return a, b, total - a - b
+                    b -= 1
+            a -= 1
+        self.triple_at[total] = a
+        return None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """The fewest lengths that sum to `gap`, then the longest first."""
+        return (gap,) if self.there[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence in order, number of such sequences): the longest piece left opens a sequence; what is left of
     it is filled exactly by up to three lengths if they are there, else by the longest that fits, and so on."""
-    available = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        available[length] = n
-    out, longest = [], capacity
+    index, out, longest = SumIndex(histogram, capacity), [], capacity
     while True:
-        while longest and not available[longest]:
+        while longest and not index.there[longest]:
             longest -= 1
         if not longest:
             return out
-        left, lengths = available.copy(), [longest]
-        left[longest] -= 1
-        gap = capacity - longest
+        lengths, gap = [longest], capacity - longest
+        index.take(lengths)
         while gap:
-            if exact := complement(left, gap):
-                lengths += exact
-                break
-            fitting = np.flatnonzero(left[: gap + 1])
-            if not fitting.size:
+            more = index.exact(gap) or next(((x,) for x in range(min(gap, longest), 0, -1) if index.there[x]), None)
+            if not more:
                 break
-            best = int(fitting[-1])
-            lengths.append(best)
-            left[best] -= 1
-            gap -= best
+            index.take(more)
+            lengths += more
+            gap -= sum(more)
+        # the same again as often as all of its lengths are there
         uses = Counter(lengths)
-        times = min(int(available[x]) // n for x, n in uses.items())
-        for x, n in uses.items():
-            available[x] -= n * times
-        out.append((tuple(lengths), times))
+        again = min(index.there[x] // n for x, n in uses.items())
+        index.take(lengths, again)
+        out.append((tuple(lengths), 1 + again))
 
 
 def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to rows of `pieces`, which must be stored (they are read three times)."""
+    """Adds sequence_id and offset to rows of `pieces`, which must be stored (they are read four times)."""
     spark = found.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
+    buckets = max(RANK_BUCKETS, -(-found.count() // BUCKET_PIECES))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     found = found.withColumn("bucket", bucket)
     sizes = found.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
