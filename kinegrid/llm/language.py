@@ -3,12 +3,13 @@
 A look-up ANDs the slots of an n-gram and so returns all languages that contain it; the bits are counted by language over
 a text, corrected for each language's false-positive rate, and the highest count decides.
 
-Training counts n-grams of a bounded sample: at most `sample` training rows of each language, those of the least hash. A
-language's n-grams are those with a rate of `min_rate` or more in it (so at most 1 / min_rate of each order) and half of
-their highest rate in any language.
+Training counts n-grams of a bounded sample: at most `sample` different training texts of each language, those of the least hash. A
+language's n-grams are those with a rate of `min_rate` or more in it (so at most 1 / min_rate of each order); a look-up
+returns all languages of which that holds.
 
 Rows: a null text or one without a letter is `und` with score 0; so is any text if nothing could be learned; texts are
-read whole; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+read whole; repeated rows and rows without an id give a result each; equal texts have equal results; an empty table gives an
+empty result; other columns are ignored, or stay (`keep`).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, mix, slices
+from .common import U64, bound_batches, mix, slices
 
 ORDERS = (3, 4)
 #: Bytes of text that are predicted at once: the arrays of n-grams take some hundred times as much.
@@ -97,11 +98,10 @@ def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> Langua
     """From `rows` with text and lang. `sample` bounds the rows of each language that are read."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     order = F.xxhash64("text")
-    share = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("rows")))  # a row for each language
-    # the share keeps about twice the bound, the window then the bound, in 16 parts of each language
-    some = rows.join(share, "lang").where((order.cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 2 * sample + 20)
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(16))).orderBy(order)
-    some = some.withColumn("at", F.row_number().over(part)).where(F.col("at") <= -(-sample // 16)).select("lang", "text")
+    share = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # a row for each language
+    # the share keeps about twice the bound, of equal texts one, and the window then the bound
+    some = rows.join(share, "lang").where((order.cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 2 * sample + 20).select("lang", "text").distinct()
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("at") <= sample).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,39 +116,39 @@ def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> Langua
     counts = some.mapInArrow(count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     rate = counts.withColumn("rate", F.col("times") / F.sum("times").over(Window.partitionBy("lang", "n")))
     kept = rate.where(F.col("rate") >= min_rate)  # at most 1 / min_rate for each language and order
-    kept = kept.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= F.col("most") / 2)
     totals = {r["lang"]: r["rows"] for r in share.collect()}
     return build_filter([(r["lang"], r["gram"]) for r in kept.select("lang", "gram").collect()], totals)
 
 
-def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score: the share of the best language in the corrected counts of all. With `keep` all columns of
-    `documents` stay (but for its own of these names), and the texts need no join with the predictions."""
-    names_out = [c for c in documents.columns if c not in ("lang_pred", "score")] if keep else ["doc_id", "text"]
+def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, lang_pred, score: the share of the text's n-grams that the best language has, corrected. With `keep` all columns of
+    `documents` stay (but for its own of these names, which `names` can change), and the texts need no join with the predictions."""
+    names_out = [c for c in documents.columns if c not in names] if keep else ["doc_id", "text"]
     documents = documents.select([F.col(c).cast("string").alias(c) if c == "text" else F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names_out])
     at = names_out.index("text")
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.languages, "und"], object)
+        labels = np.array([*model.languages, "und"], object)
         for batch in batches:
             # small slices, in and out: neither side ever holds a second whole batch of texts
             for a, b, data, offsets in slices(batch.column(at), SLICE):
-                counts, _ = model.counts(data, offsets)
+                counts, grams_of = model.counts(data, offsets)
                 letters = np.add.reduceat(np.append((_KEEP[data] != _SPACE) & (data < 128), False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
                 for i in np.flatnonzero(~letters):
                     letters[i] = any(x.isalpha() for x in batch.column(at)[a + int(i)].as_py() or "")
                 if model.languages:
                     total, top = counts.sum(axis=1), counts.argmax(axis=1)
                     top[total == 0] = model.languages.index(model.prior)
-                    share = np.where(total > 0, counts.max(axis=1) / np.where(total > 0, total, 1), 0.0)
+                    share = np.minimum(1.0, counts.max(axis=1) / np.maximum(1, grams_of))
                 else:
                     letters[:] = False
                     top, share = np.zeros(b - a, int), np.zeros(b - a)
-                best = pa.array(names[np.where(letters, top, len(model.languages))], pa.string())
+                best = pa.array(labels[np.where(letters, top, len(model.languages))], pa.string())
                 passed = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns if keep else 1)]
-                yield pa.RecordBatch.from_arrays([*passed, best, pa.array(np.where(letters, share, 0.0))], names=[*(names_out if keep else names_out[:1]), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*passed, best, pa.array(np.where(letters, share, 0.0))], names=[*(names_out if keep else names_out[:1]), *names])
 
-    schema = StructType([*(documents.schema if keep else documents.schema[:1]), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*(documents.schema if keep else documents.schema[:1]), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return documents.mapInArrow(run, schema)
