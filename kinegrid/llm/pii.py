@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, unused
 
 #: Kinds in their order: those with base spans, then those that only the method finds.
 BASE = ("email", "ip", "card", "phone")
@@ -168,28 +168,32 @@ def estimate(patterns: list[dict], rounds: int = 50) -> Reliability:
 def classify(found: DataFrame) -> DataFrame:
     """Adds `private`, the classifier's probability. `found` (with votes and features) must be stored: it is read twice."""
     names = [c for c in found.columns if c.startswith("f_")]
-    counted = found.groupBy("kind", *LABELERS, *names).agg(F.count("*").alias("n")).collect()  # bounded: all have few values
-    rows = [r.asDict() for r in counted]
+    # a row for each kind, vote pattern, and value of one feature: some thousands at most
+    one = F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("string").alias("value")) for x in names))).alias("feature")
+    counted = found.select("kind", *LABELERS, one).groupBy("kind", *LABELERS, "feature").agg(F.count("*").alias("n")).collect()
+    rows = [r.asDict(recursive=True) for r in counted]
     score = F.lit(None).cast("double")
     for kind in PATTERNS:
         own = [r for r in rows if r["kind"] == kind]
-        merged: dict[tuple, dict] = {}
+        # each candidate counts once for each feature
+        patterns: dict[tuple, dict] = {}
         for r in own:
-            merged.setdefault(tuple(r[x] for x in LABELERS), {x: r[x] for x in LABELERS} | {"n": 0})["n"] += r["n"]
-        reliability = estimate([*merged.values()])
-        soft = [reliability.posterior({x: r[x] for x in LABELERS}) for r in own]
-        weight = [1 + sum((s if k else 1 - s) * r["n"] for s, r in zip(soft, own, strict=True)) for k in (0, 1)]
+            if r["feature"]["name"] == names[0]:
+                patterns.setdefault(tuple(r[x] for x in LABELERS), {x: r[x] for x in LABELERS} | {"n": 0})["n"] += r["n"]
+        reliability = estimate([patterns[k] for k in sorted(patterns)])
+        soft = {k: reliability.posterior({x: p[x] for x in LABELERS}) for k, p in patterns.items()}
+        weight = [1 + sum((soft[key] if k else 1 - soft[key]) * p["n"] for key, p in sorted(patterns.items())) for k in (0, 1)]
         total = F.lit(math.log(weight[1] / weight[0]))
         for name in names:
             table: dict = {}
-            for s, r in zip(soft, own, strict=True):
-                cell = table.setdefault(r[name], [1.0, 1.0])
+            for r in sorted((r for r in own if r["feature"]["name"] == name), key=lambda r: (str(r["feature"]["value"]), *(r[x] for x in LABELERS))):
+                cell, s = table.setdefault(r["feature"]["value"], [1.0, 1.0]), soft[tuple(r[x] for x in LABELERS)]
                 cell[0] += (1 - s) * r["n"]
                 cell[1] += s * r["n"]
             sums = [sum(c[k] for c in table.values()) for k in (0, 1)]
             if len(table) > 1:
                 for value, cell in table.items():
-                    total = total + F.when(F.col(name).eqNullSafe(F.lit(value)), F.lit(math.log(cell[1] / sums[1] * sums[0] / cell[0]))).otherwise(F.lit(0.0))
+                    total = total + F.when(F.col(name).cast("string").eqNullSafe(F.lit(value)), F.lit(math.log(cell[1] / sums[1] * sums[0] / cell[0]))).otherwise(F.lit(0.0))
         score = F.coalesce(F.when(F.col("kind") == kind, total), score)
     return found.withColumn("private", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score)))))
 
@@ -218,7 +222,7 @@ def digest(documents: DataFrame, accept: float = 0.5) -> DataFrame:
     entry = F.struct(_order(F.col("kind")).alias("k"), "start", F.concat_ws(":", "kind", "start", "end").alias("s"))
     joined = lambda entries: F.array_join(F.transform(F.array_sort(entries), lambda e: e["s"]), ",")
     by_doc = found.groupBy("doc_id", "source").agg(*(F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in BASE), joined(F.collect_list(F.when(F.col("base"), entry))).alias("base_spans"), joined(F.collect_list(entry)).alias("spans"))
-    ids = documents.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("source"))
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("source"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
     return ids.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("source") == F.col("_source")), "left").select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
@@ -229,10 +233,11 @@ def masked(documents: DataFrame, accept: float = 0.5) -> DataFrame:
     # base spans of different kinds may overlap: a span gives its place only if none before it reaches into it
     reach = F.max("end").over(Window.partitionBy("doc_id", "source").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("reach", F.coalesce(reach, F.lit(0))).where(F.col("end") > F.col("reach")).select("doc_id", "source", F.greatest("start", "reach").alias("start"), "end", "kind")
-    marks = found.groupBy(F.col("doc_id").alias("_span_id"), F.col("source").alias("_span_source")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("_spans"))
+    id_, source, spans_ = (unused(documents, x) for x in ("span_id", "span_source", "spans"))
+    marks = found.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source)).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias(spans_))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    piece = lambda s, i: F.concat(F.substring("text", F.when(i == 0, F.lit(1)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"])).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-    rest = F.substring("text", (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.char_length("text"))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_spans", piece), ""), rest))
-    joined = documents.join(marks, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_source")), "left")
+    piece = lambda s, i: F.concat(F.substring("text", F.when(i == 0, F.lit(1)).otherwise(F.element_at(spans_, F.greatest(i, F.lit(1)))["end"] + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans_, F.greatest(i, F.lit(1)))["end"])).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+    rest = F.substring("text", (F.element_at(spans_, -1)["end"] + 1).cast("int"), F.char_length("text"))
+    clean = F.when(F.col(spans_).isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(spans_, piece), ""), rest))
+    joined = documents.join(marks, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(source)), "left")
     return joined.select(*(clean.alias("text") if c == "text" else F.col(c) for c in documents.columns))

@@ -21,7 +21,8 @@ BITS = 128
 RADIUS = 23
 #: Words that one counter holds at most: 2^30 votes.
 _LANES = 0x0000000100000001
-_IDS_PER_BUCKET = 4096
+#: Ids of a range that one task windows.
+RANGE_IDS = 1 << 18
 
 
 def terms(text: Column) -> Column:
@@ -64,17 +65,16 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
 
 
 def following(documents: DataFrame) -> DataFrame:
-    """doc_id, next_id: the next greater id, the least after the greatest. Ids are windowed by range, not all in one task."""
-    ids = documents.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = -(-n // _IDS_PER_BUCKET) if n else 1
-    span = float((high or 0) - (low or 0)) + 1.0
-    bucket = F.floor((F.col("doc_id").cast("double") - float(low or 0)) / span * buckets).cast("long")
-    ids = ids.withColumn("bucket", bucket)
-    firsts = ids.groupBy("bucket").agg(F.min("doc_id").alias("first"))  # a row for thousands of ids
-    after = firsts.select("bucket", F.lead("first").over(Window.orderBy("bucket")).alias("after"))
+    """doc_id, next_id: the next greater id, the least after the greatest. Ids are windowed in ranges of as many ids each, and
+    each range ends with the first id of the next."""
+    ids = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ranges = max(1, -(-documents.count() // RANGE_IDS))
+    ids = materialise(ids.repartitionByRange(ranges, "doc_id").withColumn("bucket", F.spark_partition_id()), "ids")
+    firsts = ids.groupBy("bucket").agg(F.min("doc_id").alias("first"))  # a row for each range
+    edges = Window.orderBy("bucket")
+    after = firsts.select("bucket", F.coalesce(F.lead("first").over(edges), F.min("first").over(edges)).alias("after"))
     inside = ids.withColumn("inside", F.lead("doc_id").over(Window.partitionBy("bucket").orderBy("doc_id")))
-    return inside.join(after, "bucket").select("doc_id", F.coalesce("inside", "after", F.lit(low).cast("long")).alias("next_id"))
+    return inside.join(after, "bucket").select("doc_id", F.coalesce("inside", "after").alias("next_id"))
 
 
 def near(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
