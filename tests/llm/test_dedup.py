@@ -1,6 +1,7 @@
 """Jaccard join, line chunks, super-k-mers and SimHash against brute force."""
 
 import hashlib
+import math
 import sys
 from pathlib import Path
 
@@ -158,7 +159,7 @@ def test_lines_equal_brute_force(spark):
                 gone |= {*range(start, start + n)}
             first.add(chunk)
         want[3 * i] = (None if t is None else "\n".join(x for k, x in enumerate(rows) if k not in gone), len(gone))
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts).withColumn("_line_gone_", F.lit(1))).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts)).collect()}
     assert got == want and sum(n for _, n in want.values()) > 10
 
 
@@ -220,6 +221,10 @@ def test_simhash_edits_and_votes(spark):
     for i, t in enumerate(texts):
         same.setdefault(t or "", set()).add(got[3 * i].fingerprint)
     assert all(len(x) == 1 for x in same.values())
+    like = lambda a, b: max(0.0, math.cos(math.pi * (int(a, 16) ^ int(b, 16)).bit_count() / 128))
+    for i in range(len(texts)):
+        r, after = got[3 * i], got[3 * ((i + 1) % len(texts))]
+        assert abs(r.near_edited - like(r.fingerprint, r.edited_fingerprint)) < 1e-12 and abs(r.near_next - like(r.fingerprint, after.fingerprint)) < 1e-12
     long = [r for i, r in got.items() if len((texts[i // 3] or "").split()) > 60 and len(set(texts[i // 3].split())) > 20]
     assert len(long) > 20 and sum(r.near_edited > 0.5 for r in long) >= 0.9 * len(long)
 
