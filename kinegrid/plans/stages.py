@@ -213,6 +213,17 @@ def with_magnitude(cells: DataFrame) -> DataFrame:
     return cells.withColumn("m", F.coalesce(m, magnitude(F.col("u"), F.col("v"))).cast("float"))
 
 
+def stored_stage_one(cells: DataFrame, run_meta: DataFrame | None = None) -> DataFrame:
+    """Stored base cells with what older stores lack: m from the vector, align_start (1 where the run says none), num_sampled (null
+    where the run says none)."""
+    out = with_magnitude(cells)
+    if run_meta is None:
+        return out.withColumns({"align_start": F.lit(1), "num_sampled": F.lit(None).cast("int")})
+    known = {c: F.col(c) if c in run_meta.columns else F.lit(None) for c in ("align_start", "num_sampled")}
+    runs = run_meta.select("video_id", *(v.cast("int").alias(c) for c, v in known.items()))
+    return out.join(runs, "video_id", "left").withColumn("align_start", F.coalesce("align_start", F.lit(1)))
+
+
 def run(frames: DataFrame, params: Params | None = None) -> DataFrame:
     """The nested tubes of all videos without a fault."""
     return run_with_errors(frames, params)[0]

@@ -69,6 +69,19 @@ def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("clip"), clip.cast("string")).alias("video_id"), F.floor(F.col("event_id") / len(FPS)).cast("int").alias("frame_idx"), F.when(clip == 0, FPS[0]).otherwise(FPS[1]).alias("native_fps"), "ts")
 
 
+def v_patch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 32 x 32 for the flow kernel: 16 embeddings in a row, each a patch of 8 x 8, make a frame; 20 frames make a clip."""
+    emb = table(spark, sf_dir, "embeddings")
+    frame, at = F.floor(F.col("vec_id") / 16), F.col("vec_id") % 16
+    px = emb.select(frame.alias("frame"), at.alias("at"), F.posexplode("embedding").alias("pos", "e"))
+    place = (F.floor(F.col("at") / 4) * 8 + F.floor(F.col("pos") / 8)) * 32 + F.col("at") % 4 * 8 + F.col("pos") % 8
+    shade = F.greatest(F.lit(0), F.least(F.lit(255), F.round((F.col("e") + 1) * 127.5))).cast("int")
+    gray = px.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), shade.alias("shade")))).alias("p")).where(F.size("p") == 32 * 32)
+    bytes_ = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["shade"]), 2, "0")), ""))
+    index = (F.col("frame") % 20).cast("int")
+    return gray.select(F.concat(F.lit("clip"), F.floor(F.col("frame") / 20).cast("string")).alias("video_id"), index.alias("sampled_index"), (index * 6).alias("frame_idx"), (index / 5).alias("timestamp_sec"), F.lit(32).alias("h"), F.lit(32).alias("w"), bytes_.alias("gray"))
+
+
 def v_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select(F.floor(F.col("page_id") / 5).cast("long").alias("id"), (F.col("page_id") % 5).cast("int").alias("root_rank"), (F.col("page_id") % 2).cast("int").alias("is_direct"), F.col("url").alias("path"))

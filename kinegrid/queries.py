@@ -607,6 +607,43 @@ def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stages.unit_map(views.v_grid(spark, sf_dir).withColumnRenamed("v", "m"), PARAMS))
 
 
+@query(f"SELECT video_id, t, y, x, {r('v', 'mu')} FROM v_grid")
+def cell_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells themselves, where no units are wanted."""
+    return rounded(stages.unit_map(views.v_grid(spark, sf_dir).withColumnRenamed("v", "m"), PARAMS, prefer_unit=False))
+
+
+@query(f"SELECT video_id, t, y, x, {r('v', 'mu')} FROM v_grid")
+def stored_unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that are stored are taken as they are."""
+    return rounded(stages.unit_map(views.v_grid(spark, sf_dir).withColumnRenamed("v", "mu").withColumn("m", F.lit(0.0)), PARAMS))
+
+
+@query("SELECT 'clip' || CAST(frame // 20 AS VARCHAR) AS video_id, CASE WHEN count(*) < 8 THEN 'too few frames: ' || count(*) ELSE count(*) || ' frames for a gap of 50' END AS error FROM (SELECT vec_id // 16 AS frame FROM embeddings GROUP BY 1 HAVING count(*) = 16) GROUP BY frame // 20 HAVING count(*) <= 50")
+def frame_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.faults(views.v_patch_frames(spark, sf_dir), PARAMS)
+
+
+@query("SELECT 'clip' || CAST(frame // 20 AS VARCHAR) AS video_id, CAST(count(*) AS INTEGER) AS num_sampled, 32 AS height, 32 AS width, 2 AS cell_rows, 2 AS cell_columns, 50 AS align_start, 16 AS cell_px, 64 AS unit_px FROM (SELECT vec_id // 16 AS frame FROM embeddings GROUP BY 1 HAVING count(*) = 16) GROUP BY frame // 20")
+def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stages.run_meta(views.v_patch_frames(spark, sf_dir), PARAMS)
+    return out.select("video_id", "num_sampled", "height", "width", "cell_rows", "cell_columns", "align_start", "cell_px", "unit_px")
+
+
+@query()
+def frame_base_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage on frames, flow and reliability included: a dense kernel, which SQL does not express."""
+    params = Params(gaps=(1, 2), gap_divisors={1: 1.0, 2: 2.0}, input_scale=1.0)
+    return stages.base_cells(views.v_patch_frames(spark, sf_dir), params)
+
+
+@query()
+def frame_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three stages, from frames to the nested tubes."""
+    params = Params(gaps=(1, 2), gap_divisors={1: 1.0, 2: 2.0}, input_scale=1.0, persistence_min=0.2, min_event=2, min_tube_duration=2, unit_block=2)
+    return stages.run(views.v_patch_frames(spark, sf_dir), params)
+
+
 @query("SELECT o.video_id, o.t, o.tube_id, f.i AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o JOIN v_sampled f ON f.video_id = o.video_id AND f.i = o.t + 50", **_EV, **_MEM, st=_STATS)
 def overlay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = frames.sampled(views.v_frames(spark, sf_dir), 5.0).select("video_id", (F.col("sampled_index") - 50).alias("t"), F.col("sampled_index").alias("sampled_index_curr"))

@@ -175,3 +175,11 @@ def test_positions_over_stretches(spark):
     picked = [i for i in range(400) if i % 7 in (0, 3)]
     df = spark.createDataFrame([(v, i) for v in "ab" for i in picked], "video_id string, frame_idx int")
     assert {(r.video_id, r.frame_idx): r.sampled_index for r in fr.renumbered(df, 50).collect()} == {(v, i): k for v in "ab" for k, i in enumerate(picked)}
+
+
+def test_older_stores_lack_magnitudes_and_runs(spark):
+    cells = spark.createDataFrame([("a", 0, 3.0, 4.0), ("b", 0, 0.0, 2.0)], "video_id string, t int, u float, v float")
+    bare = {r.video_id: (r.m, r.align_start, r.num_sampled) for r in stages.stored_stage_one(cells).collect()}
+    assert bare == {"a": (5.0, 1, None), "b": (2.0, 1, None)}
+    runs = spark.createDataFrame([("a", 50)], "video_id string, align_start int")
+    assert {r.video_id: (r.align_start, r.num_sampled) for r in stages.stored_stage_one(cells, runs).collect()} == {"a": (50, None), "b": (1, None)}
