@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, bound_batches, mix, slices
+from .common import U64, bound_batches, materialise, mix, slices
 
 ORDERS = (3, 4)
+#: Languages whose numbers of texts are broadcast at most.
+MOST_BROADCAST = 10_000
 #: Bytes of text that are predicted at once: the arrays of n-grams take some hundred times as much.
 SLICE = 1 << 18
 _SPACE = 0x20
@@ -98,7 +100,8 @@ def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> Langua
     """From `rows` with text and lang. `sample` bounds the rows of each language that are read."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     order = F.xxhash64("text")
-    share = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # a row for each language
+    share = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")  # a row for each language
+    share = F.broadcast(share) if share.count() <= MOST_BROADCAST else share
     # the share keeps about twice the bound, of equal texts one, and the window then the bound
     some = rows.join(share, "lang").where((order.cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 2 * sample + 20).select("lang", "text").distinct()
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("at") <= sample).select("lang", "text")
