@@ -28,7 +28,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES at most, in a session that has Spark's default of 64 MB: a batch of whole texts is held several
     times over, by the executor and by its Python worker."""
-    if spark.conf.get(_BATCH) == "67108864b":
+    if spark.conf.get(_BATCH, None) == "67108864b":
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
