@@ -71,7 +71,7 @@ def runs(found: Words, size: int) -> tuple[np.ndarray, ...]:
 def _texts(documents: DataFrame) -> DataFrame:
     """doc_id, source (a hash that tells apart the texts of one id), text."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.select("doc_id", F.hash("text").alias("source"), "text")
+    return texts.select("doc_id", F.xxhash64("text").alias("source"), "text")
 
 
 def _minimisers(documents: DataFrame, size: int) -> DataFrame:
@@ -86,7 +86,7 @@ def _minimisers(documents: DataFrame, size: int) -> DataFrame:
                 least, row = (np.repeat(x, 2 - alone) for x in (least, row))
                 yield pa.RecordBatch.from_arrays([long(least), pa.array(ids[a + row]), pa.array(source[a + row])], names=["minimiser", "doc_id", "source"])
 
-    return _texts(documents).where("doc_id is not null").mapInArrow(run, "minimiser long, doc_id long, source int")
+    return _texts(documents).where("doc_id is not null").mapInArrow(run, "minimiser long, doc_id long, source long")
 
 
 def _packed(texts: DataFrame, size: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
                 digests = [xxhash.xxh3_128_digest(x) for x in packed]
                 yield pa.RecordBatch.from_arrays([long(least), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array(alone, pa.bool_()), pa.array(ids[a + row]), pa.array(source[a + row]), pa.array((first - found.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["minimiser", "digest", "packed", "alone", "doc_id", "source", "start", "n"])
 
-    return texts.mapInArrow(run, "minimiser long, digest binary, packed binary, alone boolean, doc_id long, source int, start int, n int")
+    return texts.mapInArrow(run, "minimiser long, digest binary, packed binary, alone boolean, doc_id long, source long, start int, n int")
 
 
 def _windows(entries: DataFrame, size: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _windows(entries: DataFrame, size: int) -> DataFrame:
                 keys = [long(gram(found.hash, size, salt)[whole]) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[a + row]), pa.array(source[a + row]), pa.array((start[a + row] + whole - found.first[row]).astype(np.int32))], names=["key1", "key2", "doc_id", "source", "start"])
 
-    return entries.select("packed", "doc_id", "source", "start").mapInArrow(run, "key1 long, key2 long, doc_id long, source int, start int")
+    return entries.select("packed", "doc_id", "source", "start").mapInArrow(run, "key1 long, key2 long, doc_id long, source long, start int")
 
 
 def repeated_windows(documents: DataFrame, size: int = 20) -> DataFrame:

@@ -82,7 +82,7 @@ def test_repeated_ids_with_other_texts_of_windows(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"a {passage} b"), (1, f"c d e {passage}"), (1, "short"), (1, f"{passage} {passage}"), (2, passage), (2, passage), (2, f"x {passage} y")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    order = sorted({(r.doc_id, r.h, r.text) for r in df.select("doc_id", "text", F.hash("text").alias("h")).collect()})
+    order = sorted({(r.doc_id, r.h, r.text) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()})
     seen, want = set(), {}
     for doc, _, text in order:
         w, gone = text.split(), set()
@@ -96,6 +96,20 @@ def test_repeated_ids_with_other_texts_of_windows(spark):
     assert got == sorted(want[r] for r in rows)
 
 
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    """Two texts of an id are told apart though their 32-bit hashes are equal."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = spark.range(300_000).select(F.concat("id", F.lit(f" {passage}")).alias("text")).withColumn("h", F.hash("text"))
+    pairs = texts.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").limit(1).collect()
+    assert pairs
+    a, b = pairs[0].a, pairs[0].b + " " + " ".join(f"q{i}" for i in range(40))
+    short, rows = pairs[0].b, [(7, a), (7, pairs[0].b), (8, b)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in superkmers.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == 8}
+    assert len(short.split()) == 31 and got == {(8, 71): 31}
+    both = superkmers.remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in both) == [0, 30]
+
+
 def test_ids_of_other_types_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, "some words to read here", "en"), (2, None, "en")], "doc_id int, text string, lang string")
     for name, operator in OPERATORS.items():
