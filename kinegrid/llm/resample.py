@@ -129,7 +129,7 @@ def features(column: pa.Array, orders: int, buckets: int) -> Iterator[tuple[int,
             found.append(last[same])
         row, found = np.concatenate(rows), np.concatenate(found)
         order = np.argsort(row, kind="stable")
-        yield a, b, row[order], (found[order] % np.uint32(buckets)).astype(np.int64)
+        yield a, b, row[order], found[order].astype(np.int64) % buckets
 
 
 def hashed(texts: DataFrame, orders: int, buckets: int) -> DataFrame:
