@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import time_gap
 from ..functions.storage import discard, materialise
 from .graph import connected_components
 
@@ -74,27 +73,49 @@ def merge_events(events: DataFrame, radius: int = 2, min_cells: int = 2, min_dur
     return renumber(members.join(kept.select("video_id", "tube_id"), ["video_id", "tube_id"]), kept)
 
 
-def proximity_edges(members: DataFrame, distance: int = 2, gap: int = 20) -> DataFrame:
-    """video_id, a, b (a < b): tubes with cells within the distance, at whatever times, and at most `gap` frames apart."""
-    cells = members.select("video_id", "tube_id", "y", "x").distinct()
-    near = cells.select("video_id", F.col("tube_id").alias("a"), "y", "x", F.explode(chebyshev_offsets(distance, own=True)).alias("o")).select("video_id", "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    pairs = near.join(cells.withColumnRenamed("tube_id", "b"), ["video_id", "y", "x"]).where("a < b").select("video_id", "a", "b").distinct()
-    hull = members.groupBy("video_id", "tube_id").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    side = lambda n: hull.select("video_id", F.col("tube_id").alias(n), F.col("t0").alias(f"{n}0"), F.col("t1").alias(f"{n}1"))
-    joined = pairs.join(side("a"), ["video_id", "a"]).join(side("b"), ["video_id", "b"])
-    return joined.where(time_gap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) <= gap).select("video_id", "a", "b")
+def hull_cells(members: DataFrame, gap: int, stretch: int) -> DataFrame:
+    """video_id, tube_id, y, x, s, t0, t1: each tube's cells, with its whole time, once for each stretch that its time reaches when it is
+    `gap` + 1 frames longer. Two tubes are `gap` frames apart or nearer if times so widened overlap."""
+    hull = members.groupBy("video_id", "tube_id").agg(F.min("t0").alias("t0"), (F.max("t1") + gap + 1).alias("t1"))
+    return members.select("video_id", "tube_id", "y", "x").distinct().join(hull, ["video_id", "tube_id"]).select("*", _stretches("t0", "t1", stretch).alias("s"))
+
+
+def meetings(members: DataFrame, distance: int = 2, gap: int = 20, grown: DataFrame | None = None, stretch: int = 128) -> DataFrame:
+    """video_id, a, b and both widened times of the tubes that have cells within the distance and meet in a stretch of time: what
+    `proximity_edges` tests. With `grown` (video_id, tube_id), `a` is one of these, and pairs may come both ways."""
+    cells = hull_cells(members, gap, stretch)
+    asked = cells if grown is None else cells.join(grown, ["video_id", "tube_id"], "left_semi")
+    near = asked.select("video_id", "s", F.col("tube_id").alias("a"), F.col("t0").alias("a0"), F.col("t1").alias("a1"), "y", "x", F.explode(chebyshev_offsets(distance, own=True)).alias("o"))
+    near = near.select("video_id", "s", "a", "a0", "a1", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    other = cells.select("video_id", "s", "y", "x", F.col("tube_id").alias("b"), F.col("t0").alias("b0"), F.col("t1").alias("b1"))
+    return near.join(other, ["video_id", "s", "y", "x"]).where("a < b" if grown is None else "a <> b")
+
+
+def proximity_edges(members: DataFrame, distance: int = 2, gap: int = 20, grown: DataFrame | None = None, stretch: int = 128) -> DataFrame:
+    """video_id, a, b (a < b): tubes with cells within the distance, at whatever times, and at most `gap` frames apart; with `grown`
+    only pairs with one of these.
+
+    Tubes meet by cell and stretch of time, so that those of other times do not meet at all."""
+    met = meetings(members, distance, gap, grown, stretch).where("a0 <= b1 and b0 <= a1")
+    return met.select("video_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def proximity_merge(members: DataFrame, distance: int = 2, gap: int = 20) -> DataFrame:
-    """Merges near tubes until none are near; each round's tubes are stored, which cuts the plan. A merged tube has the
-    least id of its parts."""
-    members = materialise(members, "tubes")
+    """Merges near tubes until none are near. A merged tube has the least id of its parts.
+
+    Tubes that were not near before are near only if one of them has grown: after the first round only the tubes that the last
+    one merged look for others. Each round's tubes are stored, which cuts the plan, and replace those of the round before."""
+    members, grown = materialise(members, "tubes"), None
     while True:
-        edges = materialise(proximity_edges(members, distance, gap), "near")
+        edges = materialise(proximity_edges(members, distance, gap, grown), "near")
         if edges.isEmpty():
+            discard(edges)
             return renumber(members, tube_stats(members))
-        labels = components(edges).withColumnRenamed("node", "tube_id")
+        labels = materialise(components(edges).withColumnRenamed("node", "tube_id"), "labels")
+        grown = labels.select("video_id", F.col("component").alias("tube_id")).distinct()
+        before = members
         members = materialise(members.join(labels, ["video_id", "tube_id"], "left").withColumn("tube_id", F.coalesce("component", "tube_id")).drop("component"), "tubes")
+        discard(before, edges)
 
 
 def contained(stats: DataFrame, stretch: int = 64, block: int = 8) -> DataFrame:

@@ -20,8 +20,12 @@ _DIAGNOSTICS = ("lambda1", "lambda2", "edgeness", "strong", "alignment", "penalt
 
 
 def faults(frames: DataFrame, params: Params, least: int = 8) -> DataFrame:
-    """video_id, error for the videos that no stage can take: a frame whose bytes are not of its size, sizes or numbers that do not
-    go together, or too few frames for a stage or for the largest gap."""
+    """video_id, error for the videos that no stage can take: a fault of its decoder (the first one, if `frames` has a column error), a
+    frame whose bytes are not of its size, sizes or numbers that do not go together, or too few frames for a stage or for the
+    largest gap."""
+    if "error" in frames.columns:
+        failed = frames.where("error is not null").groupBy("video_id").agg(F.min_by("error", "frame_idx").alias("error"))
+        return failed.union(faults(without(frames.where("error is null").drop("error"), failed), params, least))
     n, last = F.count("*"), F.max("sampled_index")
     bad = F.count_if(F.col("gray").isNull() | (F.length("gray") != F.col("h") * F.col("w")))
     stats = frames.groupBy("video_id").agg(n.alias("n"), F.min("sampled_index").alias("first"), last.alias("last"), bad.alias("bad"), (F.max("h") - F.min("h") + F.max("w") - F.min("w")).alias("sizes"))
@@ -52,19 +56,24 @@ def without(df: DataFrame, errors: DataFrame) -> DataFrame:
 
 def quarter_frames(frames: DataFrame, params: Params, blur: float | None = None) -> DataFrame:
     """Frames at the flow's scale, h and w of that scale, full_h and full_w of the original, smoothed first by `blur`. Frames
-    stay one row each."""
+    stay one row each; one that cannot be scaled has no gray, and `error`."""
+
+    def scaled(gray: bytes, h: int, w: int) -> tuple[int | None, int | None, bytes | None, str | None]:
+        try:
+            whole = np.frombuffer(gray, np.uint8).reshape(h, w).astype(np.float64)
+            small = kernels.area_downscale(kernels.smooth(whole, blur) if blur else whole, params.input_scale)
+            return *small.shape, small.astype(np.float32).tobytes(), None
+        except Exception as e:  # whatever a kernel raises is a fault of this video alone
+            return None, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            whole = (np.frombuffer(g, np.uint8).reshape(h, w).astype(np.float64) for g, h, w in zip(batch["gray"], batch["h"], batch["w"], strict=True))
-            small = [kernels.area_downscale(kernels.smooth(g, blur) if blur else g, params.input_scale) for g in whole]
-            out = batch[["video_id", "sampled_index", "frame_idx", "timestamp_sec"]].copy()
-            out["full_h"], out["full_w"] = batch["h"], batch["w"]
-            out["h"], out["w"] = [s.shape[0] for s in small], [s.shape[1] for s in small]
-            out["gray"] = [s.astype(np.float32).tobytes() for s in small]
-            yield out
+            small = pd.DataFrame([scaled(*r) for r in zip(batch["gray"], batch["h"], batch["w"], strict=True)], columns=["h", "w", "gray", "error"], index=batch.index)
+            out = batch[["video_id", "sampled_index", "frame_idx", "timestamp_sec"]].assign(full_h=batch["h"], full_w=batch["w"])
+            yield out.join(small.astype({"h": "Int32", "w": "Int32"}))
 
-    return frames.mapInPandas(run, "video_id string, sampled_index int, frame_idx int, timestamp_sec double, full_h int, full_w int, h int, w int, gray binary")
+    kinds = "video_id string, sampled_index int, frame_idx int, timestamp_sec double, full_h int, full_w int, h int, w int, gray binary, error string"
+    return frames.drop("error").mapInPandas(run, kinds)
 
 
 def _flows(chunk: pd.DataFrame, params: Params, gaps: tuple[int, ...], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -99,6 +108,8 @@ def cell_vectors(quarter: DataFrame, params: Params, gaps: tuple[int, ...] | Non
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
         video, parts = chunk["video_id"].iloc[0], []
         try:
+            if chunk["error"].notna().any():
+                return pd.DataFrame([{"video_id": video, "error": chunk["error"].dropna().iloc[0]}]).reindex(columns=["video_id", "gap", "t", "y", "x", "u", "v", "error"])
             for gap, i, image, flow in _flows(chunk, params, gaps, length):
                 cells = kernels.weighted_cells(flow, _fields(image, flow, params)["reliability"], params.cell_stride, params.cell_window).astype(np.float32)
                 y, x = (a.ravel() for a in np.indices(cells.shape[:2], np.int32))
@@ -146,7 +157,8 @@ def base_and_errors(frames: DataFrame, params: Params, gaps: tuple[int, ...] | N
     """(base cells of the videos that went well; video_id, error of the others)."""
     gaps = gaps or params.gaps
     early = materialise(faults(frames, params), "faults")
-    found = materialise(cell_vectors(quarter_frames(without(frames, early), params), params, gaps), "vectors")
+    good = without(frames.where("error is null") if "error" in frames.columns else frames, early)
+    found = materialise(cell_vectors(quarter_frames(good, params), params, gaps), "vectors")
     late = found.where("error is not null").groupBy("video_id").agg(F.min("error").alias("error"))
     cells = without(found.where("error is null").drop("error"), late)
     cells = temporal.gated_mean(cells, params.persistence_window, params.persistence_min, params.mean_radius)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+import re
+from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from ..schemas import FRAMES
+from ..schemas import FRAMES, VIDEOS
+from .files import file_system
 
 
 def listed(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -61,42 +66,118 @@ def stored_videos(maps: DataFrame) -> DataFrame:
     return maps.select("video_id").distinct().orderBy("video_id")
 
 
-Decoder = Callable[[str], Iterator[tuple[int, float, int, int, bytes]]]
+Frame = tuple[int, float, int, int, bytes]
+#: `decoder(path)` yields (frame_idx, native fps, h, w, gray) of all frames in order.
+Decoder = Callable[[str], Iterator[Frame]]
+#: What a decoder that says no rate has.
+USUAL_FPS = 30.0
 
 
-class _Video(InputPartition):
-    def __init__(self, video_id: str, path: str):
-        super().__init__((video_id, path))
-        self.video_id, self.path = video_id, path
+class SeekingDecoder(Protocol):
+    """A decoder that can start anywhere: a long video is then several partitions."""
+
+    def probe(self, path: str) -> tuple[float, int, int, int]:
+        """(native fps, number of frames, width, height), without decoding frames."""
+
+    def frames(self, path: str, first: int, end: int) -> Iterator[Frame]:
+        """Frames first..end - 1, each as a plain decoder yields it."""
+
+
+def probed(videos: DataFrame, decoder: SeekingDecoder) -> DataFrame:
+    """The VIDEOS row of each (video_id, path), and `error`, which says why a file cannot be opened; nothing else of its row is known then."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for video, path in zip(batch["video_id"], batch["path"], strict=True):
+                try:
+                    rows.append((video, path, *decoder.probe(path), None))
+                except Exception as e:  # whatever a decoder raises is a fault of this video alone
+                    rows.append((video, path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["video_id", "path", "native_fps", "frame_count", "width", "height", "error"]).astype({c: "Int32" for c in ("frame_count", "width", "height")})
+
+    return videos.select("video_id", "path").mapInPandas(run, f"{VIDEOS}, error string")
+
+
+class _Range(InputPartition):
+    """Frames first..end - 1 of a video, or all that its decoder yields if `end` is None."""
+
+    def __init__(self, video_id: str, path: str, fps: float | None, first: int, end: int | None, error: str | None = None):
+        super().__init__((video_id, first))
+        self.video_id, self.path, self.fps, self.first, self.end, self.error = video_id, path, fps, first, end, error
+
+
+def _step(native: float, fps: float) -> int:
+    return max(1, round(native / fps))
 
 
 class _FrameReader(DataSourceReader):
-    def __init__(self, videos: list[tuple[str, str]], decoder: Decoder, fps: float):
-        self.videos, self.decoder, self.fps = videos, decoder, fps
+    """Sampled frames, and a row with `error` in place of the frames that a decoder could not give."""
 
-    def pushFilters(self, filters):
-        """A filter on video_id leaves whole videos out."""
+    def __init__(self, videos: list[tuple], decoder: Decoder | SeekingDecoder, fps: float, frames_each: int):
+        self.videos, self.decoder, self.fps, self.frames_each = videos, decoder, fps, frames_each
+        self.seconds = (float("-inf"), float("inf"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on video_id leave whole videos out, those on timestamp_sec whole ranges of frames; the latter are tested again by Spark."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("video_id",):
                 self.videos = [v for v in self.videos if v[0] == f.value]
+            elif isinstance(f, In) and f.attribute == ("video_id",):
+                self.videos = [v for v in self.videos if v[0] in f.value]
             else:
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, EqualTo)) and f.attribute == ("timestamp_sec",):
+                    low, high = self.seconds
+                    low = max(low, f.value) if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)) else low
+                    high = min(high, f.value) if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)) else high
+                    self.seconds = (low, high)
                 yield f
 
-    def partitions(self):
-        return [_Video(*v) for v in self.videos]
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for video, path, native, count, error in self.videos:
+            if error is not None or count is None:
+                out.append(_Range(video, path, native, 0, None, error))
+                continue
+            native = native if native and native > 0 else USUAL_FPS
+            low, high = self.seconds
+            first = max(0, math.floor(low * native)) if math.isfinite(low) else 0
+            end = min(count, math.floor(high * native) + 1) if math.isfinite(high) else count
+            # whole samples only, so that no range starts between two
+            each = max(1, self.frames_each // _step(native, self.fps)) * _step(native, self.fps)
+            out += [_Range(video, path, native, i, min(i + each, end)) for i in range(first // each * each, end, each)]
+        return out
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        video, at, native = partition.video_id, partition.first, partition.fps or USUAL_FPS
+        try:
+            if partition.error is not None:
+                raise _Known(partition.error)
+            plain = partition.end is None
+            found = self.decoder(partition.path) if plain else self.decoder.frames(partition.path, partition.first, partition.end)
+            for frame, rate, h, w, gray in found:
+                if plain:
+                    native = rate if rate > 0 else USUAL_FPS
+                if frame / native > self.seconds[1]:
+                    break
+                at = frame + 1
+                step = _step(native, self.fps)
+                if frame % step == 0 and frame / native >= self.seconds[0]:
+                    yield video, frame // step, frame, frame / native, h, w, gray, None
+            else:
+                if not plain and at < partition.end:
+                    raise EOFError(f"frames {at} to {partition.end - 1} are missing")
+        except Exception as e:  # whatever a decoder raises is a fault of this video alone
+            yield video, None, at, at / native, None, None, None, str(e) if isinstance(e, _Known) else f"{type(e).__name__}: {e}"
+
 
-    def read(self, partition):
-        index, step = 0, None
-        for frame, native, h, w, gray in self.decoder(partition.path):
-            native = native if native > 0 else 30.0
-            step = step or max(1, round(native / self.fps))
-            if frame % step == 0:
-                yield partition.video_id, index, frame, frame / native, h, w, gray
-                index += 1
+class _Known(Exception):
+    """A fault that probing has found."""
 
 
-def frame_source(videos: list[tuple[str, str]], decoder: Decoder, fps: float = 5.0) -> type[DataSource]:
-    """A data source of sampled frames, a partition for each video. `decoder(path)` yields (frame_idx, native fps, h, w, gray)."""
+def frame_source(videos: list[tuple], decoder: Decoder | SeekingDecoder, fps: float = 5.0, frames_each: int = 9000) -> type[DataSource]:
+    """A data source of sampled frames of (video_id, path, native_fps, frame_count, error) rows: a partition for each `frames_each`
+    native frames of a video whose count is known, else for each video."""
 
     class FrameSource(DataSource):
         @classmethod
@@ -104,16 +185,66 @@ def frame_source(videos: list[tuple[str, str]], decoder: Decoder, fps: float = 5
             return "video_frames"
 
         def schema(self) -> str:
-            return FRAMES
+            return f"{FRAMES}, error string"
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _FrameReader(videos, decoder, fps)
+            return _FrameReader(videos, decoder, fps, frames_each)
 
     return FrameSource
 
 
-def read_frames(spark: SparkSession, listed: list[tuple[str, str]], decoder: Decoder, fps: float = 5.0) -> DataFrame:
-    """Sampled frames of (video_id, path) pairs; filters on video_id reach the source."""
+def read_frames(spark: SparkSession, listed: list[tuple[str, str]], decoder: Decoder | SeekingDecoder, fps: float = 5.0, frames_each: int = 9000) -> DataFrame:
+    """Sampled frames of (video_id, path) pairs. Filters on video_id and timestamp_sec reach the source.
+
+    A decoder that fails, at once or half way, ends its own video only: a row with `error` says why, and frame_idx and timestamp_sec
+    say where; `stages.base_and_errors` takes such videos out. Videos of a seeking decoder are probed by Spark first, a row for each."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(frame_source(listed, decoder, fps))
+    known = [(*v, None, None, None) for v in listed]
+    if hasattr(decoder, "probe") and listed:
+        names = spark.createDataFrame(listed, "video_id string, path string").repartition(min(len(listed), 1024))
+        known = [(r.video_id, r.path, r.native_fps, r.frame_count, r.error) for r in probed(names, decoder).collect()]
+    spark.dataSource.register(frame_source(known, decoder, fps, frames_each))
     return spark.read.format("video_frames").load()
+
+
+class Y4m:
+    """Frames of uncompressed YUV4MPEG2 files, by their luma plane; every frame has its place, so it seeks."""
+
+    #: Fixed values of the format: bytes of both chroma planes, in quarters of the luma plane.
+    CHROMA = {"mono": 0, "420": 2, "422": 4, "444": 8}
+
+    def _head(self, stream) -> tuple[int, float, int, int, int]:
+        """(length of the header line, fps, width, height, bytes of a frame)."""
+        line = stream.read(1024).split(b"\n", 1)[0]
+        words = line.decode("ascii", "replace").split(" ")
+        if words[0] != "YUV4MPEG2":
+            raise ValueError("no YUV4MPEG2 file")
+        tags = {w[0]: w[1:] for w in words[1:] if w}
+        w, h = int(tags["W"]), int(tags["H"])
+        over, under = (int(x) for x in tags.get("F", "0:1").split(":"))
+        kind = next((k for k in self.CHROMA if tags.get("C", "420").startswith(k)), None)
+        if kind is None or re.search(r"p\d+$", tags.get("C", "420").removeprefix(kind)):
+            raise ValueError(f"planes of kind {tags['C']} are not known")
+        half_w, half_h = (w + 1) // 2 if kind in ("420", "422") else w, (h + 1) // 2 if kind == "420" else h
+        return len(line) + 1, over / under if under else 0.0, w, h, w * h + (2 * half_w * half_h if kind != "mono" else 0)
+
+    def _open(self, path: str):
+        store, at = file_system(path)
+        return store.open_input_file(at)
+
+    def probe(self, path: str) -> tuple[float, int, int, int]:
+        with self._open(path) as stream:
+            head, fps, w, h, size = self._head(stream)
+            return fps, (stream.size() - head) // (size + 6), w, h
+
+    def frames(self, path: str, first: int, end: int) -> Iterator[Frame]:
+        with self._open(path) as stream:
+            head, fps, w, h, size = self._head(stream)
+            for i in range(first, end):
+                stream.seek(head + i * (size + 6))
+                if stream.read(6) != b"FRAME\n":
+                    raise ValueError(f"frame {i} does not start where it should")
+                gray = stream.read(w * h)
+                if len(gray) < w * h:
+                    raise EOFError(f"frame {i} is cut off")
+                yield i, fps, h, w, gray

@@ -68,6 +68,79 @@ def test_frame_source(spark):
     assert [r.frame_idx for r in got.where("video_id = 'a'").orderBy("frame_idx").collect()] == [*range(0, 25, 2)]  # 2.5 rounds to 2
 
 
+def counting():
+    class Counting:
+        """A seeking decoder of made-up frames; a path says how many there are and where it fails."""
+
+        def probe(self, path):
+            if path == "closed":
+                raise OSError("cannot be opened")
+            return 25.0, int(path.split(":")[0]), 96, 64
+
+        def frames(self, path, first, end):
+            bad = int(path.split(":")[1]) if ":" in path else None
+            for i in range(first, end):
+                if i == bad:
+                    raise RuntimeError(f"frame {i} is broken")
+                yield i, 25.0, 64, 96, bytes([i // 5 % 251]) * (64 * 96)
+
+    return Counting()
+
+
+def test_long_videos_are_several_partitions(spark):
+    df = videos.read_frames(spark, [("long", "1000"), ("short", "30")], counting(), frames_each=103)
+    assert df.rdd.getNumPartitions() == 10 + 1  # ranges of whole samples: 100 frames
+    got = sorted((r.video_id, r.sampled_index, r.frame_idx, r.timestamp_sec) for r in df.collect())
+    assert got == sorted((v, i // 5, i, i / 25) for v, n in (("long", 1000), ("short", 30)) for i in range(0, n, 5))
+    part = df.where("video_id in ('long') and timestamp_sec >= 10 and timestamp_sec < 13.9")
+    assert part.rdd.getNumPartitions() == 2  # frames 250 to 347
+    assert sorted(r.frame_idx for r in part.collect()) == [*range(250, 348, 5)]
+    assert df.where("timestamp_sec = 4").count() == 1
+
+
+def test_a_failing_decoder_is_a_fault_of_its_video(spark):
+    """At once, half way, on opening; the others finish, and the error says where."""
+    df = videos.read_frames(spark, [("good", "80"), ("late", "80:47"), ("early", "80:0"), ("closed", "closed")], counting(), frames_each=25)
+    errors = {r.video_id: (r.error, r.frame_idx) for r in df.where("error is not null").collect()}
+    assert errors == {"late": ("RuntimeError: frame 47 is broken", 47), "early": ("RuntimeError: frame 0 is broken", 0), "closed": ("OSError: cannot be opened", 0)}
+    assert df.where("video_id = 'late' and error is null").count() == 16  # all samples: the broken frame is none, and other ranges go on
+    cells, found = stages.base_and_errors(df, SMALL)
+    assert {r.video_id: r.error for r in found.collect()} == {v: e for v, (e, _) in errors.items()}
+    assert {r.video_id for r in cells.select("video_id").distinct().collect()} == {"good"}
+    tracks, found = stages.run_with_errors(df, SMALL)
+    results = stages.results(df, tracks, found)
+    summary = sinks.run_summary(results.withColumnRenamed("num_tubes", "num_suppressed")).first()
+    assert (summary.num_ok, summary.num_failed) == (1, 3)
+
+    def plain(path):
+        for i in range(60):
+            if path == "torn" and i == 33:
+                raise ValueError("torn")
+            yield i, 25.0, 64, 96, bytes(64 * 96)
+
+    df = videos.read_frames(spark, [("torn", "torn"), ("fine", "fine")], plain)
+    assert [(r.video_id, r.error, r.frame_idx) for r in df.where("error is not null").collect()] == [("torn", "ValueError: torn", 33)]
+    assert df.where("video_id = 'fine'").count() == 12
+
+
+def test_uncompressed_video_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    gray = rng.integers(0, 256, (40, 5, 7), np.uint8)
+    for kind, extra in (("420jpeg", 2 * 4 * 3), ("mono", 0), ("444", 2 * 35)):
+        body = b"".join(b"FRAME\n" + g.tobytes() + bytes(extra) for g in gray)
+        (tmp_path / f"{kind}.y4m").write_bytes(f"YUV4MPEG2 W7 H5 F30000:1001 Ip C{kind}\n".encode() + body)
+    (tmp_path / "cut.y4m").write_bytes((tmp_path / "mono.y4m").read_bytes()[: -41 * 10] + b"FRAMX" + bytes(50))
+    (tmp_path / "none.y4m").write_bytes(b"something else")
+    names = ["420jpeg", "mono", "444", "cut", "none", "gone"]
+    df = videos.read_frames(spark, [(n, str(tmp_path / f"{n}.y4m")) for n in names], videos.Y4m(), fps=15.0, frames_each=10)
+    rows = df.collect()
+    errors = {r.video_id: r.error for r in rows if r.error}
+    assert set(errors) == {"cut", "none", "gone"} and errors["none"] == "ValueError: no YUV4MPEG2 file" and "frame 30" in errors["cut"]
+    for name in names[:3]:
+        got = sorted((r for r in rows if r.video_id == name), key=lambda r: r.sampled_index)
+        assert [r.frame_idx for r in got] == [*range(0, 40, 2)] and all(bytes(r.gray) == gray[r.frame_idx].tobytes() and (r.h, r.w) == (5, 7) for r in got)
+
+
 def test_half_even_step(spark):
     df = spark.createDataFrame([("v", i, 12.5) for i in range(7)], "video_id string, frame_idx int, native_fps double")
     assert [r.frame_idx for r in fr.sampled(df, 5.0).orderBy("frame_idx").collect()] == [0, 2, 4, 6]

@@ -82,3 +82,54 @@ def test_neighbours_over_stretches_of_time(spark):
     got = [(r.a, r.b) for r in tubes.neighbour_edges(spark.createDataFrame(rows, EVENTS)).collect()]
     want = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and 1 <= max(abs(a[2] - b[2]), abs(a[3] - b[3])) <= 2 and a[4] <= b[5] and b[4] <= a[5]]
     assert sorted(got) == sorted(want)
+
+
+def near_by_force(rows, distance, gap):
+    tubes_ = {}
+    for _, i, _, y, x, t0, t1 in rows:
+        cells, a, b = tubes_.get(i, (set(), t0, t1))
+        tubes_[i] = (cells | {(y, x)}, min(a, t0), max(b, t1))
+    close = lambda a, b: any(max(abs(p[0] - q[0]), abs(p[1] - q[1])) <= distance for p in a for q in b)
+    return {(i, j) for i, a in tubes_.items() for j, b in tubes_.items() if i < j and max(b[1] - a[2] - 1, a[1] - b[2] - 1) <= gap and close(a[0], b[0])}
+
+
+def random_members(rng, n, time):
+    return [("v", i, 10 * i + k, rng.randrange(40), rng.randrange(40), t, t + rng.choice((0, 3, 40))) for i in range(1, n) for k in range(rng.randint(1, 3)) for t in [rng.randrange(time)]]
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = random_members(rng, 120, 900)
+    df = spark.createDataFrame(rows, MEMBERS)
+    for distance, gap, stretch in ((1, 0, 16), (2, 20, 128), (3, 150, 64)):
+        got = [(r.a, r.b) for r in tubes.proximity_edges(df, distance, gap, stretch=stretch).collect()]
+        assert sorted(got) == sorted(near_by_force(rows, distance, gap)) and got
+    some = spark.createDataFrame([("v", i) for i in range(1, 120, 3)], "video_id string, tube_id int")
+    got = {(r.a, r.b) for r in tubes.proximity_edges(df, 2, 20, some).collect()}
+    assert got == {(a, b) for a, b in near_by_force(rows, 2, 20) if a % 3 == 1 or b % 3 == 1}
+
+
+def test_merging_by_what_has_grown_equals_merging_all(spark):
+    rng = random.Random(9)
+    rows = random_members(rng, 90, 700)
+    got = {r.event_id: r.tube_id for r in tubes.proximity_merge(spark.createDataFrame(rows, MEMBERS), 2, 20).collect()}
+    now = list(rows)
+    while edges := near_by_force(now, 2, 20):
+        root = {r[1]: r[1] for r in now}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        now = [(v, root[i], *rest) for v, i, *rest in now]
+    groups = lambda pairs: sorted(sorted(e for e, j in pairs if j == i) for i in {j for _, j in pairs})
+    assert groups([(r[2], r[1]) for r in now]) == groups(list(got.items()))
+
+
+def test_tubes_of_other_times_do_not_meet(spark):
+    """The pairs that are tested grow with the number of tubes that one cell has had, not with its square."""
+    met = {}
+    for n in (200, 400, 800):
+        rows = [("v", i, i, 0, 0, 40 * i, 40 * i + 5) for i in range(1, n + 1)]
+        df = spark.createDataFrame(rows, MEMBERS)
+        met[n] = tubes.meetings(df, 2, 20).count()
+        assert tubes.proximity_edges(df, 2, 20).count() == 0
+    assert met[800] < 4.2 * met[200] and met[800] < 5 * 800
