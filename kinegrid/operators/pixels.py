@@ -7,15 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import stencil
+from .spatial import FRAME, convolved
 
-# The 3x3 Sobel weights, (x, y) for each (dy, dx).
+# The 3x3 Sobel weights, (x, y) for each (dy, dx); `gradients` takes them apart by axis.
 SOBEL = {(-1, -1): (-1, -1), (-1, 0): (0, -2), (-1, 1): (1, -1), (0, -1): (-2, 0), (0, 1): (2, 0), (1, -1): (-1, 1), (1, 0): (0, 2), (1, 1): (1, 1)}
 
 
 def gradients(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """ix, iy of each pixel's value g."""
-    return stencil(pixels, SOBEL, ("ix", "iy"), height, width)
+    """ix, iy of each pixel's value g: differences along one axis of what is smoothed along the other."""
+    smooth, change = {-1: 1, 0: 2, 1: 1}, {-1: -1, 1: 1}
+    frame = [c for c in FRAME if c in pixels.columns]
+    rows = convolved(pixels.repartition(*frame), "x", width, {"ix": ("g", change), "iy": ("g", smooth)})
+    return convolved(rows, "y", height, {"ix": ("ix", smooth), "iy": ("iy", change)})
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -34,9 +37,9 @@ def smoothed(products: DataFrame, height: int, width: int, sigma: float = 1.5) -
     """The products, averaged by a Gaussian: along the rows, then along the columns."""
     names = ("jxx", "jyy", "jxy")
     weights = gaussian_weights(sigma)
-    offsets = [i - len(weights) // 2 for i in range(len(weights))]
-    rows = stencil(products, {(0, d): (w,) * 3 for d, w in zip(offsets, weights, strict=True)}, names, height, width, names)
-    return stencil(rows, {(d, 0): (w,) * 3 for d, w in zip(offsets, weights, strict=True)}, names, height, width, names)
+    by_offset = {i - len(weights) // 2: w for i, w in enumerate(weights)}
+    taps = {n: (n, by_offset) for n in names}
+    return convolved(convolved(products, "x", width, taps), "y", height, taps)
 
 
 def eigenvalues(df: DataFrame) -> DataFrame:

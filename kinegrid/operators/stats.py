@@ -6,35 +6,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..functions.storage import discard, materialise
 
 PERCENTILES = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
 
-def percentiles(df: DataFrame, value: str, percents: tuple[float, ...] = PERCENTILES, accuracy: int = 10_000) -> DataFrame:
-    """One row: the exact interpolated percentiles of the finite values, as columns P50 and so on; NaN if there is none.
+#: Values that cut a bracket into parts of about as many values each.
+EDGES = 64
+
+
+def _met(values: DataFrame, brackets: DataFrame, groups: list[str], *more: str) -> DataFrame:
+    """The values up to the end of each bracket of their group: those within it, and those below if they have not been counted."""
+    packed = brackets.groupBy(*groups).agg(F.collect_list(F.struct("i", "rank", "low", "high", "before", *more)).alias("b"))
+    met = values.join(packed, groups) if groups else values.crossJoin(F.broadcast(packed))  # two brackets for each percentile
+    return met.select(*groups, "v", F.explode("b").alias("b")).select(*groups, "v", "b.*").where("v <= high and (v >= low or before is null)")
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
+    """For each bracket (i, rank, low, high, before) of a group the part of it that holds the value of that rank. `before` counts the
+    values below `low`; where it is null they are counted here.
+
+    A sketch of the bracket cuts it by values that it has: a part is one such value, however often it occurs, or what lies
+    between two of them."""
+    key = [*groups, "i", "rank"]
+    cuts = F.percentile_approx("v", [k / (EDGES - 1) for k in range(EDGES)], 20 * EDGES)
+    edges = _met(values, brackets, groups).where("v >= low").groupBy(*key).agg(cuts.alias("edges"))
+    cut = brackets.join(edges, key) if groups else brackets.join(F.broadcast(edges), key)
+    upto = F.size(F.filter("edges", lambda e: e <= F.col("v")))
+    place = F.when(F.col("v") < F.col("low"), -1).otherwise(2 * upto - F.when(F.get("edges", upto - 1) == F.col("v"), 1).otherwise(0))
+    bins = _met(values, cut, groups, "edges").groupBy(*key, place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.coalesce(F.max("before"), F.lit(0)).alias("before"))
+    over = Window.partitionBy(*key).orderBy("bin")  # 2 * EDGES + 2 rows at most
+    after = F.col("before") + F.sum("n").over(over) - F.col("n")
+    return bins.withColumn("before", after).where("before <= rank and rank < before + n").select(*key, "low", "high", "before")
 
-    A mergeable sketch brackets each percentile, and only values within a bracket (some `n / accuracy`, equal ones as one row) are
-    ranked: no task holds all values. `df` is read three times."""
-    values = df.where(finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
-    n = values.count()
+
+def percentiles_by(df: DataFrame, value: str, groups: list[str], percents: tuple[float, ...] = PERCENTILES, accuracy: int = 10_000) -> DataFrame:
+    """The exact interpolated percentiles of the finite values of each group, as columns P50 and so on, with their number n; groups
+    without such a value have no row.
+
+    A mergeable sketch brackets both values that a percentile lies between. Sketches of the brackets then narrow these, all at once,
+    until each holds one value: nothing is sorted but parts of brackets, so that no task holds a group's values. A round is two
+    passes over the stored values; a bracket of n values takes about log(n) / log(EDGES) rounds, whatever their distribution."""
+    values = materialise(df.where(finite(F.col(value))).select(*groups, F.col(value).cast("double").alias("v")), "values")
+    at = lambda sign: [min(1.0, max(0.0, p / 100 + sign * 2 / accuracy)) for p in percents]
+    # the ends of few values are those of all: a sketch of less than `accuracy` values is exact only to its own ranks
+    stats = values.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile_approx("v", at(-1), accuracy).alias("low"), F.percentile_approx("v", at(1), accuracy).alias("high"), F.min("v").alias("least"), F.max("v").alias("most"))
+    stats = materialise(stats, "counts")
+    few = F.col("n") < 10 * accuracy
+    ask = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p / 100).alias("p"), F.lit(side).alias("side")) for i, p in enumerate(percents) for side in (0, 1)))).alias("a")
+    rank = F.least(F.floor(F.col("a.p") * (F.col("n") - 1)) + F.col("a.side"), F.col("n") - 1)
+    pick = lambda ends, edge: F.when(few, F.col(edge)).otherwise(F.get(F.col(ends), F.col("a.i")))
+    wide = stats.where("n > 0").select("*", ask).select(*groups, F.col("a.i").alias("i"), rank.cast("long").alias("rank"), pick("low", "least").alias("low"), pick("high", "most").alias("high"), F.lit(None).cast("long").alias("before")).distinct()
+    found, spent = materialise(_narrowed(values, wide, groups), "brackets"), None
+    while True:
+        wide = found.where("low < high")
+        if wide.isEmpty():
+            break
+        spent, found = found, materialise(found.where("low = high").unionByName(_narrowed(values, wide, groups)), "brackets")
+        discard(spent)
+    known = found.groupBy(*groups, "i").agg(F.min_by("low", "rank").alias("x"), F.max_by("low", "rank").alias("y"))
+    named = stats.join(known, groups) if groups else stats.crossJoin(F.broadcast(known))
+    at_place = F.element_at(F.array(*(F.lit(p / 100) for p in percents)), F.col("i") + 1) * (F.col("n") - 1)
+    value_at = F.col("x") + (F.col("y") - F.col("x")) * (at_place - F.floor(at_place))
+    names = [f"P{p:g}".replace(".", "_") for p in percents]
+    discard(values)
+    return named.groupBy(*groups, "n").agg(*(F.max(F.when(F.col("i") == i, value_at)).alias(x) for i, x in enumerate(names)))
+
+
+def percentiles(df: DataFrame, value: str, percents: tuple[float, ...] = PERCENTILES, accuracy: int = 10_000) -> DataFrame:
+    """One row: `percentiles_by` of all values; NaN if there is none."""
     names = [f"P{p:g}".replace(".", "_") for p in percents]
-    if not n:
-        return df.sparkSession.range(1).select(*(F.lit(float("nan")).alias(x) for x in names))
-    margin = 2 / accuracy + 2 / n
-    at = lambda sign: [min(1.0, max(0.0, p / 100 + sign * margin)) for p in percents]
-    ends = values.agg(F.percentile_approx("v", at(-1), accuracy).alias("low"), F.percentile_approx("v", at(1), accuracy).alias("high")).first()
-    brackets = [(i, p / 100 * (n - 1), float(lo), float(hi)) for i, (p, lo, hi) in enumerate(zip(percents, ends["low"], ends["high"], strict=True))]
-    struct = lambda b: F.struct(F.lit(b[0]).alias("i"), F.lit(b[1]).alias("place"), F.lit(b[2]).alias("low"), F.lit(b[3]).alias("high"))
-    # each value counts below a bracket or lies in it
-    seen = values.select("v", F.explode(F.array(*map(struct, brackets))).alias("b")).where("v <= b.high")
-    counted = seen.groupBy("b.i", "b.place", F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("i").orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("after", F.col("upto") - F.col("n"))
-    holds = lambda place: (F.col("after") <= place) & (place < F.col("upto"))
-    lower, upper = F.floor("place"), F.least(F.floor("place") + 1, F.lit(n - 1))
-    found = ranked.groupBy("i", "place").agg(F.max(F.when(holds(lower), F.col("v"))).alias("x"), F.max(F.when(holds(upper), F.col("v"))).alias("y"))
-    found = found.select("i", (F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - F.floor("place"))).alias("p"))
-    return found.agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(x) for i, x in enumerate(names)))
+    found = percentiles_by(df, value, [], percents, accuracy).select(*names)
+    return df.sparkSession.range(1).join(found, F.lit(True), "left").select(*(F.coalesce(x, F.lit(float("nan"))).alias(x) for x in names))
 
 
 def boxed(pixels: DataFrame, rois: DataFrame, height: int, width: int) -> DataFrame:

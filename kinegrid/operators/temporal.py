@@ -32,12 +32,18 @@ def running_sum(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn(f"sum_{value}", F.sum(F.col(value).cast("double")).over(over))
 
 
+def _length(u: Column, v: Column) -> Column:
+    return magnitude(u.cast("double"), v.cast("double")).cast("float").cast("double")
+
+
 def persistence(df: DataFrame, width: int = 15, eps: float = 1e-12) -> Column:
     """Length of the summed vectors over the sum of their lengths, 0 to 1; 0 if there is no motion."""
     over = centred(df, width)
-    u, v = F.col("u").cast("double"), F.col("v").cast("double")
-    total = F.sum(magnitude(u, v).cast("float").cast("double")).over(over)
-    resultant = F.hypot(F.sum(u).over(over), F.sum(v).over(over)).cast("float").cast("double")
+    return _share(*(F.sum(c).over(over) for c in (F.col("u").cast("double"), F.col("v").cast("double"), _length(F.col("u"), F.col("v")))), eps)
+
+
+def _share(u: Column, v: Column, total: Column, eps: float = 1e-12) -> Column:
+    resultant = F.hypot(u, v).cast("float").cast("double")
     return F.when(total > eps, F.greatest(F.lit(0.0), F.least(F.lit(1.0), resultant / total))).otherwise(0.0).cast("float")
 
 
@@ -69,6 +75,51 @@ def weighted_moving_mean(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumns({c: F.when(weight > 0, F.sum(f"w{c}").over(over) / weight).otherwise(0.0) for c in ("u", "v")})
 
 
+def series(frames: DataFrame) -> DataFrame:
+    """video_id, first, last: the frames of each video, all of which exist."""
+    return frames.groupBy("video_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+def reached(cells: DataFrame, frames: DataFrame, before: int, after: int) -> DataFrame:
+    """`cells` with first and last of their series, once for each frame `at` whose window of `before` frames back and `after` ahead holds them."""
+    timed = cells.join(frames, "video_id")
+    return timed.withColumn("at", F.explode(F.sequence(F.greatest(F.col("t") - after, "first"), F.least(F.col("t") + before, "last"))))
+
+
+def sparse_persistence(cells: DataFrame, frames: DataFrame, width: int = 15) -> DataFrame:
+    """p15 of a sparse grid, whose missing rows are zero vectors: a row for each cell and frame that some vector reaches, and no others;
+    elsewhere it is 0. `frames` is of `series`."""
+    keys = _cell(cells)
+    found = reached(cells, frames, (width - 1) // 2, width // 2)
+    sums = found.groupBy(*keys, F.col("at").alias("t")).agg(F.sum(F.col("u").cast("double")).alias("u"), F.sum(F.col("v").cast("double")).alias("v"), F.sum(_length(F.col("u"), F.col("v"))).alias("total"))
+    return sums.select(*keys, "t", _share(F.col("u"), F.col("v"), F.col("total")).alias("p15"))
+
+
+def sparse_gate(cells: DataFrame, width: int = 15, least: float = 0.85) -> DataFrame:
+    """`gate` for the rows that there are, by windows over their frames: missing rows add nothing to its sums."""
+    over = Window.partitionBy(*_cell(cells)).orderBy("t").rangeBetween(-((width - 1) // 2), width // 2)
+    p15 = _share(*(F.sum(c).over(over) for c in (F.col("u").cast("double"), F.col("v").cast("double"), _length(F.col("u"), F.col("v")))))
+    out = cells.withColumn("p15", p15)
+    keep = F.col("p15").cast("double") >= least
+    return out.withColumns({"keep": keep, "u": F.when(keep, F.col("u")).otherwise(F.lit(0.0)), "v": F.when(keep, F.col("v")).otherwise(F.lit(0.0))})
+
+
+def sparse_moving_mean(cells: DataFrame, frames: DataFrame, radius: int = 2) -> DataFrame:
+    """`moving_mean` of a sparse grid: a row for each cell and frame that some vector reaches. The mean is over the frames of the series
+    within the radius, which its first and last frame tell; no frame is made up to be counted."""
+    keys = _cell(cells)
+    some = reached(cells.where("u <> 0 or v <> 0"), frames, radius, radius)
+    sums = some.groupBy(*keys, F.col("at").alias("t"), "first", "last").agg(F.sum(F.col("u").cast("double")).alias("u"), F.sum(F.col("v").cast("double")).alias("v"))
+    n = F.least(F.col("t") + radius, "last") - F.greatest(F.col("t") - radius, "first") + 1
+    return sums.select(*keys, "t", *((F.col(c) / n).cast("float").alias(c) for c in ("u", "v")))
+
+
+def sparse_gated_mean(cells: DataFrame, frames: DataFrame, width: int = 15, least: float = 0.85, radius: int = 2) -> DataFrame:
+    """`gated_mean` of a sparse grid, without a row for each cell and frame: the rows that are not zero."""
+    out = sparse_moving_mean(sparse_gate(cells, width, least), frames, max(0, radius))
+    return out.withColumn("m", magnitude(F.col("u").cast("double"), F.col("v").cast("double")).cast("float"))
+
+
 def gate_counts(df: DataFrame) -> DataFrame:
     """Kept and rejected vectors; to be taken before the series is aligned."""
     keys = [c for c in ("video_id", "gap") if c in df.columns]

@@ -42,6 +42,13 @@ def v_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.join(first, "video_id").select("video_id", (F.col("t") - F.col("first")).alias("t"), "y", "x", "u", "v")
 
 
+def v_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, t, y, x, u, v: vectors in few of the cells of a grid of 100 x 200."""
+    li = table(spark, sf_dir, "lineitem")
+    cells = li.groupBy(_order_clip().alias("video_id"), _frame(F.col("l_shipdate")).alias("t"), (F.col("l_suppkey") % 100).cast("int").alias("y"), (F.col("l_partkey") % 200).cast("int").alias("x"))
+    return cells.agg((F.max("l_quantity") - 10).cast("double").alias("u"), ((F.min("l_tax") * 100 - 4) * 5).cast("double").alias("v"))
+
+
 def v_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, gap, t, y, x, u, v, m: vectors of five gaps."""
     li = table(spark, sf_dir, "lineitem")
@@ -100,6 +107,9 @@ SQL = {
         min_by(value, event_id) AS u, CAST((min(event_id) % 7 - 3) * 15 AS DOUBLE) AS v FROM events GROUP BY ALL""",
     "v_field": """SELECT a.video_id, a.t - min(a.t) OVER (PARTITION BY a.video_id) AS t, b.y, b.x, coalesce(e.u, 0.0) AS u, coalesce(e.v, 0.0) AS v FROM (SELECT DISTINCT video_id, t FROM v_events) a
         JOIN (SELECT DISTINCT video_id, y, x FROM v_events) b ON b.video_id = a.video_id LEFT JOIN v_events e ON e.video_id = a.video_id AND e.t = a.t AND e.y = b.y AND e.x = b.x""",
+    "v_sparse": f"""SELECT {_CLIP} AS video_id, {_T} AS t, CAST(l_suppkey % 100 AS INTEGER) AS y, CAST(l_partkey % 200 AS INTEGER) AS x, CAST(max(l_quantity) - 10 AS DOUBLE) AS u, CAST((min(l_tax) * 100 - 4) * 5 AS DOUBLE) AS v FROM lineitem GROUP BY ALL""",
+    "v_whole": """SELECT c.video_id, CAST(f.t AS INTEGER) AS t, c.y, c.x, coalesce(s.u, 0.0) AS u, coalesce(s.v, 0.0) AS v FROM (SELECT DISTINCT video_id, y, x FROM v_sparse) c
+        JOIN (SELECT video_id, unnest(range(min(t), max(t) + 1)) AS t FROM v_sparse GROUP BY 1) f ON f.video_id = c.video_id LEFT JOIN v_sparse s ON s.video_id = c.video_id AND s.t = f.t AND s.y = c.y AND s.x = c.x""",
     "v_gap": f"""SELECT *, sqrt(u * u + v * v) AS m FROM (SELECT {_CLIP} AS video_id, [1, 5, 10, 20, 50][CAST(l_linenumber % 5 AS INTEGER) + 1] AS gap, {_T} AS t, CAST(l_suppkey % 4 AS INTEGER) AS y, CAST(l_partkey % 4 AS INTEGER) AS x,
         min(l_extendedprice) / 10000 AS u, max(l_tax) * 100 - 4 AS v FROM lineitem GROUP BY ALL)""",
     "v_pixels": f"""SELECT 'clip' || CAST(a.vec_id // {CLIP_PATCHES} AS VARCHAR) AS video_id, CAST(a.vec_id % {CLIP_PATCHES} AS INTEGER) AS t, CAST(p.pos // 8 AS INTEGER) AS y, CAST(p.pos % 8 AS INTEGER) AS x, round((CAST(a.embedding[p.pos + 1] AS DOUBLE) + 1) * 127.5) AS g,

@@ -130,6 +130,22 @@ def suppressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(views.v_field(spark, sf_dir).withColumns({"u": u, "v": v}))
 
 
+_NEAR = {"p": _P15.replace("v_field", "v_whole"), "g": _GATE, "q": _MEAN}
+
+
+@query("SELECT * FROM (SELECT video_id, t, y, x, " + r("p15") + " FROM p) WHERE p15 > 0", p=_NEAR["p"])
+def sparse_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a sparse grid, beside the dense form in SQL, where that is not zero."""
+    cells = views.v_sparse(spark, sf_dir)
+    return rounded(temporal.sparse_persistence(cells, temporal.series(cells))).where("p15 > 0")
+
+
+@query(f"SELECT * FROM (SELECT video_id, t, y, x, {r('u')}, {r('v')}, {r('CAST(sqrt(CAST(u AS DOUBLE) * u + CAST(v AS DOUBLE) * v) AS FLOAT)', 'm')} FROM q) WHERE m > 0", **_NEAR)
+def sparse_gated_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = views.v_sparse(spark, sf_dir)
+    return rounded(temporal.sparse_gated_mean(cells, temporal.series(cells)).select("video_id", "t", "y", "x", "u", "v", "m")).where("m > 0")
+
+
 # --- blocks and fusion ----------------------------------------------------------------------------------------------
 
 
@@ -432,6 +448,35 @@ def window_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.window_weighted_mean(px, 8, 8).select("video_id", "t", "y", "x", "u", "v"))
 
 
+@query(
+    f"""SELECT video_id, t, y, x, {r('CASE WHEN sum(w) OVER q > 0 THEN sum(wu) OVER q / sum(w) OVER q ELSE 0 END', 'u')}, {r('CASE WHEN sum(w) OVER q > 0 THEN sum(wv) OVER q / sum(w) OVER q ELSE 0 END', 'v')} FROM (
+      SELECT p.video_id, p.t, CAST(c.cy AS INTEGER) AS y, CAST(c.cx AS INTEGER) AS x, sum(w * u) AS wu, sum(w * v) AS wv, sum(w) AS w FROM (
+        SELECT cy, cx, {_AT['y']} AS py, {_AT['x']} AS px FROM range(2) a(cy) CROSS JOIN range(2) b(cx) CROSS JOIN range(-4, 4) d(dy) CROSS JOIN range(-4, 4) e(dx)) c
+      JOIN v_pixels p ON p.y = c.py AND p.x = c.px WHERE p.u IS NOT NULL GROUP BY ALL) WINDOW q AS (PARTITION BY video_id, y, x ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
+)
+def weighted_sums_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted sums of the windows' pixels, added over frames before their ratio is taken."""
+    px = views.v_pixels(spark, sf_dir).where("u is not null")
+    out = temporal.weighted_moving_mean(spatial.weighted_sums(px, 8, 8), 2)
+    return rounded(out.select("video_id", "t", "y", "x", "u", "v"))
+
+
+_SHARE = "least(({0} + 1) * 3, (c{0} + 1) * 8) - greatest({0} * 3, c{0} * 8)"
+
+
+@query(f"""SELECT video_id, t, CAST(cy AS INTEGER) AS y, CAST(cx AS INTEGER) AS x, {r('sum(g * s) / sum(s)', 'g')} FROM (SELECT *, ({_SHARE.format('y')}) * ({_SHARE.format('x')}) AS s FROM v_pixels CROSS JOIN range(3) a(cy) CROSS JOIN range(3) b(cx))
+  WHERE {_SHARE.format('y')} > 0 AND {_SHARE.format('x')} > 0 GROUP BY ALL""")
+def area_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of 8 x 8 pixels at 3 x 3: a size that the factor does not divide."""
+    return rounded(spatial.area_mean(views.v_pixels(spark, sf_dir), 8, 8, 0.4))
+
+
+@query("SELECT video_id, gap, count(*) AS n, " + ", ".join(r(f"quantile_cont(m, {p / 100})", f"P{p:g}".replace(".", "_")) for p in stats.PERCENTILES) + " FROM v_gap GROUP BY ALL")
+def gap_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the magnitudes of each video and gap."""
+    return rounded(stats.percentiles_by(views.v_gap(spark, sf_dir), "m", ["video_id", "gap"]))
+
+
 _SOBEL = ", ".join(f"({dy}, {dx}, {kx}, {ky})" for (dy, dx), (kx, ky) in pixels.SOBEL.items())
 _GRAD = f"""SELECT c.video_id, c.t, c.y, c.x, CAST(sum(k.kx * n.g) AS DOUBLE) AS ix, CAST(sum(k.ky * n.g) AS DOUBLE) AS iy FROM v_pixels c CROSS JOIN (VALUES {_SOBEL}) k(dy, dx, kx, ky)
   JOIN v_pixels n ON n.video_id = c.video_id AND n.t = c.t AND n.y = {_REFLECT.format('c.y + k.dy')} AND n.x = {_REFLECT.format('c.x + k.dx')} GROUP BY ALL"""
