@@ -53,10 +53,10 @@ class TaskFiles:
 
     def create(self, name: str) -> pa.NativeFile:
         """A new file for the caller to write and close."""
-        if not self.names:
-            self.store.create_dir(self.folder, recursive=True)
+        at = f"{self.folder}/{name}"
+        self.store.create_dir(at.rpartition("/")[0], recursive=True)
         self.names.append(name)
-        return self.store.open_output_stream(f"{self.folder}/{name}", compression=None)
+        return self.store.open_output_stream(at, compression=None)
 
     def remove(self, name: str) -> None:
         """Deletes a file of this attempt: the commit will not know it."""
@@ -64,9 +64,9 @@ class TaskFiles:
         self.store.delete_file(f"{self.folder}/{name}")
 
     def remove_all(self) -> None:
-        if self.names:
+        if self.store.get_file_info(self.folder).type == fs.FileType.Directory:
             self.store.delete_dir(self.folder)
-            self.names.clear()
+        self.names.clear()
 
 
 Task = Callable[[Iterator[pa.RecordBatch], TaskFiles], Iterable[dict[str, Any]]]
@@ -99,6 +99,8 @@ class CommittingWriter(DataSourceArrowWriter):
         names = [(m.attempt, n) for m in done for n in m.names]
         if len({n for _, n in names}) < len(names):
             raise ValueError("two tasks wrote a file of the same name")
+        for folder in {n.rpartition("/")[0] for _, n in names} - {""}:
+            store.create_dir(f"{root}/{folder}", recursive=True)
         for attempt, name in names:
             store.move(f"{root}/{TEMPORARY}/{attempt}/{name}", f"{root}/{name}")
         with store.open_output_stream(f"{root}/{COMMITTED}") as out:
