@@ -54,11 +54,12 @@ def without(df: DataFrame, errors: DataFrame) -> DataFrame:
     return df.join(errors.select("video_id"), "video_id", "left_anti")
 
 
-def quarter_frames(frames: DataFrame, params: Params, blur: float | None = None) -> DataFrame:
-    """Frames at the flow's scale, h and w of that scale, full_h and full_w of the original, smoothed first by `blur`. Frames
-    stay one row each; one that cannot be scaled has no gray, and `error`."""
+def quarter_frames(frames: DataFrame, params: Params, blurs: dict[str, float | None] | None = None) -> DataFrame:
+    """Frames at the flow's scale, h and w of that scale, full_h and full_w of the original. Frames stay one row each; one that
+    cannot be scaled has no gray, and `error`. With `blurs` a frame is read once and has a row for each named one, which
+    smooths it first; the name is in the column blur."""
 
-    def scaled(gray: bytes, h: int, w: int) -> tuple[int | None, int | None, bytes | None, str | None]:
+    def scaled(gray: bytes, h: int, w: int, blur: float | None) -> tuple[int | None, int | None, bytes | None, str | None]:
         try:
             whole = np.frombuffer(gray, np.uint8).reshape(h, w).astype(np.float64)
             small = kernels.area_downscale(kernels.smooth(whole, blur) if blur else whole, params.input_scale)
@@ -68,12 +69,14 @@ def quarter_frames(frames: DataFrame, params: Params, blur: float | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            small = pd.DataFrame([scaled(*r) for r in zip(batch["gray"], batch["h"], batch["w"], strict=True)], columns=["h", "w", "gray", "error"], index=batch.index)
-            out = batch[["video_id", "sampled_index", "frame_idx", "timestamp_sec"]].assign(full_h=batch["h"], full_w=batch["w"])
-            yield out.join(small.astype({"h": "Int32", "w": "Int32"}))
+            for name, blur in (blurs or {None: None}).items():
+                small = pd.DataFrame([scaled(*r, blur) for r in zip(batch["gray"], batch["h"], batch["w"], strict=True)], columns=["h", "w", "gray", "error"], index=batch.index)
+                out = batch[["video_id", "sampled_index", "frame_idx", "timestamp_sec"]].assign(full_h=batch["h"], full_w=batch["w"])
+                out = out.join(small.astype({"h": "Int32", "w": "Int32"}))
+                yield out.assign(blur=name) if blurs else out
 
     kinds = "video_id string, sampled_index int, frame_idx int, timestamp_sec double, full_h int, full_w int, h int, w int, gray binary, error string"
-    return frames.drop("error").mapInPandas(run, kinds)
+    return frames.drop("error").mapInPandas(run, kinds + ", blur string" if blurs else kinds)
 
 
 def _flows(chunk: pd.DataFrame, params: Params, gaps: tuple[int, ...], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,22 +107,24 @@ def cell_vectors(quarter: DataFrame, params: Params, gaps: tuple[int, ...] | Non
     fails has a row with `error` and without a cell instead of ending the job."""
     gaps = gaps or params.gaps
     chunks, length = _chunks(quarter, gaps)
+    more = [c for c in ("blur",) if c in quarter.columns]
+    names = ["video_id", "gap", "t", "y", "x", "u", "v", "error", *more]
 
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        video, parts = chunk["video_id"].iloc[0], []
+        own, parts = {c: chunk[c].iloc[0] for c in ("video_id", *more)}, []
         try:
             if chunk["error"].notna().any():
-                return pd.DataFrame([{"video_id": video, "error": chunk["error"].dropna().iloc[0]}]).reindex(columns=["video_id", "gap", "t", "y", "x", "u", "v", "error"])
+                return pd.DataFrame([own | {"error": chunk["error"].dropna().iloc[0]}]).reindex(columns=names)
             for gap, i, image, flow in _flows(chunk, params, gaps, length):
                 cells = kernels.weighted_cells(flow, _fields(image, flow, params)["reliability"], params.cell_stride, params.cell_window).astype(np.float32)
                 y, x = (a.ravel() for a in np.indices(cells.shape[:2], np.int32))
-                parts.append(pd.DataFrame({"video_id": video, "gap": np.int32(gap), "t": np.int32(i), "y": y, "x": x, "u": cells[..., 0].ravel(), "v": cells[..., 1].ravel(), "error": None}))
+                parts.append(pd.DataFrame(own | {"gap": np.int32(gap), "t": np.int32(i), "y": y, "x": x, "u": cells[..., 0].ravel(), "v": cells[..., 1].ravel(), "error": None}))
         except Exception as e:  # whatever a kernel raises is a fault of this video alone
-            parts = [pd.DataFrame([{"video_id": video, "error": f"{type(e).__name__}: {e}"}])]
-        names = ["video_id", "gap", "t", "y", "x", "u", "v", "error"]
+            parts = [pd.DataFrame([own | {"error": f"{type(e).__name__}: {e}"}])]
         return pd.concat(parts).reindex(columns=names) if parts else pd.DataFrame(columns=names)
 
-    return chunks.groupBy("video_id", "chunk").applyInPandas(run, "video_id string, gap int, t int, y int, x int, u float, v float, error string")
+    kinds = "video_id string, gap int, t int, y int, x int, u float, v float, error string"
+    return chunks.groupBy("video_id", *more, "chunk").applyInPandas(run, kinds + "".join(f", {c} string" for c in more))
 
 
 def diagnostics(frames: DataFrame, params: Params, gap: int = 1) -> DataFrame:
@@ -139,12 +144,8 @@ def diagnostics(frames: DataFrame, params: Params, gap: int = 1) -> DataFrame:
 
 
 def flows_by_blur(frames: DataFrame, params: Params, blurs: dict[str, float | None], gap: int = 1) -> DataFrame:
-    """Cell vectors once for each named blur of the frames, with its name."""
-    found = [cell_vectors(quarter_frames(frames, params, blur), params, (gap,)).where("error is null").drop("error").withColumn("blur", F.lit(name)) for name, blur in blurs.items()]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """Cell vectors once for each named blur of the frames, with its name; frames are read once."""
+    return cell_vectors(quarter_frames(frames, params, blurs), params, (gap,)).where("error is null").drop("error")
 
 
 def base_cells(frames: DataFrame, params: Params, gaps: tuple[int, ...] | None = None, start: int | None = None) -> DataFrame:

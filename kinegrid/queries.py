@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import GAP_DIVISORS, GAPS, Params
 from .functions.scalars import cells_along, gray, heat_level, sampling_step, scaled_size, suppressed, time_gap
-from .functions.storage import materialise
+from .functions.storage import materialise, shared_dir
 from .operators import events, frames, fusion, overlay, pixels, spatial, stats, temporal, tubes
-from .plans import stages, views
-from .sources import sinks, videos
+from .plans import drawing, stages, views
+from .sources import arrays, sinks, videos
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,12 +275,12 @@ def stored_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tubes ----------------------------------------------------------------------------------------------------------
 
 _EV = {"ev": _events_sql(0, 3)}
+#: Groups of events, to have many tubes whatever the grid.
+_MEM = {**_EV, "mem": "SELECT video_id, CAST(event_id % 40 AS INTEGER) AS tube_id, event_id, y, x, t0, t1 FROM ev"}
 _EDGES = "SELECT a.video_id, a.event_id AS a, b.event_id AS b FROM ev a JOIN ev b ON a.video_id = b.video_id AND a.event_id < b.event_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) BETWEEN 1 AND 2 AND a.t0 <= b.t1 AND b.t0 <= a.t1"
 _REACH = "SELECT video_id, event_id AS n, event_id AS m FROM ev UNION SELECT reach.video_id, reach.n, CASE WHEN e.a = reach.m THEN e.b ELSE e.a END FROM reach JOIN edges e ON e.video_id = reach.video_id AND reach.m IN (e.a, e.b)"
 _LABEL = "SELECT video_id, n AS event_id, min(m) AS component FROM reach GROUP BY ALL"
 _STATS = "SELECT video_id, tube_id, min(t0) AS t0, max(t1) AS t1, CAST(count(DISTINCT y * 1000 + x) AS INTEGER) AS num_cells, CAST(count(*) AS INTEGER) AS num_block_events, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, max(t1) - min(t0) + 1 AS duration FROM mem GROUP BY video_id, tube_id"
-#: Groups of events, to have many tubes whatever the grid.
-_MEM = {"mem": "SELECT video_id, CAST(event_id % 40 AS INTEGER) AS tube_id, event_id, y, x, t0, t1 FROM ev"}
 
 
 def _block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +312,17 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.merge_events(_block_events(spark, sf_dir)).select("video_id", "tube_id", "event_id", "y", "x", "t0", "t1")
 
 
-@query("SELECT video_id, tube_id, t0, t1, duration, num_cells, num_block_events, x1, y1, x2, y2 FROM st", **_EV, **_MEM, st=_STATS)
+@query(f"SELECT * FROM (SELECT video_id, t, y, x, {r('CAST(u AS FLOAT)', 'u')}, {r('CAST(v AS FLOAT)', 'v')}, {r('CAST(sqrt(u * u + v * v) AS FLOAT)', 'm')} FROM v_field) WHERE m > 0")
+def exchanged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as an archive of arrays for each video, and read back; where they are not zero."""
+    path = f"{shared_dir(spark)}/exchange-{uuid.uuid4().hex}"
+    field = views.v_field(spark, sf_dir).withColumn("m", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
+    notes = arrays.write_arrays(field, path, {"U1": ("u", "v"), "M1": ("m",)})
+    back = arrays.read_base_cells(spark, [(n["video_id"], f"{path}/{n['file']}") for n in notes])
+    return rounded(back.select("video_id", "t", "y", "x", "u", "v", "m")).where("m > 0")
+
+
+@query("SELECT video_id, tube_id, t0, t1, duration, num_cells, num_block_events, x1, y1, x2, y2 FROM st", **_MEM, st=_STATS)
 def tube_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.tube_stats(_members(spark, sf_dir))
 
@@ -328,12 +340,12 @@ def proximity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INSIDE = "SELECT DISTINCT i.video_id, i.tube_id FROM st i JOIN st o ON o.video_id = i.video_id AND o.tube_id <> i.tube_id AND o.t0 <= i.t0 AND o.t1 >= i.t1 AND o.x1 <= i.x1 AND o.y1 <= i.y1 AND o.x2 >= i.x2 AND o.y2 >= i.y2 AND NOT (o.t0 = i.t0 AND o.t1 = i.t1 AND o.x1 = i.x1 AND o.y1 = i.y1 AND o.x2 = i.x2 AND o.y2 = i.y2)"
 
 
-@query(_INSIDE, **_EV, **_MEM, st=_STATS)
+@query(_INSIDE, **_MEM, st=_STATS)
 def contained_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.contained(tubes.tube_stats(_members(spark, sf_dir)))
 
 
-@query("SELECT video_id, tube_id, t, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM (SELECT video_id, tube_id, y, x, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM mem) GROUP BY ALL", **_EV, **_MEM)
+@query("SELECT video_id, tube_id, t, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM (SELECT video_id, tube_id, y, x, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM mem) GROUP BY ALL", **_MEM)
 def active_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.active_boxes(_members(spark, sf_dir))
 
@@ -341,24 +353,38 @@ def active_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT f.video_id, f.t, f.tube_id, f.x1, f.y1, f.x2, f.y2, CAST(count(DISTINCT a.y * 1000 + a.x) AS INTEGER) AS n_cells FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) f
     LEFT JOIN mem a ON a.video_id = f.video_id AND a.tube_id = f.tube_id AND f.t BETWEEN a.t0 AND a.t1 GROUP BY ALL""",
-    **_EV, **_MEM, st=_STATS,
+    **_MEM, st=_STATS,
 )
 def tube_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tubes.overlays(_members(spark, sf_dir))
     return out.select("video_id", "t", "tube_id", *(F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))), F.size("cells").alias("n_cells"))
 
 
-@query("SELECT video_id, tube_id, event_id, CAST((x + i) * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST((y + k) * 64 AS INTEGER) AS py FROM mem CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_EV, **_MEM)
+_SEEN = {k: f"x{k} * CAST({float(-np.sin(np.radians(-60.0)))!r} AS DOUBLE) + t{k} * CAST({float(np.cos(np.radians(-60.0)))!r} AS DOUBLE)" for k in "ab"}
+_DEPTH = {k: f"y{k} * CAST({float(np.cos(np.radians(20.0)))!r} AS DOUBLE) - (x{k} * CAST({float(np.cos(np.radians(-60.0)))!r} AS DOUBLE) + t{k} * CAST({float(np.sin(np.radians(-60.0)))!r} AS DOUBLE)) * CAST({float(np.sin(np.radians(20.0)))!r} AS DOUBLE)" for k in "ab"}
+
+
+@query(
+    f"""SELECT video_id, tube_id, event_id, edge, {r(_SEEN['a'], 'x0')}, {r(_DEPTH['a'], 'y0')}, {r(_SEEN['b'], 'x1')}, {r(_DEPTH['b'], 'y1')} FROM (SELECT video_id, tube_id, event_id, CAST(edge AS INTEGER) AS edge,
+      {", ".join(f"(x + ({k} >> 2 & 1)) * CAST(64 AS DOUBLE) AS x{k}, CASE WHEN {k} >> 1 & 1 = 0 THEN t0 ELSE t1 + 1 END * CAST(4 AS DOUBLE) AS t{k}, (y + ({k} & 1)) * CAST(64 AS DOUBLE) AS y{k}" for k in "ab")}
+      FROM mem CROSS JOIN (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(drawing.EDGES))}) e(edge, a, b))""",
+    **_MEM,
+)
+def prism_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(drawing.prism_lines(_members(spark, sf_dir), 64))
+
+
+@query("SELECT video_id, tube_id, event_id, CAST((x + i) * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST((y + k) * 64 AS INTEGER) AS py FROM mem CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_MEM)
 def event_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.prisms(_members(spark, sf_dir), 64)
 
 
-@query("SELECT video_id, tube_id, CAST(CASE WHEN i = 0 THEN x1 ELSE x2 END * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST(CASE WHEN k = 0 THEN y1 ELSE y2 END * 64 AS INTEGER) AS py FROM st CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_EV, **_MEM, st=_STATS)
+@query("SELECT video_id, tube_id, CAST(CASE WHEN i = 0 THEN x1 ELSE x2 END * 64 AS INTEGER) AS px, CAST(CASE WHEN j = 0 THEN t0 ELSE t1 + 1 END AS INTEGER) AS pt, CAST(CASE WHEN k = 0 THEN y1 ELSE y2 END * 64 AS INTEGER) AS py FROM st CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) CROSS JOIN range(2) c(k)", **_MEM, st=_STATS)
 def hull_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.hull_prisms(_members(spark, sf_dir), 64)
 
 
-@query("SELECT video_id, tube_id, least(x1 * 64, 1920) AS px1, least(y1 * 64, 1080) AS py1, least(x2 * 64, 1920) AS px2, least(y2 * 64, 1080) AS py2, (tube_id + 9) % 10 AS colour FROM st", **_EV, **_MEM, st=_STATS)
+@query("SELECT video_id, tube_id, least(x1 * 64, 1920) AS px1, least(y1 * 64, 1080) AS py1, least(x2 * 64, 1920) AS px2, least(y2 * 64, 1080) AS py2, (tube_id + 9) % 10 AS colour FROM st", **_MEM, st=_STATS)
 def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.pixel_boxes(tubes.tube_stats(_members(spark, sf_dir)), 64, 1920, 1080).select("video_id", "tube_id", "px1", "py1", "px2", "py2", "colour")
 
@@ -407,7 +433,18 @@ def roi_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tubes.tracks(_final_tubes(spark, sf_dir))
 
 
-@query()
+_FRAME_CELLS = "SELECT video_id, tube_id, t, list([y, x] ORDER BY y, x) AS cells FROM (SELECT DISTINCT video_id, tube_id, y, x, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM mem) GROUP BY ALL"
+_TUBE_ROWS = """SELECT st.video_id, st.tube_id, t0, t1, duration, num_cells, num_block_events, [x1, y1, x2, y2] AS spatial_bbox_grid, m.members, f.per_frame FROM st
+  JOIN (SELECT video_id, tube_id, list(struct_pack(event_id := event_id, y := y, x := x, t0 := t0, t1 := t1, duration := t1 - t0 + 1) ORDER BY t0, y, x, event_id) AS members FROM mem GROUP BY ALL) m ON m.video_id = st.video_id AND m.tube_id = st.tube_id
+  JOIN (SELECT s.video_id, s.tube_id, list(struct_pack(frame_index := s.t, bbox_grid := [x1, y1, x2, y2], cells := coalesce(c.cells, CAST([] AS INTEGER[][]))) ORDER BY s.t) AS per_frame
+    FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) s LEFT JOIN fc c ON c.video_id = s.video_id AND c.tube_id = s.tube_id AND c.t = s.t GROUP BY ALL) f ON f.video_id = st.video_id AND f.tube_id = st.tube_id"""
+
+
+@query(
+    """SELECT video_id, CAST(to_json(struct_pack(video_id := video_id, num_tubes := count(*), tubes := list(struct_pack(tube_id := tube_id, t0 := t0, t1 := t1, duration := duration, num_cells := num_cells, num_block_events := num_block_events,
+    spatial_bbox_grid := spatial_bbox_grid, members := members, per_frame := per_frame) ORDER BY tube_id))) AS VARCHAR) AS json FROM tr GROUP BY video_id""",
+    **_MEM, st=_STATS, fc=_FRAME_CELLS, tr=_TUBE_ROWS,
+)
 def track_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.track_json(tubes.tracks(_members(spark, sf_dir)))
 
@@ -689,7 +726,16 @@ def frame_tubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(views.v_patch_frames(spark, sf_dir), params)
 
 
-@query("SELECT o.video_id, o.t, o.tube_id, f.i AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o JOIN v_sampled f ON f.video_id = o.video_id AND f.i = o.t + 50", **_EV, **_MEM, st=_STATS)
+@query()
+def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tubes of `frame_tubes` and the heat they were found in, drawn on their frames: images, which SQL does not express."""
+    shots = views.v_patch_frames(spark, sf_dir)
+    params = Params(gaps=(1, 2), gap_divisors={1: 1.0, 2: 2.0}, input_scale=1.0, persistence_min=0.2, min_event=2, min_tube_duration=2, unit_block=2)
+    units = materialise(stages.unit_cells(stages.fused_cells(stages.base_cells(shots, params), params), params), "units")
+    return drawing.drawn_frames(shots, tubes.build_tubes(units, params), units, params, max(params.gaps), params.cell_stride * params.unit_block)
+
+
+@query("SELECT o.video_id, o.t, o.tube_id, f.i AS sampled_index_curr FROM (SELECT *, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS t FROM st) o JOIN v_sampled f ON f.video_id = o.video_id AND f.i = o.t + 50", **_MEM, st=_STATS)
 def overlay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = frames.sampled(views.v_frames(spark, sf_dir), 5.0).select("video_id", (F.col("sampled_index") - 50).alias("t"), F.col("sampled_index").alias("sampled_index_curr"))
     return frames.overlay_frames(tubes.overlays(_members(spark, sf_dir)), meta).select("video_id", "t", "tube_id", "sampled_index_curr")

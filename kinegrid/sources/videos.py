@@ -31,6 +31,23 @@ def video_list(spark: SparkSession, path: str, fallback: list[str] | None = None
     return listed(spark.read.text(path))
 
 
+def chosen(spark: SparkSession, ids: list[str] | None = None, one: str | None = None, path: str | None = None, stored: DataFrame | None = None, fallback: list[str] | None = None) -> DataFrame:
+    """The videos of a run: those named, else the one, else the listed ones of a text file, else those that a store holds, else the fallback.
+    What is empty counts as not given; a file that does not exist is an error where there is no fallback."""
+    named = lambda names: spark.createDataFrame([(v,) for v in names], "video_id string")
+    if ids:
+        return named(ids)
+    if one:
+        return named([one])
+    if path:
+        return video_list(spark, path, fallback)
+    if stored is not None and not (found := stored_videos(stored)).isEmpty():
+        return found
+    if fallback:
+        return named(fallback)
+    raise ValueError("no videos: give ids, a list, a store or a fallback")
+
+
 def best_files(found: DataFrame) -> DataFrame:
     """The file of each id: the first root, a direct hit before a deeper one, then the first path."""
     order = Window.partitionBy("id").orderBy("root_rank", F.desc("is_direct"), "path")

@@ -256,3 +256,69 @@ def test_older_stores_lack_magnitudes_and_runs(spark):
     assert bare == {"a": (5.0, 1, None), "b": (2.0, 1, None)}
     runs = spark.createDataFrame([("a", 50)], "video_id string, align_start int")
     assert {r.video_id: (r.align_start, r.num_sampled) for r in stages.stored_stage_one(cells, runs).collect()} == {"a": (50, None), "b": (1, None)}
+
+
+def test_which_videos_a_run_takes(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# none\na\nb\n")
+    names = lambda **given: [r.video_id for r in videos.chosen(spark, **given).collect()]
+    store = spark.createDataFrame([("s", 1), ("r", 2), ("s", 3)], "video_id string, t int")
+    every = {"ids": ["x", "y"], "one": "z", "path": str(tmp_path / "list.txt"), "stored": store, "fallback": ["f"]}
+    assert names(**every) == ["x", "y"]
+    assert names(**(every | {"ids": []})) == ["z"]
+    assert names(**(every | {"ids": None, "one": ""})) == ["a", "b"]
+    assert names(path=str(tmp_path / "gone.txt"), fallback=["f"]) == ["f"]
+    assert names(stored=store, fallback=["f"]) == ["r", "s"]
+    assert names(stored=store.limit(0), fallback=["f"]) == ["f"]
+    with pytest.raises(ValueError, match="no videos"):
+        videos.chosen(spark, stored=store.limit(0))
+
+
+def plain_stages(shots, params):
+    """Both first stages in NumPy and loops, on the same flow and reliability kernels."""
+    start, out = max(params.gaps), {}
+    small = [kernels.area_downscale(s.astype(np.float64), params.input_scale).astype(np.float32) for s in shots]
+    ratio = shots[0].shape[1] / small[0].shape[1], shots[0].shape[0] / small[0].shape[0]
+    for gap in params.gaps:
+        cells = []
+        for i in range(gap, len(shots)):
+            flow = kernels.dense_flow(small[i - gap], small[i]) * np.array(ratio)
+            flow[np.hypot(flow[..., 0], flow[..., 1]) < params.min_magnitude] = 0
+            fields = kernels.aperture_fields(small[i], flow, params.tensor_sigma, params.edge_strength, params.align_power, params.aperture_alpha, params.tensor_eps)
+            cells.append(kernels.weighted_cells(flow, fields["reliability"], params.cell_stride, params.cell_window).astype(np.float32).astype(np.float64))
+        cells = np.array(cells)
+        n, back, ahead = len(cells), (params.persistence_window - 1) // 2, params.persistence_window // 2
+        gated = np.zeros_like(cells)
+        for t in range(n):
+            part = cells[max(0, t - back) : t + ahead + 1]
+            total, length = np.hypot(part[..., 0], part[..., 1]).sum(axis=0), np.hypot(*np.moveaxis(part.sum(axis=0), -1, 0))
+            share = np.where(total > 1e-12, length / np.maximum(total, 1e-12), 0)
+            gated[t] = cells[t] * (share >= params.persistence_min)[..., None]
+        r = params.mean_radius
+        means = np.array([gated[max(0, t - r) : t + r + 1].mean(axis=0) for t in range(n)])
+        out[gap] = means[start - gap :] / params.gap_divisors[gap]
+    lengths = np.stack([np.hypot(x[..., 0], x[..., 1]) for x in out.values()])
+    fused = np.sqrt((lengths**2).mean(axis=0))
+    b = params.unit_block
+    units = np.array([[[m[y : y + b, x : x + b].max() for x in range(0, m.shape[1], b)] for y in range(0, m.shape[0], b)] for m in fused])
+    return out, fused, units
+
+
+def test_stages_equal_a_plain_model_with_the_usual_gaps(spark):
+    rng = np.random.default_rng(6)
+    back = kernels.smooth(rng.random((24, 140)) * 255, 1.0)
+    shots = [np.clip(np.roll(back, i // 2, axis=1)[:, :40] + rng.normal(size=(24, 40)) * 2, 0, 255).astype(np.uint8) for i in range(64)]
+    rows = [("clip", i, i * 6, i / 5, 24, 40, s.tobytes()) for i, s in enumerate(shots)]
+    params = Params(input_scale=0.5, unit_block=2)
+    assert params.gaps == (1, 5, 10, 20, 50)
+    cells = stages.base_cells(frame_table(spark, rows), params)
+    maps, fused, units = plain_stages(shots, params)
+    got = stages.gap_maps(cells, params).toPandas()
+    for gap, want in maps.items():
+        one = got[got.gap == gap].sort_values(["t", "y", "x"])
+        assert len(one) == want[..., 0].size
+        near = np.isclose(one.u_norm.to_numpy().reshape(want.shape[:3]), want[..., 0], atol=1e-4) & np.isclose(one.v_norm.to_numpy().reshape(want.shape[:3]), want[..., 1], atol=1e-4)
+        assert near.mean() > 0.995  # a share at the threshold itself may fall either way
+    m = stages.fused_cells(cells, params).toPandas().sort_values(["t", "y", "x"]).m.to_numpy().reshape(fused.shape)
+    assert np.isclose(m, fused, atol=1e-4).mean() > 0.99 and fused.max() > 0.1
+    mu = stages.unit_cells(stages.fused_cells(cells, params), params).toPandas().sort_values(["t", "y", "x"]).mu.to_numpy().reshape(units.shape)
+    assert np.isclose(mu, units, atol=1e-4).mean() > 0.98
