@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors get binary codes: their centred coordinates in a learned rotation (iterative quantisation, fitted on a bounded
-sample), one bit each. A code is split into substrings of 8 bits (16 for more than LONG_FROM vectors), each an index of its
+sample), one bit each. A code is split into substrings of 8 bits (or of 16: parameter `substring`), each an index of its
 own. Of two codes within a Hamming radius some substring differs by no more than the radius over the number of substrings:
 probing each substring's values within that finds every such code. Each query first looks into its own buckets; the radius
 is that at which a vector as near as the k-th best found there would lie with high probability. All codes within it whose vectors
@@ -32,8 +32,6 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .common import bound_batches, discard, materialise
 
-#: Vectors beyond which substrings have 16 bits.
-LONG_FROM = 1 << 20
 SHARD_ROWS, SHARD_QUERIES = 8192, 4096
 #: Vectors that the rotation is fitted on at most.
 SAMPLE = 8192
@@ -211,15 +209,17 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, margin: float = MARGIN) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows found nearest by inner product for each query (ids divisible by `every`)."""
+def search(vectors: DataFrame, every: int = 20, k: int = 20, margin: float = MARGIN, substring: int = 8) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows found nearest by inner product for each query (ids divisible by `every`).
+    `substring` is the length of the indexed parts of a code: 16 bits make fewer, finer buckets, at any number of vectors."""
+    if substring not in (8, 16):
+        raise ValueError("substrings have 8 or 16 bits")
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = materialise(usable(vectors), "vectors")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     n, longest = rows.agg(F.count("*"), F.max(norm)).first()
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").collect()
-    substring = 8 if n <= LONG_FROM else 16
     model = learn(np.array([r[0] for r in sample], np.float64), longest, substring) if sample else None
     codes = spark.sparkContext.broadcast(model)
     bits = model.projection.shape[1] if model else substring

@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, bound_batches, materialise, mix, slices
+from .common import U64, bound_batches, discard, materialise, mix, slices
 
 ORDERS = (3, 4)
-#: Languages whose numbers of texts are broadcast at most.
-MOST_BROADCAST = 10_000
 #: Bytes of text that are predicted at once: the arrays of n-grams take some hundred times as much.
 SLICE = 1 << 18
 _SPACE = 0x20
@@ -88,22 +86,27 @@ def build_filter(entries: list[tuple[str, int]], totals: dict[str, int], bits_pe
     languages = sorted(totals)
     size = 1 << max(10, (bits_per_entry * max(1, len({k for _, k in entries})) - 1).bit_length())
     slots = np.zeros((max(1, -(-len(languages) // 64)), size), U64)
+    own: dict[str, list[int]] = {x: [] for x in languages}
+    for name, x in entries:
+        own[name].append(x)
     for k, language in enumerate(languages):
-        keys = np.array([x for name, x in entries if name == language], np.int64).view(U64)
+        keys = np.array(own[language], np.int64).view(U64)
         for i in range(hashes):
             slots[k // 64][mix(keys, i) & U64(size - 1)] |= U64(1 << k % 64)
     fill = np.array([(slots[k // 64] >> U64(k % 64) & U64(1)).mean() for k in range(len(languages))])
     return LanguageFilter(languages, slots, hashes, np.minimum(fill**hashes, 0.99), max(languages, key=lambda x: (totals[x], x)) if languages else "und")
 
 
-def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> LanguageFilter:
-    """From `rows` with text and lang. `sample` bounds the rows of each language that are read."""
+def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5, most: int = 256) -> LanguageFilter:
+    """From `rows` with text and lang. `sample` bounds the rows of each language that are read. More than `most` languages are an error:
+    their filters would not fit one machine, and so many values are no languages."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     order = F.xxhash64("text")
     share = materialise(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")  # a row for each language
-    share = F.broadcast(share) if share.count() <= MOST_BROADCAST else share
+    if (n := share.count()) > most:
+        raise ValueError(f"{n} values of lang, of {most} at most")
     # the share keeps about twice the bound, of equal texts one, and the window then the bound
-    some = rows.join(share, "lang").where((order.cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 2 * sample + 20).select("lang", "text").distinct()
+    some = rows.join(F.broadcast(share), "lang").where((order.cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 2 * sample + 20).select("lang", "text").distinct()
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))).where(F.col("at") <= sample).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +123,9 @@ def train(rows: DataFrame, sample: int = 2000, min_rate: float = 2e-5) -> Langua
     rate = counts.withColumn("rate", F.col("times") / F.sum("times").over(Window.partitionBy("lang", "n")))
     kept = rate.where(F.col("rate") >= min_rate)  # at most 1 / min_rate for each language and order
     totals = {r["lang"]: r["rows"] for r in share.collect()}
-    return build_filter([(r["lang"], r["gram"]) for r in kept.select("lang", "gram").collect()], totals)
+    entries = [(r["lang"], r["gram"]) for r in kept.select("lang", "gram").collect()]  # of `most` languages at most
+    discard(share)
+    return build_filter(entries, totals)
 
 
 def predict(documents: DataFrame, model: LanguageFilter, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

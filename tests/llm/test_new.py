@@ -232,3 +232,28 @@ def test_exponion_search_leaves_entries_out():
     best, _, _ = codes.Exponion(book).nearest(x, np.zeros(2000, np.int64))
     _, _, asked = codes.Exponion(book).nearest(x, best)
     assert asked == 2000 < first / 10
+
+
+# --- bounds of earlier operators
+
+
+@pytest.mark.parametrize("substring", [8, 16])
+def test_recall_of_both_widths_of_substrings(spark, substring):
+    from kinegrid.llm import ann
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 48)) * 2
+    data = (centres[rng.integers(0, 40, 1600)] + rng.normal(size=(1600, 48))).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, [*map(float, v)], 0) for i, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    got = ann.search(df, every=20, k=20, substring=substring).toPandas()
+    hit = sum(len({*g.vec_id} & {*[i for i in np.argsort(-(data @ data[q])) if i != q][:20]}) for q, g in got.groupby("query_id"))
+    assert len(got) == 80 * 20 and hit / len(got) >= 0.95
+
+
+def test_too_many_languages_are_an_error(spark):
+    from kinegrid.llm import language
+
+    rows = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(12)], "text string, lang string")
+    with pytest.raises(ValueError, match="12 values of lang"):
+        language.train(rows, most=11)
+    assert len(language.train(rows, most=12).languages) == 12
