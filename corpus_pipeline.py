@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of two lines or more go, and documents of which nothing else is left."""
     total, removed = unused(docs, "n_lines"), unused(docs, "n_removed")
-    found = lines.dedup(docs, overlapping=True, counts=(total, removed))
+    found = lines.dedup(docs, counts=(total, removed))
     return _measured(found.where((F.col(removed) < F.col(total)) | (F.col(total) == 0)).select(docs.columns))
 
 
