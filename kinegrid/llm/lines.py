@@ -1,13 +1,14 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over each line and the one before it marks the lines where it is divisible by
-`divisor`, and the first of consecutive marked lines ends a chunk. So the boundaries of a passage do not depend on where
-it stands, and no chunk but a text's first or last is a single line. A chunk of `least` lines or more that is
-found again, byte for byte, is kept where it stands first (least doc_id, then line) and removed elsewhere.
+A text's lines are hashed, and a hash rolls over each `least` consecutive ones. Several chunkings read bits of their own of
+that hash: half of its values both open a chunk at the window's first line and close it at its last, an eighth only open, an
+eighth only close, the rest are inside. A chunk runs from an opening window to the next closing one if no other mark lies
+between. So its boundaries depend on its own lines alone, wherever they stand, and it has `least` lines or more; a passage
+of only `least` lines is a chunk of its own in some chunking but for a share of 2^-chunkings, a longer one has chunks inside.
 
-That leaves what hangs on a passage's surroundings: of a short one often all. With `overlapping` every line starts a chunk of
-`least` lines, told apart by 128 bits of SHA-256. A repeated run of `least` lines or more consists of such chunks, so all of it
-goes, wherever it stands; a line that goes stands earlier, too.
+Chunks with equal hashes are laid over the place where they stand first (least doc_id, then line), overlapping ones as one
+run, widened by `grow` lines at both ends. There the lines are compared byte by byte: of a run, stretches of `least` equal lines or
+more go, so each line that goes stands earlier, too.
 
 Rows: a null text stays null with 0 lines, an empty one has one empty line; texts are read whole; rows that repeat an id
 and a text have one result, which each of them gets; rows without an id keep all lines; an empty table gives an empty result; other columns stay, but for
@@ -19,62 +20,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, unused
+from .common import discard, let, materialise, unused
 
+#: Bits of the rolling hash that a chunking reads. Of their values those under BOTH open and close; OPENS and CLOSES do one of both.
+_BITS, BOTH, OPENS, CLOSES = 3, 4, 4, 5
 
-def chunks(text: Column, divisor: int, least: int) -> Column:
-    """Array of (start, length, hash) of a text's chunks of `least` lines or more; start counts from 0."""
-    hashes = F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
-
-    def ends(h: Column) -> Column:
-        rolled = lambda i: F.xxhash64(F.element_at(h, F.greatest(i - 1, F.lit(1))), F.element_at(h, F.greatest(i, F.lit(1))))
-        marked = lambda i: (i > 1) & (F.pmod(rolled(i), F.lit(divisor)) == 0)
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (marked(i) & ~marked(i - 1)))
-
-    def spans(h: Column, ends: Column) -> Column:
-        start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
-        cut = F.filter(F.transform(ends, lambda e, i: F.struct(start(i).alias("start"), (e - start(i)).alias("length"))), lambda s: s["length"] >= least)
-        return F.transform(cut, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.xxhash64(F.slice(h, s["start"] + 1, s["length"])).alias("hash")))
 
-    return let(hashes, lambda h: let(ends(h), lambda e: spans(h, e)))
+def chunks(text: Column, chunkings: int, least: int) -> Column:
+    """Array of (start, length, hash) of a text's chunks, each once; start counts from 0. Null if it has under `least` lines."""
+    hashes = F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
+    rolled = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - least + 1), lambda i: F.xxhash64(*(F.element_at(h, i + k) for k in range(least))))
+    span = lambda start, end: F.struct(start.alias("start"), (end - start + least).alias("length"))
+    value = lambda r, s: F.shiftright(r, s * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+    #: the bit that is set in values that do not both open and close
+    single = sum(BOTH << s * _BITS for s in range(chunkings))
 
+    def longer(r: Column, s: int) -> Column:
+        marks = F.filter(F.transform(r, lambda x, i: F.struct(i.alias("i"), value(x, s).alias("v"))), lambda m: m["v"] <= CLOSES)
+        pairs = lambda m: F.zip_with(m, F.slice(m, F.lit(2), F.size(m)), lambda a, b: F.when((a["v"] == OPENS) & (b["v"] == CLOSES), span(a["i"], b["i"])))
+        return F.filter(let(marks, pairs), lambda x: x.isNotNull())
 
-def windows(text: Column, least: int) -> Column:
-    """Array of (start, digest) of each `least` consecutive lines of a text; null if it has fewer."""
-    digest = lambda lines, i: F.substring(F.unhex(F.sha2(F.array_join(F.slice(lines, i, least), "\n"), 256)), 1, 16)
-    each = lambda lines: F.transform(F.sequence(F.lit(1), F.size(lines) - least + 1), lambda i: F.struct((i - 1).alias("start"), digest(lines, i).alias("digest")))
-    return let(F.split(text, "\n", -1), lambda lines: F.when(F.size(lines) >= least, each(lines)))
+    def spans(r: Column) -> Column:
+        shortest = F.filter(F.transform(r, lambda x, i: F.when(x.bitwiseAND(F.lit(single)) != single, span(i, i))), lambda x: x.isNotNull())
+        return F.concat(shortest, F.array_distinct(F.concat(*(longer(r, s) for s in range(chunkings)))))
 
+    whole = lambda h: F.transform(let(rolled(h), spans), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.xxhash64(F.slice(h, s["start"] + 1, s["length"])).alias("hash")))
+    return let(hashes, lambda h: F.when(F.size(h) >= least, whole(h)))
 
-def later_windows(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, source, start and length of the windows that stand earlier, too."""
-    found = docs.select("doc_id", "source", F.explode(windows(F.col("text"), least)).alias("c")).select("doc_id", "source", "c.*")
-    found = materialise(found, "windows")
-    place = F.struct("doc_id", "start", "source")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return found.join(first, "digest").where(place > F.col("first")).select("doc_id", "source", "start", F.lit(least).alias("length"))
 
-
-def later_chunks(docs: DataFrame, divisor: int, least: int) -> DataFrame:
-    """doc_id, source, start and length of the content-defined chunks that stand earlier, too."""
-    found = docs.select("doc_id", "source", F.explode(chunks(F.col("text"), divisor, least)).alias("c")).select("doc_id", "source", "c.*")
+def runs(docs: DataFrame, chunkings: int, least: int, grow: int) -> DataFrame:
+    """doc_id, source, start, length and first_id, first_source, first_start: the runs of chunks that stand earlier, too."""
+    found = docs.select("doc_id", "source", F.explode(chunks(F.col("text"), chunkings, least)).alias("c")).select("doc_id", "source", "c.*")
     found = materialise(found, "chunks")
-    repeated = found.groupBy("hash", "length").agg(F.count("*").alias("n")).where("n > 1").select("hash", "length")
-    marked = found.join(repeated, ["hash", "length"]).groupBy("doc_id", "source").agg(F.collect_set(F.struct("start", "length", "hash")).alias("marked"))
-    part = lambda lines, m: F.struct(m["start"].alias("start"), m["length"].alias("length"), m["hash"].alias("hash"), F.array_join(F.slice(lines, m["start"] + 1, m["length"]), "\n").alias("bytes"))
-    parts = let(F.split("text", "\n", -1), lambda lines: F.transform("marked", lambda m: part(lines, m)))
-    copies = materialise(docs.join(marked, ["doc_id", "source"]).select("doc_id", "source", F.explode(parts).alias("c")).select("doc_id", "source", "c.*"), "copies")
-    # the bytes themselves are the key, so a chunk goes only where an equal one stands first
-    first = copies.groupBy("hash", "bytes").agg(F.min(F.struct("doc_id", "start", "source")).alias("first"))
-    return copies.join(first, ["hash", "bytes"]).where(F.struct("doc_id", "start", "source") > F.col("first")).select("doc_id", "source", "start", "length")
-
-
-def dedup(documents: DataFrame, divisor: int = 2, least: int = 2, overlapping: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    place = F.struct("doc_id", "start", "source")
+    first = found.groupBy("hash", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "length", "first")
+    later = found.join(first, ["hash", "length"]).where(place > F.col("first"))
+    # chunks that lie equally far from where they stand first are of one run
+    keys = ["doc_id", "source", "first_id", "first_source", "shift"]
+    later = later.select("doc_id", "source", F.col("first.doc_id").alias("first_id"), F.col("first.source").alias("first_source"), (F.col("start") - F.col("first.start")).alias("shift"), F.sequence("start", F.col("start") + F.col("length") - 1).alias("rows"))
+    covered = later.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rows")))).alias("rows"))
+    at = lambda rows, i: F.element_at(rows, F.greatest(F.least(i, F.size(rows)), F.lit(1)))
+    starts = lambda rows: F.filter(rows, lambda x, i: (i == 0) | (at(rows, i) != x - 1))
+    ends = lambda rows: F.filter(rows, lambda x, i: (i == F.size(rows) - 1) | (at(rows, i + 2) != x + 1))
+    islands = let(F.col("rows"), lambda rows: F.zip_with(starts(rows), ends(rows), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    split = covered.select(*keys, F.explode(islands).alias("x"))
+    start = F.col("x.a") - F.least(F.lit(grow), F.col("x.a"), F.col("x.a") - F.col("shift"))
+    split = split.select(*keys, start.alias("start"), (F.col("x.b") + 1 + grow - start).alias("length"))
+    out = materialise(split.select("doc_id", "source", "start", "length", "first_id", "first_source", (F.col("start") - F.col("shift")).alias("first_start")), "runs")
+    discard(found)
+    return out
+
+
+def repeated_lines(docs: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """doc_id, source, gone: the places, from 1, of the lines of runs that are the same bytes where the run stands first."""
+    side = ["doc_id", "source", "start", "length"]
+    first = ["first_id", "first_source", "first_start", "length"]
+    wanted = runs.select(*side).union(runs.select(*first)).groupBy("doc_id", "source").agg(F.collect_set(F.struct("start", "length")).alias("wanted"))
+    part = lambda lines, w: F.struct(w["start"].alias("start"), w["length"].alias("length"), F.slice(lines, w["start"] + 1, w["length"]).alias("lines"))
+    parts = let(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: part(lines, w)))
+    pieces = docs.join(wanted, ["doc_id", "source"]).select("doc_id", "source", F.explode(parts).alias("p")).select("doc_id", "source", "p.*")
+    pieces = pieces.groupBy(*side).agg(F.first("lines").alias("lines"))  # rows that repeat an id and a text
+    there = pieces.select(*(F.col(a).alias(b) for a, b in zip(side, first, strict=True)), F.col("lines").alias("there"))
+    both = runs.join(there, first).join(pieces, side)
+    same = F.zip_with("lines", "there", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    window = lambda e, i: F.forall(F.slice(e, i, F.lit(least)), lambda x: x)
+    windows = lambda e: F.filter(F.sequence(F.lit(1), F.size(e) - least + 1), lambda i: window(e, i))
+    found = let(same, lambda e: F.when(F.size(e) >= least, windows(e)))
+    gone = both.select("doc_id", "source", F.transform(found, lambda i: F.sequence(F.col("start") + i, F.col("start") + i + least - 1)).alias("gone"))
+    gone = gone.where(F.size("gone") > 0).select("doc_id", "source", F.array_distinct(F.flatten("gone")).alias("gone"))
+    return materialise(gone.groupBy("doc_id", "source").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone")), "gone")
+
+
+def dedup(documents: DataFrame, chunkings: int = 8, least: int = 2, grow: int = 2, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of `documents`, with the remaining text, and the columns n_lines and n_removed, or of other names (`counts`)."""
+    if not 1 <= chunkings <= 64 // _BITS:
+        raise ValueError(f"a rolling hash has bits for 1 to {64 // _BITS} chunkings")
     source = F.xxhash64("text")
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", source.alias("source"))
-    gone = later_windows(docs, least) if overlapping else later_chunks(docs, divisor, least)
-    gone = gone.groupBy("doc_id", "source").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start") + 1, F.col("start") + F.col("length"))))).alias("gone"))
+    found = runs(docs, chunkings, least, grow)
+    gone = repeated_lines(docs, found, least)
+    discard(found)
     id_, source_, gone_ = (unused(documents, x) for x in ("line_id", "line_source", "line_gone"))
     gone = gone.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("gone").alias(gone_))
     joined = documents.join(gone, (F.col("doc_id") == F.col(id_)) & (source == F.col(source_)), "left")

@@ -135,31 +135,48 @@ def spark_hash(values):
     return seed
 
 
-def line_chunks(text, divisor, least):
-    rows = text.split("\n")
+def line_chunks(rows, chunkings, least):
+    """(start, end) of the chunks of lines, by looking from each opening window for the next mark."""
     h = [spark_hash([x]) for x in rows]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    marked = [i > 0 and signed(spark_hash([h[i - 1], h[i]])) % divisor == 0 for i in range(len(rows))]
-    start, out = 0, []
-    for i in range(1, len(rows) + 1):
-        if i == len(rows) or (marked[i - 1] and not (i > 1 and marked[i - 2])):
-            if i - start >= least:
-                out.append((start, "\n".join(rows[start:i]), i - start))
-            start = i
+    rolled = [spark_hash(h[i : i + least]) for i in range(len(rows) - least + 1)]
+    out = set()
+    for s in range(chunkings):
+        value = [x >> 3 * s & 7 for x in rolled]
+        for i, v in enumerate(value):
+            if v < 4:
+                out.add((i, i + least))
+            elif v == 4:
+                j = next((j for j in range(i + 1, len(value)) if value[j] < 6), None)
+                if j is not None and value[j] == 5:
+                    out.add((i, j + least))
     return out
 
 
-def test_lines_equal_brute_force(spark):
-    texts = corpus(6)
-    first, want = set(), {}
-    for i, t in enumerate(texts):
-        rows, gone = (t or "").split("\n"), set()
-        for start, chunk, n in line_chunks(t or "", 2, 2):
-            if chunk in first:
-                gone |= {*range(start, start + n)}
-            first.add(chunk)
-        want[3 * i] = (None if t is None else "\n".join(x for k, x in enumerate(rows) if k not in gone), len(gone))
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts)).collect()}
+@pytest.mark.parametrize(("chunkings", "least", "grow"), [(8, 2, 2), (1, 2, 0), (1, 2, 3), (3, 3, 1)])
+def test_lines_equal_brute_force(spark, chunkings, least, grow):
+    texts = corpus(6) + ["x\nx\nx\nx\ny", "é\n\n☃", "z\né\n\n☃"]
+    split, first = [(t or "").split("\n") for t in texts], {}
+    for d, rows in enumerate(split):
+        for a, b in line_chunks(rows, chunkings, least):
+            key = tuple(rows[a:b])
+            first[key] = min((d, a), first.get(key, (d, a)))
+    want = {}
+    for d, rows in enumerate(split):
+        laid = {}
+        for a, b in line_chunks(rows, chunkings, least):
+            at = first[tuple(rows[a:b])]
+            if at < (d, a):
+                laid.setdefault((at[0], a - at[1]), set()).update(range(a, b))
+        gone = set()
+        for (other, shift), covered in laid.items():
+            for a in sorted(x for x in covered if x - 1 not in covered):
+                b = next(x for x in range(a, len(rows) + 1) if x not in covered)
+                near = [x for x in range(max(0, shift, a - grow), min(len(rows), b + grow)) if x - shift < len(split[other]) and rows[x] == split[other][x - shift]]
+                for x in near:
+                    if {*range(x, x + least)} <= {*near}:
+                        gone |= {*range(x, x + least)}
+        want[3 * d] = (None if texts[d] is None else "\n".join(x for k, x in enumerate(rows) if k not in gone), len(gone))
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts).repartition(4), chunkings, least, grow).collect()}
     assert got == want and sum(n for _, n in want.values()) > 10
 
 
@@ -168,7 +185,7 @@ def test_lines_of_repeated_rows_and_shifted_passages(spark):
     df = documents(spark, ["one\n" + passage, "two\nthree\n" + passage]).union(documents(spark, ["one\n" + passage]))
     got = [(r.doc_id, r.n_removed) for r in lines.dedup(df).collect()]
     assert sorted(x for x in got if x[0] == 0) == [(0, 0), (0, 0)]
-    assert next(n for i, n in got if i == 3) > 20  # all but the chunks at the edges
+    assert next(n for i, n in got if i == 3) == 30
 
 
 def remove_runs(texts, least):
@@ -185,13 +202,24 @@ def remove_runs(texts, least):
 
 
 @pytest.mark.parametrize("least", [2, 3])
-def test_runs_of_lines_equal_brute_force(spark, least):
+def test_all_runs_of_lines_go(spark, least):
+    """With as many chunkings as a hash has bits for: every repeated run, by comparing all."""
     texts = corpus(6) + ["x\nx\nx\nx\ny", "é\n\n☃", "z\né\n\n☃"]
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts).repartition(4), least=least, overlapping=True).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts).repartition(4), 21, least).collect()}
     want = {3 * i: x for i, x in enumerate(remove_runs(texts, least))}
     assert got == want and sum(n for _, n in want.values()) > 10
 
 
+def test_equal_hashes_are_compared_by_bytes(spark, monkeypatch):
+    """Chunks whose hashes are all equal: only lines with equal bytes go."""
+    real = lines.chunks
+    forced = lambda *a: lines.F.transform(real(*a), lambda c: lines.F.struct(c["start"].alias("start"), c["length"].alias("length"), lines.F.lit(7).cast("long").alias("hash")))
+    monkeypatch.setattr(lines, "chunks", forced)
+    texts = ["a\nb\nc\nd", "e\nf\ng\nh", "a\nb\nc\ni"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(documents(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 3: (texts[1], 0), 6: ("i", 3)}
+
+
 def test_op4_and_pipeline_remove_every_short_passage(spark, tmp_path):
     import corpus_pipeline
 

@@ -15,7 +15,7 @@ from kinegrid.llm import bpe, jaccard, language, licences, lines, packing, pii,
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 OPERATORS = {
-    "classes": lambda df: jaccard.classes(df, 4, 85), "representatives": jaccard.representatives, "digest": pii.digest, "masked": pii.masked, "predict": lambda df: language.predict(df, language.train(df)), "chunks": lines.dedup, "runs": lambda df: lines.dedup(df, overlapping=True),
+    "classes": lambda df: jaccard.classes(df, 4, 85), "representatives": jaccard.representatives, "digest": pii.digest, "masked": pii.masked, "predict": lambda df: language.predict(df, language.train(df)), "chunks": lines.dedup,
     "bpe": lambda df: bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN), "windows": superkmers.remove_repeats, "licences": licences.scan, "simhash": simhash.edited_fingerprints, "packing": lambda df: packing.pack(df, VOCABULARY, public_tokenizers.PATTERN, added=True),
 }
 #: Columns that the operators name so inside, or add.
