@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, let, materialise, unused
 
+#: Buckets of 2^15 bits of a bitmap, 4 KB each: 8 MB in all at every size of the input.
+BUCKETS = 1 << 11
 #: Bits of the rolling hash that a chunking reads. Of their values those under BOTH open and close; OPENS and CLOSES do one of both.
 _BITS, BOTH, OPENS, CLOSES = 3, 4, 4, 5
 
@@ -48,13 +50,27 @@ def chunks(text: Column, chunkings: int, least: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= least, whole(h)))
 
 
+def with_mark(table: DataFrame, source: Column, marked: DataFrame, name: str) -> DataFrame:
+    """`table` with a boolean column: true in rows whose doc_id and source are in `marked`, and in few or many others, as far as
+    the bitmap is full. It is of one size, so it is broadcast, and texts that it excludes need not be shuffled."""
+    bucket, bits = (unused(table, x) for x in ("mark_bucket", "mark_bits"))
+    bit = lambda doc, source: F.pmod(F.xxhash64(doc, source), F.lit(BUCKETS << 15))
+    bitmap = marked.select(bit(F.col("doc_id"), F.col("source")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(bits))
+    own = bit(table["doc_id"], source)
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substr(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return table.join(F.broadcast(bitmap), F.bitmap_bucket_number(own) == F.col(bucket), "left").withColumn(name, is_set).drop(bucket, bits)
+
+
 def runs(docs: DataFrame, chunkings: int, least: int, grow: int) -> DataFrame:
     """doc_id, source, start, length and first_id, first_source, first_start: the runs of chunks that stand earlier, too."""
     found = docs.select("doc_id", "source", F.explode(chunks(F.col("text"), chunkings, least)).alias("c")).select("doc_id", "source", "c.*")
     found = materialise(found, "chunks")
     place = F.struct("doc_id", "start", "source")
     first = found.groupBy("hash", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "length", "first")
-    later = found.join(first, ["hash", "length"]).where(place > F.col("first"))
+    # here and below both sides grow with the documents: merged at every size, not broadcast at small ones
+    later = found.join(first.hint("merge"), ["hash", "length"]).where(place > F.col("first"))
     # chunks that lie equally far from where they stand first are of one run
     keys = ["doc_id", "source", "first_id", "first_source", "shift"]
     later = later.select("doc_id", "source", F.col("first.doc_id").alias("first_id"), F.col("first.source").alias("first_source"), (F.col("start") - F.col("first.start")).alias("shift"), F.sequence("start", F.col("start") + F.col("length") - 1).alias("rows"))
@@ -78,17 +94,20 @@ def repeated_lines(docs: DataFrame, runs: DataFrame, least: int) -> DataFrame:
     wanted = runs.select(*side).union(runs.select(*first)).groupBy("doc_id", "source").agg(F.collect_set(F.struct("start", "length")).alias("wanted"))
     part = lambda lines, w: F.struct(w["start"].alias("start"), w["length"].alias("length"), F.slice(lines, w["start"] + 1, w["length"]).alias("lines"))
     parts = let(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: part(lines, w)))
-    pieces = docs.join(wanted, ["doc_id", "source"]).select("doc_id", "source", F.explode(parts).alias("p")).select("doc_id", "source", "p.*")
-    pieces = pieces.groupBy(*side).agg(F.first("lines").alias("lines"))  # rows that repeat an id and a text
+    held = with_mark(docs, F.col("source"), wanted, "held").where("held").drop("held")
+    pieces = held.join(wanted.hint("merge"), ["doc_id", "source"]).select("doc_id", "source", F.explode(parts).alias("p")).select("doc_id", "source", "p.*")
+    pieces = materialise(pieces.groupBy(*side).agg(F.first("lines").alias("lines")), "pieces")  # rows may repeat an id and a text
     there = pieces.select(*(F.col(a).alias(b) for a, b in zip(side, first, strict=True)), F.col("lines").alias("there"))
-    both = runs.join(there, first).join(pieces, side)
+    both = runs.join(there.hint("merge"), first).join(pieces.hint("merge"), side)
     same = F.zip_with("lines", "there", lambda a, b: F.coalesce(a == b, F.lit(False)))
     window = lambda e, i: F.forall(F.slice(e, i, F.lit(least)), lambda x: x)
     windows = lambda e: F.filter(F.sequence(F.lit(1), F.size(e) - least + 1), lambda i: window(e, i))
     found = let(same, lambda e: F.when(F.size(e) >= least, windows(e)))
     gone = both.select("doc_id", "source", F.transform(found, lambda i: F.sequence(F.col("start") + i, F.col("start") + i + least - 1)).alias("gone"))
     gone = gone.where(F.size("gone") > 0).select("doc_id", "source", F.array_distinct(F.flatten("gone")).alias("gone"))
-    return materialise(gone.groupBy("doc_id", "source").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone")), "gone")
+    out = materialise(gone.groupBy("doc_id", "source").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone")), "gone")
+    discard(pieces)
+    return out
 
 
 def dedup(documents: DataFrame, chunkings: int = 8, least: int = 2, grow: int = 2, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
@@ -100,9 +119,11 @@ def dedup(documents: DataFrame, chunkings: int = 8, least: int = 2, grow: int =
     found = runs(docs, chunkings, least, grow)
     gone = repeated_lines(docs, found, least)
     discard(found)
-    id_, source_, gone_ = (unused(documents, x) for x in ("line_id", "line_source", "line_gone"))
+    id_, source_, gone_, some = (unused(documents, x) for x in ("line_id", "line_source", "line_gone", "line_some"))
+    rows = with_mark(documents, source, gone, some)
     gone = gone.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("gone").alias(gone_))
-    joined = documents.join(gone, (F.col("doc_id") == F.col(id_)) & (source == F.col(source_)), "left")
+    changed = rows.where(some).join(gone.hint("merge"), (F.col("doc_id") == F.col(id_)) & (source == F.col(source_)), "left").drop(id_, source_)
+    joined = changed.unionByName(rows.where(~F.col(some)).withColumn(gone_, F.lit(None).cast("array<int>")))
     split = F.split("text", "\n", -1)
     left = let(split, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(gone_)), lambda i: F.element_at(lines, i)), "\n"))
     kept = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(left)
