@@ -6,15 +6,16 @@ their positions: two sets that link share a shingle of both prefixes. Which shin
 that changes the order alone, never the result.
 
 - Answers of one set first: each list has a pivot, the class whose prefix is the most common, and every other class of the
-  list is compared with it alone. A class that links with a pivot joins the pivot's star, and is known from then on by the few
-  shingles in which it differs from that star's centre.
+  list is compared with it alone. A class within RADIUS times the largest difference of a link joins the pivot's star, and is
+  known from then on by the few shingles in which it differs from that star's centre: copies around the threshold, which link
+  with some of each other only, share a star, too.
 - Index-level skipping: the lists keep one entry for each star and block of sizes. An entry is in a list's head block if its
   position leaves room for an overlap with a set of its own size, else in the tail: of a pair found by its first common
   shingle the smaller set is in the head, so that tails never meet tails. Parities of 256 bits bound the difference of two
   centres from below and drop most pairs of stars before their sets are read.
 - Answer-level skipping: what a class links with in its own or another star is derived from the centres' answer, corrected by
   the differing shingles: the difference of two members is the symmetric difference of three short lists. Stars are compared in
-  blocks of bounded size, in which links are counted, not emitted: no pairs within a group ever leave a task.
+  blocks of bounded size, in which links are counted, not emitted: what leaves a task is a forest that spans its links.
 
 Rows: a null or empty text, or one of white space, has no shingle and is linked with nothing; a text with fewer words
 than a shingle has its whole sequence as one; texts are read whole; repeated rows are linked with each other, and rows that
@@ -39,6 +40,8 @@ from .common import U64, Words, bound_batches, discard, gram, long, materialise,
 FREQUENT = 100_000
 #: 64-bit words of parities of a set.
 PARITIES = 4
+#: Radius of a star, in largest differences of two sets that link.
+RADIUS = 2
 #: Differing shingles (and 32 for each class) of a block of a star, and cells of a table of overlaps.
 BLOCK, CELLS = 1 << 20, 1 << 22
 _BITS = [f"bits{i}" for i in range(PARITIES)]
@@ -179,22 +182,22 @@ def shared_lists(heads: DataFrame) -> DataFrame:
 
 
 def stars(shared: DataFrame, heads: DataFrame, documents: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
-    """c, centre, differ for the classes that link with a centre: the nearest pivot that is in no star itself."""
+    """c, centre, differ for the classes within RADIUS of a centre: the nearest pivot that is in no star itself."""
     # a class of which all shingles are in long lists is amid its near copies
     score = shared.groupBy("c").agg((F.sum(F.log2("entries")) / F.max("n")).alias("score"))
     ranked = shared.join(score.join(heads.select("c", *_BITS), "c"), "c")
     pivots = ranked.groupBy("token").agg(F.max(F.struct("score", (-F.col("c")).alias("other"), "n", "pos", *_BITS)).alias("p"))
     pivots = pivots.select("token", (-F.col("p.other")).alias("b"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"), *(F.col(f"p.{x}").alias(f"b_{x}") for x in _BITS))
     room = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    most = RADIUS * most_apart("n", "n_b", percent)
     # a pair is found by its first common shingle, before which it shares none: only what is left of both can be common
-    fits = F.expr(f"{100 + percent} * least(n - pos, n_b - pos_b) >= {percent} * (n + n_b)")
-    most = most_apart("n", "n_b", percent)
+    fits = 2 * F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= F.col("n") + F.col("n_b") - most
     pairs = ranked.join(pivots, "token").where((F.col("c") != F.col("b")) & room & fits & (_apart("", "b_") <= most))
-    links = differences(pairs.select(F.col("c").alias("a"), "b", most.alias("most")).distinct(), heads, documents, words, lower)
-    inner = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    close = differences(pairs.select(F.col("c").alias("a"), "b", most.alias("most")).distinct(), heads, documents, words, lower)
+    inner = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
     best = inner.groupBy("a").agg(F.min(F.struct(F.size("differ").alias("d"), "b")).alias("best")).select("a", "best.b")
     out = materialise(inner.join(best, ["a", "b"]).select(F.col("a").alias("c"), F.col("b").alias("centre"), "differ"), "stars")
-    discard(links)
+    discard(close)
     return out
 
 
@@ -243,7 +246,7 @@ def overlaps(asked: list[np.ndarray], held: list[np.ndarray]) -> Iterator[tuple[
 
 
 def star_links(near: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """c, links (documents of other classes), a, b (the centres of two stars if a link joins them): a row for each class and star.
+    """c, links (documents of other classes), other (c itself or a class that links reach): a row or two for each class and star.
 
     `near` has the differing shingles of pairs of centres, `classes` c, n and w (the number of documents)."""
     alone = members.select("c", "centre").hint("merge").join(classes, "c", "right").withColumn("centre", F.coalesce("centre", "c"))
@@ -253,7 +256,7 @@ def star_links(near: DataFrame, members: DataFrame, classes: DataFrame, percent:
     sized = near.hint("merge").join(host("a"), "a").hint("merge").join(host("b"), "b")
     lone = F.expr("size_a = 1 and size_b = 1")
     links = lone & (F.size("differ") <= most_apart("n_a", "n_b", percent))
-    direct = sized.where(links).select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("w_b").alias("links")), F.struct(F.col("b").alias("c"), F.col("w_a").alias("links")))).alias("x"), "a", "b").select("x.c", "x.links", "a", "b")
+    direct = sized.where(links).select(F.explode(F.array(*(F.struct(F.col(x).alias("c"), F.col(f"w_{y}").alias("links"), F.col(y).alias("other")) for x, y in ("ab", "ba")))).alias("x")).select("x.*")
     # the smaller of two stars asks the larger one
     turned = sized.where(~lone).select(F.when(F.expr("size_a >= size_b"), F.col("a")).otherwise(F.col("b")).alias("host"), F.when(F.expr("size_a >= size_b"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.col("differ").alias("between"))
     crossed = turned.join(full, "centre").select("host", F.col("centre").alias("other"), "c", "n", "w", "differ", "between")
@@ -288,6 +291,7 @@ def star_links(near: DataFrame, members: DataFrame, classes: DataFrame, percent:
             has = [np.asarray(x, np.int64) for x in differ[m]]
             wants = [np.asarray(x, np.int64) if y is None else np.setxor1d(x, y, assume_unique=True).astype(np.int64) for x, y in zip(q_differ[a:b], between[a:b], strict=True)]
             d, q_d, into = np.array([x.size for x in has]), np.array([x.size for x in wants]), np.zeros(len(has), np.int64)
+            group = np.arange(len(has))  # of held classes that links of the same asked ones join
             for i, j, table in overlaps(wants, has):
                 q = slice(a + i, a + j)
                 apart = q_d[i:j, None] + d[None] - 2 * table
@@ -295,14 +299,18 @@ def star_links(near: DataFrame, members: DataFrame, classes: DataFrame, percent:
                 found = linked @ w[m]
                 cross = other[q] != host
                 into += q_w[q][cross] @ linked[cross]
-                some = found > 0
-                out.append((q_c[q][some], found[some], np.full(int(some.sum()), host), other[q][some]))
-            some = into > 0
-            out.append((c[m][some], into[some], np.full(int(some.sum()), host), np.full(int(some.sum()), host)))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("c", "links", "a", "b"), columns, strict=True)))
-
-    counted = left.groupBy(*(f"own_{k}" for k in keys)).cogroup(right.groupBy(*keys)).applyInPandas(count, "c long, links long, a long, b long")
+                some = np.flatnonzero(found)
+                for row in linked[some]:
+                    joins = group[row]
+                    if joins.max() != joins.min():
+                        group[np.isin(group, joins)] = joins.min()
+                out.append((q_c[q][some], found[some], c[m][linked[some].argmax(axis=1)]))
+            some = (into > 0) | (group != np.arange(len(has)))
+            out.append((c[m][some], into[some], c[m][group[some]]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("c", "links", "other"), columns, strict=True)))
+
+    counted = left.groupBy(*(f"own_{k}" for k in keys)).cogroup(right.groupBy(*keys)).applyInPandas(count, "c long, links long, other long")
     out = materialise(counted.union(direct), "counted")
     discard(asked, held)
     return out
@@ -323,7 +331,7 @@ def _joined(documents: DataFrame, words: int, percent: int, lower: bool) -> Data
     discard(shared)
     near = differences(pairs, heads, documents, words, lower)
     counted = star_links(near, members, same.select("c", "n", "w"), percent)
-    edges = members.select(F.col("c").alias("a"), F.col("centre").alias("b")).union(counted.where("a <> b").select("a", "b"))
+    edges = counted.where("c <> other").select(F.col("c").alias("a"), F.col("other").alias("b"))
     labels = connected_components(edges, materialise, drop=discard)
     linked = same.select("c", "first").join(labels, F.col("c") == F.col("node")).select("c", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))

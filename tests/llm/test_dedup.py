@@ -84,6 +84,34 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert got == want and len({x[3] for x in want}) > 5 and max(x[4] for x in want) > 20
 
 
+def test_copies_around_the_threshold_share_a_star(spark, monkeypatch):
+    """What is compared grows with the copies, not with their pairs, also where few of them link."""
+    import random
+
+    compared = []
+
+    def counted(step):
+        def run(*args):
+            out = step(*args)
+            compared.append(out.count())
+            return out
+
+        return run
+
+    for name in ("differences", "near_stars"):
+        monkeypatch.setattr(jaccard, name, counted(getattr(jaccard, name)))
+    rng, texts = random.Random(8), []
+    for _ in range(160):
+        text = [f"b{i}" for i in range(300)]
+        for _ in range(4):
+            text[rng.randrange(300)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    got = sorted(tuple(r) for r in jaccard.classes(documents(spark, texts).repartition(5), 4, 85).collect())
+    want = jaccard_answers([(3 * i, t) for i, t in enumerate(texts)], 4, 85)
+    assert got == want and len({x[3] for x in want}) > 40 and sum(x[4] for x in want) > 60
+    assert sum(compared) < 5 * len(texts)
+
+
 def test_jaccard_of_ids_that_repeat(spark):
     texts = corpus(3, 24)
     rows = [(i % 20, t) for i, t in enumerate(texts)] + [(2, texts[2]), (5, texts[7]), (None, texts[0])]
