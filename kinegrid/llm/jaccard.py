@@ -131,17 +131,18 @@ def _apart(left: str, right: str) -> Column:
     return sum((F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in _BITS), F.lit(0))
 
 
-def differences(pairs: DataFrame, heads: DataFrame, documents: DataFrame, words: int, lower: bool) -> DataFrame:
+def differences(pairs: DataFrame, heads: DataFrame, documents: DataFrame, words: int, lower: bool, rate: int = 1) -> DataFrame:
     """a, b, differ for each pair (a, b, most) of classes: the shingles that one of both sets has, if they are `most` or fewer.
 
     Shingles that both prefixes hold are counted first. All others that a pair can share lie behind one of the prefixes, so
-    that most pairs fall out without their sets."""
+    that most pairs fall out without their sets. With a `rate` beyond 1 these counts must leave room for most / rate only: pairs
+    of which the prefixes alone do not tell that they are near copies are left out."""
     side = lambda n: heads.select(F.col("c").alias(n), F.col("n").alias(f"n_{n}"), F.col("prefix").alias(f"p_{n}"))
     # the pairs grow with the documents: these joins are merged at every size, not broadcast at small ones
     both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
     common = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
     least = F.col("n_a") + F.col("n_b") - 2 * F.least(common, "n_a", "n_b")
-    pairs = materialise(both.where(least <= F.col("most")).select("a", "b", "most"), "pairs")
+    pairs = materialise(both.where(rate * least <= F.col("most")).select("a", "b", "most"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(heads.select("c", "doc_id", "source").hint("merge"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def stars(shared: DataFrame, heads: DataFrame, documents: DataFrame, words: int,
     # a pair is found by its first common shingle, before which it shares none: only what is left of both can be common
     fits = 2 * F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= F.col("n") + F.col("n_b") - most
     pairs = ranked.join(pivots, "token").where((F.col("c") != F.col("b")) & room & fits & (_apart("", "b_") <= most))
-    close = differences(pairs.select(F.col("c").alias("a"), "b", most.alias("most")).distinct(), heads, documents, words, lower)
+    close = differences(pairs.select(F.col("c").alias("a"), "b", most.alias("most")).distinct(), heads, documents, words, lower, RADIUS)
     inner = close.join(close.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
     best = inner.groupBy("a").agg(F.min(F.struct(F.size("differ").alias("d"), "b")).alias("best")).select("a", "best.b")
     out = materialise(inner.join(best, ["a", "b"]).select(F.col("a").alias("c"), F.col("b").alias("centre"), "differ"), "stars")
